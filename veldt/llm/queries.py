@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, packing, quality_rules, token_codes, warc
+from . import chat_format, decontamination, ngram_join, packing, quality_rules, token_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(spark, manifest).drop("url")
@@ -46,5 +50,5 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read_token_files(spark, manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_decontamination, op6_chat_format, op7_quality_rules, op9_warc, op10_token_codes)}
+QUERIES = {f.__name__: f for f in (op1_packing, op5_decontamination, op6_chat_format, op7_quality_rules, op8_ngram_join, op9_warc, op10_token_codes)}
 ORACLES: dict[str, str] = {}
