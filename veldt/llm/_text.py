@@ -78,12 +78,13 @@ class Encoder:
     _WORDS = re.compile(rf"{_RUN}|\S+")
     _ODD = re.compile("[\x1c-\x1f\x85]")
 
-    def __init__(self, path: str, kind: str, limit: int = 600_000):
+    def __init__(self, path: str, kind: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind, self.limit, self.memo = kind, limit, {}
+        self.kind, self.limit = kind, limit
+        self.memo = {"\n": self._ids("\n").tobytes()}
         if kind == "byte":
             self.gap, self.sep = "\n", self._ids("\n")
         else:
@@ -121,20 +122,30 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (null: none)."""
         cut = [self._pieces(t) if t else [] for t in texts]
-        if len(self.memo) > self.limit:
-            self.memo = {}
-        memo = self.memo
+        memo, full = self.memo, len(self.memo) >= self.limit
         new = set(chain.from_iterable(ps for ps in cut if ps))
         new.difference_update(memo)
-        new.discard("\n")
-        memo["\n"] = self._ids("\n").tobytes()
         if new:
             self._learn(list(new))
         get = memo.__getitem__
-        return [b"".join(map(get, ps)) if ps is not None else self._ids(t).tobytes() for t, ps in zip(texts, cut)]
+        out = [b"".join(map(get, ps)) if ps is not None else self._ids(t).tobytes() for t, ps in zip(texts, cut)]
+        if full:  # the first pieces stay: they are the frequent ones
+            for p in new:
+                del memo[p]
+        return out
 
 
-def batches(table_batches, limit: int = 4 << 20, column: str = "text"):
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, kind: str) -> Encoder:
+    """The worker process's own encoder; later tasks go on with what it remembers."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = Encoder(path, kind)
+    return _ENCODERS[path, kind]
+
+
+def batches(table_batches, limit: int = 1 << 20, column: str = "text"):
     """Re-cut Arrow batches so that the named text column holds about ``limit``
     bytes each (a longer text comes alone)."""
     import pyarrow.compute as pc

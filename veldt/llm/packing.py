@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Encoder, batches
+from ._text import batches, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -76,7 +76,7 @@ def pack_lengths(lengths: list[int], capacity: int, keep_open: bool = False) ->
     return full, sorted(rest)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, capacity: int = 2048, window_tokens: int = 4 << 20, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, capacity: int = 2048, window_tokens: int = 1 << 20, with_ids: bool = False) -> DataFrame:
     """Encode whole texts (null: empty), append ``end_id`` and pack everything.
 
     No shuffle: each input partition is packed by itself in windows of
@@ -90,7 +90,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id:
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(table_batches):
-        enc, tail = Encoder(tokenizer, kind), np.array([end_id], "<u4").tobytes()
+        enc, tail = encoder(tokenizer, kind), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         items: list[tuple] = []  # doc_id, start, bytes, document's ids
         held = 0

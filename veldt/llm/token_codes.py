@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import materialize, new_path, open_fs, put_file
-from ._text import Encoder, batches
+from ._text import batches, encoder
 
 MAGIC = b"VDAC0001"
 _BLOCK = 512
@@ -146,7 +146,7 @@ class Shard:
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, chunk_bits: int = 8, shard_tokens: int = 4 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, chunk_bits: int = 8, shard_tokens: int = 1 << 20) -> DataFrame:
     """Encode whole texts (null: empty), append ``end_id`` to each and write shards
     in ascending doc_id order (null ids first; equal ids in no set order).
 
@@ -160,7 +160,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_i
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def write(table_batches):
-        enc, part, seq = Encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
         doc_ids, pieces, held = [], [], 0
         tail = np.array([end_id], "<u4").tobytes()
 
