@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, ngram_join, ngram_trie, packing, quality_rules, token_codes, warc
+from . import chat_format, compact_windows, decontamination, ngram_join, ngram_trie, packing, quality_rules, token_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.score(docs, ngram_trie.train(docs))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontamination.scan_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -55,5 +59,5 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read_token_files(spark, manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_lm_scoring, op5_decontamination, op6_chat_format, op7_quality_rules, op8_ngram_join, op9_warc, op10_token_codes)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_lm_scoring, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_quality_rules, op8_ngram_join, op9_warc, op10_token_codes)}
 ORACLES: dict[str, str] = {}
