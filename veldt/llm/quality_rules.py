@@ -14,7 +14,6 @@ from ._store import materialize
 
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Frequent lines are broadcast up to so many rows (16 bytes each); beyond it they are joined by shuffle, salted.
 BROADCAST_ROWS = 1 << 20
 SALTS = 16
@@ -27,17 +26,30 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def spaced(text: Column) -> Column:
+    """White space other than line ends as spaces."""
+    for c in SPACES:
+        text = F.replace(text, F.lit(c), F.lit(" ")) if c != "\n" else text
+    return text
+
+
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, SPACES, "     "), " "), "")
+    return F.array_remove(F.split(F.replace(spaced(text), F.lit("\n"), F.lit(" ")), " "), "")
+
+
+def has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(" " + SPACES)) != ""
 
 
-def has_word(text: Column) -> Column:
-    return F.translate(text, " " + SPACES, "") != ""
+def normalised(text: Column) -> Column:
+    """Lower case, single spaces between words; lines stay lines (trim them)."""
+    out = spaced(F.lower(text))
+    return F.when(F.instr(out, "  ") > 0, F.regexp_replace(out, " {2,}", " ")).otherwise(out)
 
 
-def normalised(line: Column) -> Column:
-    """Lower case (ASCII), words joined by single spaces."""
-    return F.array_join(words(F.translate(line, UPPER, LOWER)), " ")
+def count_of(text: Column, chars: str) -> Column:
+    """Occurrences of the given characters."""
+    return sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars), F.lit(0))
 
 
 def _covered(places: Column) -> Column:
@@ -78,8 +90,8 @@ def text_stats(text: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), has_word)
         return F.struct(
             F.size(ws).cast("long").alias("n_words"),
-            F.length(F.translate(t, " " + SPACES, "")).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.aggregate(ws, F.lit(0), lambda n, w: n + F.length(w)).cast("long").alias("word_chars"),
+            count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeat_words(ws).cast("long").alias("n_repeat_words"),
         )
@@ -94,8 +106,9 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 def _lines(keys: DataFrame) -> DataFrame:
     """A row per line with a word: host-line hash, number of words."""
-    lines = F.transform(F.filter(F.split("text", "\n"), has_word), lambda x: let(normalised(x), lambda n: F.struct(F.xxhash64(F.col("host"), n).alias("hl"), (F.length(n) - F.length(F.translate(n, " ", "")) + 1).alias("w"))))
-    return keys.select("doc_id", "host", "th", F.inline(lines))
+    lines = F.filter(F.transform(F.split(normalised(F.col("text")), "\n"), F.btrim), lambda x: x != "")
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(F.col("host"), x).alias("hl"), (count_of(x, " ") + 1).alias("w")))
+    return keys.select("doc_id", "host", "th", F.inline(hashed))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1) -> DataFrame:
@@ -149,5 +162,5 @@ def clean(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, mi
     own = own.filter((F.col("__s.n_words") >= min_words) & (100 * F.col("__s.n_repeat_words") <= max_repeat_percent * F.col("__s.n_words")))
     out = own.join(cut, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__host") == F.col("__h")) & (F.col("__th") == F.col("__t")), "left")
     out = out.filter(F.coalesce("__w", F.lit(0)) <= F.col("__s.n_words") * max_removed)
-    stay = F.filter(F.split("text", "\n"), lambda x: ~(has_word(x) & F.array_contains("__r", F.xxhash64(F.col("__host"), normalised(x)))))
+    stay = F.filter(F.split("text", "\n"), lambda x: ~(has_word(x) & F.array_contains("__r", F.xxhash64(F.col("__host"), F.btrim(normalised(x))))))
     return out.withColumn("text", F.when(F.col("__r").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).select(*docs.columns)
