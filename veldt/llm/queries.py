@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, compact_windows, decontamination, ngram_join, ngram_trie, packing, quality_rules, token_codes, warc
+from . import chat_format, compact_windows, decontamination, ngram_join, ngram_trie, packing, quality_rules, run_length_index, token_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_index.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ngram_trie.score(docs, ngram_trie.train(docs))
@@ -59,5 +63,5 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read_token_files(spark, manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_lm_scoring, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_quality_rules, op8_ngram_join, op9_warc, op10_token_codes)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_lm_scoring, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_quality_rules, op8_ngram_join, op9_warc, op10_token_codes)}
 ORACLES: dict[str, str] = {}
