@@ -1,0 +1,10 @@
+"""Property-graph analytics on PySpark."""
+
+from .config import GraphConfig, GraphConfigBuilder, NodeMapping, RelationshipMapping
+from .engine import CypherEngine, CypherQuery, CypherQueryBuilder, ExecutionStrategy, SqlDialect, SqlEngine, SqlQuery
+from .functions.vector import DistanceMetric, VectorSearch
+from .operators.adjacency import AdjacencyIndex, AdjacencyIndexBuilder
+
+__all__ = [
+    "AdjacencyIndex", "AdjacencyIndexBuilder", "CypherEngine", "CypherQuery", "CypherQueryBuilder", "DistanceMetric", "ExecutionStrategy", "GraphConfig", "GraphConfigBuilder", "NodeMapping", "RelationshipMapping", "SqlDialect", "SqlEngine", "SqlQuery", "VectorSearch",
+]
