@@ -29,18 +29,27 @@ from ._text import LOWER, WordHashes, batches, mix, shingle_hashes, utf8
 SKETCH = 1 << 20
 #: Rows of a shingle's tile beyond which it is cut into blocks that meet pairwise.
 BLOCK = 4096
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 
 
-def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes (64 bit) of the whole text."""
-    words = utf8(text).translate(LOWER).split()
-    return np.unique(shingle_hashes(hashes.of(words), n))
+def shingle_sets(texts: list[str | None], n: int, hashes: WordHashes) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes (64 bit) of every whole text."""
+    words = [utf8(t).translate(LOWER).split() for t in texts]
+    flat = hashes.of([w for x in words for w in x])
+    runs = shingle_hashes(flat, n) if len(flat) >= n else flat
+    out, at = [], 0
+    for x in words:
+        k = len(x)
+        out.append(np.unique(runs[at : at + k - n + 1] if k >= n else shingle_hashes(flat[at : at + k], n)))
+        at += k
+    return out
 
 
-def class_id(s: np.ndarray) -> int:
-    """64-bit digest of a set, as a signed long."""
-    return int(mix(np.array([mix(s + np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def class_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """64-bit digests of sets without empty ones, as signed longs."""
+    sizes = np.array([len(s) for s in sets])
+    sums = np.add.reduceat(mix(np.concatenate(sets) + np.uint64(0xD6E8FEB86659FD93)), np.cumsum(sizes) - sizes, dtype=np.uint64)
+    return mix(mix(sums) ^ sizes.astype(np.uint64)).view(np.int64)
 
 
 def needed(a, b, percent: int):
@@ -49,9 +58,9 @@ def needed(a, b, percent: int):
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """One bit per shingle at its hash modulo a power of two of at least the set's size."""
+    """One bit per shingle at its hash modulo a power of two of at least twice the set's size."""
     bits = 64
-    while bits < len(s):
+    while bits < 2 * len(s):
         bits *= 2
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     flat = np.zeros(bits, np.uint8)
@@ -67,13 +76,14 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
 
         hashes, sketch = WordHashes(), np.zeros(SKETCH, np.uint32)
         for b in batches(table_batches):
-            sizes, ids = [], []
-            for text in b.column(2).to_pylist():
-                s = shingle_set(text, n, hashes)
-                sizes.append(len(s))
-                ids.append(class_id(s) if len(s) else None)
-                np.add.at(sketch, (s >> np.uint64(44)).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "th", "n", "cid", "sketch"])
+            sets = shingle_sets(b.column(2).to_pylist(), n, hashes)
+            full = [s for s in sets if len(s)]
+            ids = np.zeros(len(sets), np.int64)
+            sizes = np.array([len(s) for s in sets])
+            if full:
+                ids[sizes > 0] = class_ids(full)
+                np.add.at(sketch, (np.concatenate(full) >> np.uint64(44)).astype(np.int64), np.uint32(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, mask=sizes == 0), pa.nulls(len(ids), pa.binary())], names=["doc_id", "th", "n", "cid", "sketch"])
         if sketch.any():
             raw = zstandard.ZstdCompressor(level=1).compress(sketch.tobytes())
             one = lambda v, t: pa.array([v], t)
@@ -121,43 +131,48 @@ def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return s[np.argpartition(order, k - 1)[:k]] if k < len(s) else s
 
 
-def _tiles(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """Shared prefix shingles: token, cid, n.  A task sends a class once."""
+def _tiles(docs: DataFrame, levels, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix shingles shared by sets of sizes in one band (token, cid, n), and the bitmaps
+    of all classes (cid, sig).  A task sends a class once."""
 
     def run(table_batches):
-        hashes, seen = WordHashes(), set()
+        hashes, texts, seen = WordHashes(), set(), set()
         for b in batches(table_batches):
-            tokens, ids, sizes = [], [], []
-            for text in b.column(0).to_pylist():
-                s = shingle_set(text, n, hashes)
-                if not len(s) or (c := class_id(s)) in seen:
-                    continue
-                seen.add(c)
-                p = prefix(s, levels.value, percent)
-                tokens.append(p)
-                ids.append(np.full(len(p), c, np.int64))
-                sizes.append(np.full(len(p), len(s), np.int32))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["token", "cid", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "token long, cid long, n int")
-    shared = rows.selectExpr("*", "min(cid) over (partition by token) as lo", "max(cid) over (partition by token) as hi").filter("lo < hi")
-    return materialize(shared.select("token", "cid", "n").distinct(), "tiles")
-
-
-def _involved(docs: DataFrame, described: DataFrame, tiles: DataFrame, n: int) -> DataFrame:
-    """A text of every class that is in a tile, with its size and bitmap: cid, n, sig, text."""
+            new = {}
+            for th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if th not in texts:
+                    texts.add(th)
+                    new[th] = text
+            sets = [s for s in shingle_sets(list(new.values()), n, hashes) if len(s)]
+            if not sets:
+                continue
+            own = {c: s for c, s in zip(class_ids(sets).tolist(), sets) if c not in seen}
+            seen.update(own)
+            if not own:
+                continue
+            cids = np.array(list(own), np.int64)
+            parts = [prefix(s, levels.value, percent) for s in own.values()]
+            count, size = np.array([len(p) for p in parts]), np.array([len(s) for s in own.values()], np.int32)
+            # class rows carry the bitmap and a token of their own
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([cids, np.concatenate(parts).view(np.int64)])), pa.array(np.concatenate([cids, np.repeat(cids, count)])), pa.array(np.concatenate([size, np.repeat(size, count)])),
+                pa.concat_arrays([pa.array([bitmap(s).tobytes() for s in own.values()], pa.binary()), pa.nulls(int(count.sum()), pa.binary())]),
+            ], names=["token", "cid", "n", "sig"])
+
+    rows = docs.select("th", "text").mapInArrow(run, "token long, cid long, n int, sig binary")
+    by = "over (partition by token order by n, cid)"
+    near = f"{percent} * lead(n) {by} <= 100 * n or {percent} * n <= 100 * lag(n) {by}"
+    found = materialize(rows.selectExpr("token", "cid", "n", "sig", f"coalesce({near}, false) as near").filter("near or sig is not null").select("token", "cid", "n", "sig"), "tiles")
+    classes = found.filter("sig is not null").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
+    return materialize(found.filter("sig is null").select("token", "cid", "n").distinct(), "tiles"), classes
+
+
+def _involved(docs: DataFrame, described: DataFrame, tiles: DataFrame) -> DataFrame:
+    """A text of every class that is in a tile: cid, text."""
     classes = described.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("z"), "th")).alias("r"))
     reps = classes.join(tiles.select("cid").distinct(), "cid").select("cid", "r.*")
     own = docs.withColumns({"d": F.coalesce("doc_id", F.lit(0)), "z": F.col("doc_id").isNull()}).join(reps, ["d", "z", "th"]).select("cid", "text")
-
-    def run(table_batches):
-        hashes = WordHashes()
-        for b in batches(table_batches):
-            sets = [shingle_set(t, n, hashes) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), b.column(1)], names=["cid", "n", "sig", "text"])
-
-    return materialize(own.mapInArrow(run, "cid long, n int, sig binary, text string"), "involved")
+    return materialize(own, "involved")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -174,13 +189,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
             if c not in kept:
                 if len(kept) > 256:
                     kept.clear()
-                kept[c] = shingle_set(text, n, hashes)
+                kept[c] = shingle_sets([text], n, hashes)[0]
             return kept[c]
 
         for batch in batches(table_batches, column="ta"):
             out = []
-            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = shingle_set(ta, n, hashes), of(b, tb)
+            first = shingle_sets(batch.column(2).to_pylist(), n, hashes)
+            for a, b, x, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), first, batch.column(3).to_pylist()):
+                y = of(b, tb)
                 m = np.concatenate([x, y])
                 m.sort()
                 both = int((m[1:] == m[:-1]).sum())
@@ -206,7 +222,7 @@ def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
 
 
-def tile_pairs(token, block, cid, label, size, sigs, percent: int, one_per_labels: bool):
+def tile_pairs(token, block, cid, label, size, sigs, percent: int):
     """Pairs of row numbers that may link, of rows sorted by (token, size): same token,
     other label, other block (-1: any), sizes of one band, and bitmaps that allow it."""
     found = []
@@ -249,24 +265,17 @@ def tile_pairs(token, block, cid, label, size, sigs, percent: int, one_per_label
                 most = np.minimum(size[x] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), size[y] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
                 ok = most >= needed(size[x], size[y], percent)
                 if ok.any():
-                    found.append(np.stack([x[ok], y[ok], most[ok] * 1000 // (size[x[ok]] + size[y[ok]])]))
+                    found.append(np.stack([x[ok], y[ok]]))
         d += 1
     if not found:
         return np.zeros((2, 0), np.int64)
-    pairs = np.concatenate(found, 1)
-    if one_per_labels:
-        lo, hi = np.minimum(label[pairs[0]], label[pairs[1]]), np.maximum(label[pairs[0]], label[pairs[1]])
-        order = np.lexsort((-pairs[2], hi, lo))
-        first = np.ones(len(order), bool)
-        first[1:] = (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])
-        pairs = pairs[:, order[first]]
-    return pairs[:2]
+    return np.concatenate(found, 1)
 
 
-def _full_pairs(rows: DataFrame, texts: DataFrame, percent: int, one_per_labels: bool) -> DataFrame:
+def _full_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the tiles that still hold several components."""
     several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", "rows")
-    rows = rows.drop("n").join(several, "token").join(texts.select("cid", "n", "sig"), "cid")
+    rows = rows.drop("n").join(several, "token").join(classes, "cid")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.when(F.col("rows") > BLOCK, F.pmod(F.xxhash64("cid"), blocks).cast("int")).otherwise(F.lit(-1))
     tile = F.when(F.col("rows") > BLOCK, F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q")))).otherwise(F.array(F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q"))))
@@ -281,7 +290,7 @@ def _full_pairs(rows: DataFrame, texts: DataFrame, percent: int, one_per_labels:
         def emit(t):
             cols = [np.asarray(t.column(i)) for i in range(5)]
             cols[4] = cols[4].astype(np.int64)
-            x, y = tile_pairs(*cols, t.column(5).to_pylist(), percent, one_per_labels)
+            x, y = tile_pairs(*cols, t.column(5).to_pylist(), percent)
             a, b = np.minimum(cols[2][x], cols[2][y]), np.maximum(cols[2][x], cols[2][y])
             pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], names=["a", "b"])
@@ -316,9 +325,9 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     described = _describe(docs, n)
     levels = spark.sparkContext.broadcast(_levels(_merged_sketch(described)).astype(np.uint64))
-    tiles = _tiles(docs, levels, n, percent)
+    tiles, classes = _tiles(docs, levels, n, percent)
     sweep(spark)
-    texts = _involved(docs, described, tiles, n)
+    texts = _involved(docs, described, tiles)
     sweep(spark)
     links, tested, labels = [], [], None
 
@@ -337,8 +346,7 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     for k in range(HUB_ROUNDS):
         settle(_hub_pairs(_labelled(tiles.filter(F.pmod("token", F.lit(8)) == k), labels), percent))
-    for one in (True, False):
-        settle(_full_pairs(_labelled(tiles, labels), texts, percent, one))
+    settle(_full_pairs(_labelled(tiles, labels), classes, percent))
     drop(tiles, texts, *tested)
     rows = described.filter("n is not null").select("doc_id", "th", F.col("n").alias("n_shingles"), "cid")
     if labels is None:
