@@ -78,7 +78,7 @@ class Encoder:
     _WORDS = re.compile(rf"{_RUN}|\S+")
     _ODD = re.compile("[\x1c-\x1f\x85]")
 
-    def __init__(self, path: str, kind: str, limit: int = 400_000):
+    def __init__(self, path: str, kind: str, limit: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

@@ -11,7 +11,7 @@ anchors, so all copies of a window lie around anchors of one hash.  Anchors that
 once are done, anchors with all the same surroundings repeat as a whole, and only
 surroundings that differ (ends of repeated passages) are put into blocks by anchor hash
 and indexed.  Anchors with more surroundings than a block may hold are decided by
-counting hashes of their windows.
+sorting them (``_hot_marks``).
 """
 
 from __future__ import annotations
@@ -143,7 +143,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         s = order[tied]
         nxt = np.where(s + k < n, rank[np.minimum(s + k, n - 1)] + 1, 0)
         g = rank[s]
-        inner = np.lexsort((nxt, g))
+        inner = np.argsort(g * (n + 2) + nxt)
         s, g, nxt = s[inner], g[inner], nxt[inner]
         order[tied] = s
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (nxt[1:] != nxt[:-1])])
@@ -259,13 +259,14 @@ def _classified(rows: DataFrame) -> DataFrame:
 
 def _surroundings(docs: DataFrame, todo: DataFrame, length: int, blocks: int) -> DataFrame:
     """Bytes to be indexed, joined up within a text and block (kind 1: block, doc, at,
-    data), and hashes of the windows of hot anchors (kind 2: block and data are the hash)."""
+    data); the surroundings of hot anchors one by one (kind 2: block is the anchor's hash,
+    at its place, left the bytes before it)."""
     k = length // 2
     per = todo.groupBy("doc").agg(F.collect_list(F.struct("kind", "fp", "at", "left", "size")).alias("w"))
 
     def run(table_batches):
         for b in batches(table_batches):
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for doc, text, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 raw, v = utf8(text), w.values
                 kind, fp, at, left, size = (np.asarray(v.field(i)).astype(np.int64) for i in range(5))
@@ -276,19 +277,115 @@ def _surroundings(docs: DataFrame, todo: DataFrame, length: int, blocks: int) ->
                     for s, e in merge_spans(list(zip((at - left)[mine].tolist(), (at - left + size)[mine].tolist()))):
                         for c, y in zip(out, (1, x, doc, s, raw[s:e])):
                             c.append(y)
+                        out[5].append(0)
                 for p in np.flatnonzero(~one).tolist():
-                    a, n = int(at[p] - left[p]), int(size[p])
-                    part = np.frombuffer(raw[a : a + n], np.uint8)
-                    if n >= length:
-                        h = mix(Rolling(part).all(length))
-                        for i, y in enumerate(h.tolist()):
-                            if i <= left[p] <= i + length - k:
-                                for c, z in zip(out, (2, y - (1 << 64) if y >> 63 else y, doc, a + i, hashlib.blake2b(raw[a + i : a + i + length], digest_size=8).digest())):
-                                    c.append(z)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["kind", "block", "doc", "at", "data"])
+                    for c, y in zip(out, (2, int(fp[p]), doc, int(at[p]), raw[int(at[p] - left[p]) : int(at[p] - left[p] + size[p])], int(left[p]))):
+                        c.append(y)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["kind", "block", "doc", "at", "data", "left"])
+
+    return docs.join(per, "doc").select("doc", "text", "w").mapInArrow(run, "kind int, block long, doc long, at long, data binary, left int")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n
+    while lo + 1 < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid)
+    return lo
+
+
+_SIDES = "fp long, doc long, at long, lk binary, mid binary, rk binary, most int, skip_lo int, skip_hi int, marks array<struct<lo: int, hi: int>>"
+
+
+def _hot_marks(segments: DataFrame, length: int) -> DataFrame:
+    """Marks (doc, at, size) around anchors that have too many surroundings for a block.
 
-    return docs.join(per, "doc").select("doc", "text", "w").mapInArrow(run, "kind int, block long, doc long, at long, data binary")
+    A window of such an anchor takes a bytes before it and the rest behind.  Sorted by what
+    stands before (read backwards), neighbours show which windows repeat and how far left
+    a repeated window can reach; sorted by what stands behind, how far right.  Windows
+    within these bounds are counted by hash, each once per run of equal neighbours.
+    Both sorts are by range, so an anchor's surroundings are dealt over all tasks; at the
+    ends of a task's range, where a neighbour isn't seen, nothing is ruled out.
+    """
+    k = length // 2
+    need = length - k
+
+    def split(table_batches):
+        for b in table_batches:
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(5))))
+            cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3][: r[4]][::-1] for r in rows], [r[3][r[4] : r[4] + k] for r in rows], [r[3][r[4] + k :] for r in rows]]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["fp", "doc", "at", "lk", "mid", "rk"])
+
+    def neighbours(table_batches):
+        """(row, row before, row after) of a sorted partition; None at its ends."""
+        before = row = None
+        for b in table_batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if row is not None:
+                    yield row, before, r
+                before, row = row, r
+        if row is not None:
+            yield row, before, None
+
+    def compared(row, other, side):
+        """Whether it is another anchor; common bytes on the sorted side; windows shared."""
+        if other is None:
+            return len(row[side]), None
+        if other[0] != row[0] or other[4] != row[4]:
+            return 0, None
+        left, right = _common(row[3], other[3]), _common(row[5], other[5])
+        lo, hi = max(0, need - right), min(left, need)
+        return (left if side == 3 else right), ((lo, hi) if lo <= hi else None)
+
+    def pack(rows, names, kinds):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    spans = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+    def by_left(table_batches):
+        names = [x.split()[0] for x in _SIDES.split(", ")[:10]]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), spans)
+        out = []
+        for row, before, after in neighbours(table_batches):
+            (x, p), (y, q) = compared(row, before, 3), compared(row, after, 3)
+            out.append((*row, max(x, y), *(p or (1, 0)), [{"lo": r[0], "hi": r[1]} for r in (p, q) if r]))
+            if len(out) == 4096:
+                yield pack(out, names, kinds)
+                out = []
+        if out:
+            yield pack(out, names, kinds)
+
+    def by_right(table_batches):
+        names, kinds = ["h", "h2", "doc", "at", "size"], (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        out = []
+        for row, before, after in neighbours(table_batches):
+            (x, p), (y, q) = compared(row, before, 5), compared(row, after, 5)
+            _, doc, at, lk, mid, rk, most, skip_lo, skip_hi, marks = row
+            for lo, hi in [*((m["lo"], m["hi"]) for m in marks), *(r for r in (p, q) if r)]:
+                out.append((None, None, doc, at - hi, hi - lo + length))
+            left = lk[::-1]
+            for a in range(max(0, need - max(x, y)), min(most, need) + 1):
+                if not skip_lo <= a <= skip_hi:
+                    d = hashlib.blake2b(left[len(left) - a :] + mid + rk[: need - a], digest_size=16).digest()
+                    out.append((int.from_bytes(d[:8], "little", signed=True), d[8:], doc, at - a, length))
+            if len(out) > 4096:
+                yield pack(out, names, kinds)
+                out = []
+        if out:
+            yield pack(out, names, kinds)
+
+    n = max(1, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sides = segments.filter("kind = 2").select("block", "doc", "at", "data", "left").mapInArrow(split, "fp long, doc long, at long, lk binary, mid binary, rk binary")
+    first = sides.repartitionByRange(n, "fp", "lk", "rk").sortWithinPartitions("fp", "lk", "rk", "doc", "at").mapInArrow(by_left, _SIDES)
+    second = materialize(first.repartitionByRange(n, "fp", "rk", "lk").sortWithinPartitions("fp", "rk", "lk", "doc", "at").mapInArrow(by_right, "h long, h2 binary, doc long, at long, size long"), "hot")
+    counted = second.filter("h is not null")
+    several = counted.groupBy("h", "h2").agg(F.min(F.struct("doc", "at")).alias("lo"), F.max(F.struct("doc", "at")).alias("hi")).filter("lo < hi").select("h", "h2")
+    return second.filter("h is null").select("doc", "at", "size").unionByName(counted.join(several, ["h", "h2"], "left_semi").select("doc", "at", "size"))
 
 
 def _indexed(segments: DataFrame, length: int) -> DataFrame:
@@ -345,9 +442,8 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
     segments = materialize(_surroundings(slim, todo, length, max(1, -(-total // BLOCK_BYTES))), "segments")
     sweep(spark)
     marks = found.filter("kind = 0").select("doc", "at", F.col("size").cast("long").alias("size")).unionByName(_indexed(segments, length))
-    hot = segments.filter("kind = 2")
-    several = hot.groupBy("block", "data").agg(F.min(F.struct("doc", "at")).alias("lo"), F.max(F.struct("doc", "at")).alias("hi")).filter("lo < hi").select("block", "data")
-    marks = marks.unionByName(hot.join(several, ["block", "data"], "left_semi").select("doc", "at", F.lit(length).cast("long").alias("size")))
+    if not segments.filter("kind = 2").isEmpty():
+        marks = marks.unionByName(_hot_marks(segments, length))
     marks = materialize(marks, "marks")
     drop(found, segments)
     sweep(spark)
