@@ -17,6 +17,10 @@ from ..plans import logical as L
 from . import paths
 
 
+#: Key column of relationships whose types share none.
+HIDDEN = "_key"
+
+
 @dataclass
 class State:
     """A frame and what its variables stand for."""
@@ -132,11 +136,15 @@ class Compiler:
         s = self.state(op.input)
         edges = self.edges(op.types, op.properties, op.direction)
         own = [c for c in edges.columns if c not in ("__from", "__to")]
-        rel = edges.select(F.col("__from").alias("__from"), F.col("__to").alias("__to"), *[tick(c).alias(f"{op.relationship}__{c}") for c in own])
-        on = tick(s.keys[op.source]) == F.col("__from")
         m = self.config.relationship(op.types[0])
         key = f"{op.relationship}__{m.source_id_field.lower()}"
-        keys = {**s.keys, op.relationship: key if key in rel.columns else f"{op.relationship}__{own[0]}"}
+        extra = []
+        if m.source_id_field.lower() not in own:  # the types have no key column in common
+            key = f"{op.relationship}__{HIDDEN}"
+            extra = [F.col("__from").alias(key)]
+        rel = edges.select("__from", "__to", *[tick(c).alias(f"{op.relationship}__{c}") for c in own], *extra)
+        on = tick(s.keys[op.source]) == F.col("__from")
+        keys = {**s.keys, op.relationship: key}
         if op.target_bound:
             frame = s.frame.join(rel, on & (tick(s.keys[op.target]) == F.col("__to")), how).drop("__from", "__to")
             out = State(frame, keys, s.labels)
@@ -192,7 +200,7 @@ class Compiler:
                 if self.config.infer_properties and not m.property_fields:
                     fields = [m.id_field, *[c.removeprefix(var + "__") for c in s.of(var) if c != f"{var}__{m.id_field.lower()}"]]
             else:
-                fields = [c.removeprefix(var + "__") for c in s.of(var)]
+                fields = [f for c in s.of(var) if (f := c.removeprefix(var + "__")) != HIDDEN]
             return [(f"{name}.{f}", cols.prop(A.Prop(var, f))) for f in fields]
         if item.alias:
             return [(item.alias.lower(), cols.of(e))]
