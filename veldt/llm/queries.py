@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, compact_windows, decontamination, ngram_join, ngram_trie, packing, quality_rules, run_length_index, token_codes, warc
+from .oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +65,6 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_lm_scoring, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_quality_rules, op8_ngram_join, op9_warc, op10_token_codes)}
-ORACLES: dict[str, str] = {}
+
+
+__all__ = ["ORACLES", "QUERIES", "table"]
