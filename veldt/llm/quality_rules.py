@@ -106,7 +106,7 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 def _lines(keys: DataFrame) -> DataFrame:
     """A row per line with a word: host-line hash, number of words."""
-    lines = F.filter(F.transform(F.split(normalised(F.col("text")), "\n"), F.btrim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(normalised(F.col("text")), "\n"), lambda x: F.btrim(x)), lambda x: x != "")
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(F.col("host"), x).alias("hl"), (count_of(x, " ") + 1).alias("w")))
     return keys.select("doc_id", "host", "th", F.inline(hashed))
 
@@ -158,7 +158,9 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, m
 def clean(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, max_share: float = 0.1, max_removed: float = 0.5) -> DataFrame:
     """The kept documents with all their columns; lines above the limits are gone from ``text``."""
     cut = removed_lines(docs, min_docs, max_share, with_hashes=True).select(F.col("doc_id").alias("__d"), F.col("host").alias("__h"), F.col("th").alias("__t"), F.col("removed_words").alias("__w"), F.col("removed").alias("__r"))
-    own = docs.withColumns({"__host": F.coalesce("source", F.lit("")), "__th": F.xxhash64(F.coalesce("text", F.lit("")))}).withColumn("__s", text_stats(F.col("text")))
+    own = docs.withColumns({"__host": F.coalesce("source", F.lit("")), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    # a generator: filters on its columns stay above it, so the figures are computed once
+    own = own.select("*", F.inline(F.array(F.struct(text_stats(F.col("text")).alias("__s")))))
     own = own.filter((F.col("__s.n_words") >= min_words) & (100 * F.col("__s.n_repeat_words") <= max_repeat_percent * F.col("__s.n_words")))
     out = own.join(cut, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__host") == F.col("__h")) & (F.col("__th") == F.col("__t")), "left")
     out = out.filter(F.coalesce("__w", F.lit(0)) <= F.col("__s.n_words") * max_removed)
