@@ -30,6 +30,9 @@ SKETCH = 1 << 20
 #: Rows of a shingle's tile beyond which it is cut into blocks that meet pairwise.
 BLOCK = 4096
 HUB_ROUNDS = 3
+#: First shingles of a prefix: a pair is looked at in the tile of the first that both have
+#: among these (else in every common tile), and these tiles have the wider bitmaps.
+FIRST = 8
 
 
 def shingle_sets(texts: list[str | None], n: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -57,10 +60,11 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """One bit per shingle at its hash modulo a power of two of at least twice the set's size."""
+def bitmap(s: np.ndarray, room: int) -> np.ndarray:
+    """One bit per shingle at its hash modulo a power of two of at least ``room`` times the
+    set's size."""
     bits = 64
-    while bits < 2 * len(s):
+    while bits < room * len(s):
         bits *= 2
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     flat = np.zeros(bits, np.uint8)
@@ -125,10 +129,11 @@ def _levels(total: np.ndarray) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles in the common order: by level, then by mixed hash."""
+    """The first shingles in the common order (by level, then by mixed hash), in it."""
     k = len(s) + (-percent * len(s) // 100) + 1
     order = (levels[(s >> np.uint64(44)).astype(np.int64)] << np.uint64(58)) | (mix(s) >> np.uint64(6))
-    return s[np.argpartition(order, k - 1)[:k]] if k < len(s) else s
+    part = np.argpartition(order, k - 1)[:k] if k < len(s) else np.arange(len(s))
+    return s[part[np.argsort(order[part])]]
 
 
 def _tiles(docs: DataFrame, levels, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -153,18 +158,22 @@ def _tiles(docs: DataFrame, levels, n: int, percent: int) -> tuple[DataFrame, Da
             cids = np.array(list(own), np.int64)
             parts = [prefix(s, levels.value, percent) for s in own.values()]
             count, size = np.array([len(p) for p in parts]), np.array([len(s) for s in own.values()], np.int32)
-            # class rows carry the bitmap and a token of their own
+            pos = np.concatenate([np.arange(c, dtype=np.int32) for c in count])
+            none = pa.nulls(int(count.sum()), pa.binary())
+            sigs = [[bitmap(s, room).tobytes() for s in own.values()] for room in (2, 8)]
+            first = [p[:FIRST].tobytes().ljust(8 * FIRST, b"\0") for p in parts]
+            # class rows (pos -1) carry the bitmaps and a token of their own
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([cids, np.concatenate(parts).view(np.int64)])), pa.array(np.concatenate([cids, np.repeat(cids, count)])), pa.array(np.concatenate([size, np.repeat(size, count)])),
-                pa.concat_arrays([pa.array([bitmap(s).tobytes() for s in own.values()], pa.binary()), pa.nulls(int(count.sum()), pa.binary())]),
-            ], names=["token", "cid", "n", "sig"])
+                pa.array(np.concatenate([cids, np.concatenate(parts).view(np.int64)])), pa.array(np.concatenate([cids, np.repeat(cids, count)])), pa.array(np.concatenate([size, np.repeat(size, count)])), pa.array(np.concatenate([np.full(len(cids), -1, np.int32), pos])),
+                *(pa.concat_arrays([pa.array(x, pa.binary()), none]) for x in (*sigs, first)),
+            ], names=["token", "cid", "n", "pos", "sig", "wide", "first"])
 
-    rows = docs.select("th", "text").mapInArrow(run, "token long, cid long, n int, sig binary")
+    rows = docs.select("th", "text").mapInArrow(run, "token long, cid long, n int, pos int, sig binary, wide binary, first binary")
     by = "over (partition by token order by n, cid)"
     near = f"{percent} * lead(n) {by} <= 100 * n or {percent} * n <= 100 * lag(n) {by}"
-    found = materialize(rows.selectExpr("token", "cid", "n", "sig", f"coalesce({near}, false) as near").filter("near or sig is not null").select("token", "cid", "n", "sig"), "tiles")
-    classes = found.filter("sig is not null").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
-    return materialize(found.filter("sig is null").select("token", "cid", "n").distinct(), "tiles"), classes
+    found = materialize(rows.selectExpr("*", f"coalesce({near}, false) as near").filter("near or pos < 0").drop("near"), "tiles")
+    classes = found.filter("pos < 0").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "sig", "wide", "first")])
+    return materialize(found.filter("pos >= 0").select("token", "cid", "n", "pos").distinct(), "tiles"), classes
 
 
 def _involved(docs: DataFrame, described: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -222,9 +231,10 @@ def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
 
 
-def tile_pairs(token, block, cid, label, size, sigs, percent: int):
+def tile_pairs(token, block, label, size, pos, sigs, first, percent: int):
     """Pairs of row numbers that may link, of rows sorted by (token, size): same token,
-    other label, other block (-1: any), sizes of one band, and bitmaps that allow it."""
+    other label, other block (-1: any), sizes of one band, no earlier tile in common that
+    their first shingles show, and bitmaps that allow it."""
     found = []
     width = np.array([len(s) for s in sigs]) // 8
     flat = {}
@@ -237,13 +247,14 @@ def tile_pairs(token, block, cid, label, size, sigs, percent: int):
         place[rows] = np.arange(len(rows))
 
     def folded(rows, w):
-        """Bitmaps of ``rows`` (all as wide as w or twice that), at width w."""
+        """Bitmaps of ``rows`` at width w, which is their own or a smaller one."""
         out = np.empty((len(rows), w), np.uint64)
-        own = width[rows] == w
-        out[own] = flat[w][0][place[rows[own]]] if own.any() else 0
-        if not own.all():
-            x = flat[2 * w][0][place[rows[~own]]]
-            out[~own] = x[:, :w] | x[:, w:]
+        for own in np.unique(width[rows]).tolist():
+            pick = width[rows] == own
+            x = flat[own][0][place[rows[pick]]]
+            while x.shape[1] > w:
+                x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+            out[pick] = x
         return out
 
     live, d = np.arange(len(token) - 1), 1
@@ -254,13 +265,14 @@ def tile_pairs(token, block, cid, label, size, sigs, percent: int):
         other = live + d
         may = (label[live] != label[other]) & ((block[live] < 0) | (block[live] != block[other]))
         a, b = live[may], other[may]
-        for w in np.unique(width[a]) if len(a) else ():
-            for s in range(0, len(a), 1 << 15):
-                x, y = a[s : s + (1 << 15)], b[s : s + (1 << 15)]
-                pick = width[x] == w
-                x, y = x[pick], y[pick]
-                if not len(x):
-                    continue
+        for s in range(0, len(a), 1 << 13):
+            u, v = a[s : s + (1 << 13)], b[s : s + (1 << 13)]
+            p, q = first[u], first[v]
+            seen = ((p[:, :, None] == q[:, None, :]).any(2) & (p != 0) & (np.arange(FIRST) < pos[u][:, None])).any(1)
+            u, v = u[~seen], v[~seen]
+            low = np.minimum(width[u], width[v])
+            for w in np.unique(low):
+                x, y = u[low == w], v[low == w]
                 p, q = folded(x, int(w)), folded(y, int(w))
                 most = np.minimum(size[x] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), size[y] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
                 ok = most >= needed(size[x], size[y], percent)
@@ -275,12 +287,12 @@ def tile_pairs(token, block, cid, label, size, sigs, percent: int):
 def _full_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the tiles that still hold several components."""
     several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", "rows")
-    rows = rows.drop("n").join(several, "token").join(classes, "cid")
+    rows = rows.drop("n").join(several, "token").join(classes, "cid").withColumn("sig", F.when(F.col("pos") < FIRST, F.col("wide")).otherwise(F.col("sig")))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.when(F.col("rows") > BLOCK, F.pmod(F.xxhash64("cid"), blocks).cast("int")).otherwise(F.lit(-1))
     tile = F.when(F.col("rows") > BLOCK, F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q")))).otherwise(F.array(F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q"))))
     rows = rows.withColumn("block", own).withColumn("tile", F.explode(tile))
-    rows = rows.select(F.xxhash64("token", "tile.p", "tile.q").alias("tile"), F.when(F.col("tile.p") == F.col("tile.q"), F.lit(-1)).otherwise(F.col("block")).alias("block"), "cid", "label", "n", "sig")
+    rows = rows.select(F.xxhash64("token", "tile.p", "tile.q").alias("tile"), F.when(F.col("tile.p") == F.col("tile.q"), F.lit(-1)).otherwise(F.col("block")).alias("block"), "cid", "label", "n", "pos", "sig", "first")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(parts, "tile").sortWithinPartitions("tile", "n")
 
@@ -288,10 +300,10 @@ def _full_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         held = None
 
         def emit(t):
-            cols = [np.asarray(t.column(i)) for i in range(5)]
-            cols[4] = cols[4].astype(np.int64)
-            x, y = tile_pairs(*cols, t.column(5).to_pylist(), percent)
-            a, b = np.minimum(cols[2][x], cols[2][y]), np.maximum(cols[2][x], cols[2][y])
+            tile, block, cid, label, size, pos = (np.asarray(t.column(i)).astype(np.int64) for i in range(6))
+            first = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(-1, FIRST)
+            x, y = tile_pairs(tile, block, label, size, pos, t.column(6).to_pylist(), first, percent)
+            a, b = np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
             pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], names=["a", "b"])
 
