@@ -33,7 +33,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 PIECE = 4 << 20
 #: Surroundings of one anchor that a block may hold.
 HOT = 4096
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +104,17 @@ class RunLengthIndex:
         order = np.argsort(at)
         return at[order], match[order]
 
-    def _overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefix lengths, by bisection on substring hashes."""
-        lo, hi = np.zeros(len(a), np.int64), self.n - np.maximum(a, b)
-        while (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            same = self.roll.of(a, mid) == self.roll.of(b, mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+    def _overlap(self, a: np.ndarray, b: np.ndarray, short: int = 255) -> np.ndarray:
+        """Common prefix lengths, by bisection on substring hashes; most are short."""
+        room = self.n - np.maximum(a, b)
+        deep = room > short
+        deep[deep] = self.roll.of(a[deep], short + 1) == self.roll.of(b[deep], short + 1)
+        lo, hi = np.where(deep, short + 1, 0), np.where(deep, room, np.minimum(room, short))
+        go = np.arange(len(a))
+        while len(go := go[lo[go] < hi[go]]):
+            mid = (lo[go] + hi[go] + 1) // 2
+            same = self.roll.of(a[go], mid) == self.roll.of(b[go], mid)
+            lo[go], hi[go] = np.where(same, mid, lo[go]), np.where(same, hi[go], mid - 1)
         return lo
 
     def matching_statistics(self) -> np.ndarray:
@@ -124,7 +128,8 @@ class RunLengthIndex:
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Prefix doubling from 8 bytes up; only suffixes that are still tied are sorted again."""
+    """Prefix doubling from 8 bytes up, or tripling where three ranks fit into a key; only
+    suffixes that are still tied are sorted again."""
     n = len(data)
     wide = np.zeros(n + 8, np.uint64)
     wide[:n] = data
@@ -137,20 +142,22 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = group
-    k = 8
+    k, steps = 8, 2 if n + 2 < 1 << 21 else 1
     tied = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))  # positions in order
     while len(tied):
         s = order[tied]
-        nxt = np.where(s + k < n, rank[np.minimum(s + k, n - 1)] + 1, 0)
-        g = rank[s]
-        inner = np.argsort(g * (n + 2) + nxt)
-        s, g, nxt = s[inner], g[inner], nxt[inner]
+        code = rank[s]
+        for j in range(1, steps + 1):
+            at = s + j * k
+            code = code * (n + 2) + np.where(at < n, rank[np.minimum(at, n - 1)] + 1, 0)
+        inner = np.argsort(code)
+        s, code = s[inner], code[inner]
         order[tied] = s
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (nxt[1:] != nxt[:-1])])
+        new = np.concatenate([[True], code[1:] != code[:-1]])
         rank_new = np.maximum.accumulate(np.where(new, tied, 0))
         rank[s] = rank_new
         tied = tied[~(new & np.concatenate([new[1:], [True]]))]
-        k *= 2
+        k *= steps + 1
     return order
 
 
