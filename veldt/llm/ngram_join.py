@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ SKETCH = 1 << 20
 #: Rows of a shingle's tile beyond which it is cut into blocks that meet pairwise.
 BLOCK = 4096
 HUB_ROUNDS = 3
-#: First shingles of a prefix: a pair is looked at in the tile of the first that both have
-#: among these (else in every common tile), and these tiles have the wider bitmaps.
+#: First shared shingles of a prefix: a pair is looked at in the tile of the first that both
+#: have among these (else in every common tile), and these tiles have the wider bitmaps.
 FIRST = 8
 
 
@@ -137,8 +138,9 @@ def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _tiles(docs: DataFrame, levels, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix shingles shared by sets of sizes in one band (token, cid, n), and the bitmaps
-    of all classes (cid, sig).  A task sends a class once."""
+    """Prefix shingles shared by sets of sizes in one band (token, cid, n, pos), and of their
+    classes the bitmaps and first shared shingles (cid, n, sig, wide, first).  A task sends a
+    class once."""
 
     def run(table_batches):
         hashes, texts, seen = WordHashes(), set(), set()
@@ -161,19 +163,20 @@ def _tiles(docs: DataFrame, levels, n: int, percent: int) -> tuple[DataFrame, Da
             pos = np.concatenate([np.arange(c, dtype=np.int32) for c in count])
             none = pa.nulls(int(count.sum()), pa.binary())
             sigs = [[bitmap(s, room).tobytes() for s in own.values()] for room in (2, 8)]
-            first = [p[:FIRST].tobytes().ljust(8 * FIRST, b"\0") for p in parts]
             # class rows (pos -1) carry the bitmaps and a token of their own
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([cids, np.concatenate(parts).view(np.int64)])), pa.array(np.concatenate([cids, np.repeat(cids, count)])), pa.array(np.concatenate([size, np.repeat(size, count)])), pa.array(np.concatenate([np.full(len(cids), -1, np.int32), pos])),
-                *(pa.concat_arrays([pa.array(x, pa.binary()), none]) for x in (*sigs, first)),
-            ], names=["token", "cid", "n", "pos", "sig", "wide", "first"])
+                *(pa.concat_arrays([pa.array(x, pa.binary()), none]) for x in sigs),
+            ], names=["token", "cid", "n", "pos", "sig", "wide"])
 
-    rows = docs.select("th", "text").mapInArrow(run, "token long, cid long, n int, pos int, sig binary, wide binary, first binary")
+    rows = docs.select("th", "text").mapInArrow(run, "token long, cid long, n int, pos int, sig binary, wide binary")
     by = "over (partition by token order by n, cid)"
     near = f"{percent} * lead(n) {by} <= 100 * n or {percent} * n <= 100 * lag(n) {by}"
     found = materialize(rows.selectExpr("*", f"coalesce({near}, false) as near").filter("near or pos < 0").drop("near"), "tiles")
-    classes = found.filter("pos < 0").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "sig", "wide", "first")])
-    return materialize(found.filter("pos >= 0").select("token", "cid", "n", "pos").distinct(), "tiles"), classes
+    classes = found.filter("pos < 0").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "sig", "wide")])
+    tiles = materialize(found.filter("pos >= 0").select("token", "cid", "n", "pos").distinct(), "tiles")
+    first = tiles.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, FIRST).alias("first"))
+    return tiles, materialize(classes.join(first, "cid"), "classes")
 
 
 def _involved(docs: DataFrame, described: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -267,8 +270,8 @@ def tile_pairs(token, block, label, size, pos, sigs, first, percent: int):
         a, b = live[may], other[may]
         for s in range(0, len(a), 1 << 13):
             u, v = a[s : s + (1 << 13)], b[s : s + (1 << 13)]
-            p, q = first[u], first[v]
-            seen = ((p[:, :, None] == q[:, None, :]).any(2) & (p != 0) & (np.arange(FIRST) < pos[u][:, None])).any(1)
+            both = (first[1][u][:, :, None] == first[1][v][:, None, :]) & (first[0][v] < 1 << 31)[:, None, :]
+            seen = (both.any(2) & (first[0][u] < pos[u][:, None])).any(1)
             u, v = u[~seen], v[~seen]
             low = np.minimum(width[u], width[v])
             for w in np.unique(low):
@@ -287,7 +290,7 @@ def tile_pairs(token, block, label, size, pos, sigs, first, percent: int):
 def _full_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of the tiles that still hold several components."""
     several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", "rows")
-    rows = rows.drop("n").join(several, "token").join(classes, "cid").withColumn("sig", F.when(F.col("pos") < FIRST, F.col("wide")).otherwise(F.col("sig")))
+    rows = rows.drop("n").join(several, "token").join(classes, "cid").withColumn("sig", F.when(F.col("pos") <= F.element_at("first", -1)["pos"], F.col("wide")).otherwise(F.col("sig")))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.when(F.col("rows") > BLOCK, F.pmod(F.xxhash64("cid"), blocks).cast("int")).otherwise(F.lit(-1))
     tile = F.when(F.col("rows") > BLOCK, F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q")))).otherwise(F.array(F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q"))))
@@ -301,7 +304,12 @@ def _full_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
         def emit(t):
             tile, block, cid, label, size, pos = (np.asarray(t.column(i)).astype(np.int64) for i in range(6))
-            first = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(-1, FIRST)
+            lists = t.column(7).combine_chunks()
+            there = np.arange(FIRST) < np.asarray(pc.list_value_length(lists))[:, None]
+            first = np.zeros((2, *there.shape), np.int64)
+            first[0][~there] = 1 << 31  # after every place
+            for k in range(2):
+                first[k][there] = np.asarray(lists.flatten().field(k))
             x, y = tile_pairs(tile, block, label, size, pos, t.column(6).to_pylist(), first, percent)
             a, b = np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
             pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
