@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +51,10 @@ def _pack_low(low: np.ndarray, bits: int) -> np.ndarray:
 
 def ef_build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """Arrays of a non-decreasing sequence below ``universe``: packed low bits, high
-    bits in unary, and where every 64th zero and every 64th one of them stands."""
+    bits in unary, where every 64th one of them stands, and where each bucket of equal
+    high bits begins.  Three low bits more than usual make buckets of about eight."""
     n = len(values)
-    bits = max(0, min(63, (max(universe, 1) // max(n, 1)).bit_length() - 1))
+    bits = max(0, min(63, (max(universe, 1) // max(n, 1)).bit_length() + 2))
     values = np.asarray(values, np.uint64)
     high = (values >> np.uint64(bits)).astype(np.int64)
     ones = high + np.arange(n)
@@ -60,8 +63,8 @@ def ef_build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     flags[ones] = 1
     words = np.packbits(flags, bitorder="little").view(np.uint64)
     top = int(high[-1]) if n else 0
-    zeros = np.searchsorted(high, np.arange(0, top + 2, _STEP), "left")  # ones before the h-th bucket
-    return {"head": np.array([n, bits, top], np.uint64), "low": _pack_low(values & np.uint64((1 << bits) - 1), bits), "high": words, "zero": zeros.astype(np.uint64), "one": ones[::_STEP].astype(np.uint64)}
+    zeros = np.concatenate([[0], np.cumsum(np.bincount(high, minlength=top + 1))])  # ones before the h-th bucket
+    return {"head": np.array([n, bits, top], np.uint64), "low": _pack_low(values & np.uint64((1 << bits) - 1), bits), "high": words, "zero": zeros.astype(np.uint32 if n < 2**32 else np.uint64), "one": ones[::_STEP].astype(np.uint64)}
 
 
 class EliasFano:
@@ -78,11 +81,10 @@ class EliasFano:
         out |= np.where(off > 0, self.low[word + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
         return out & np.uint64((1 << self.bits) - 1)
 
-    def _select(self, at: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Bit position of the k-th (from 0) one or zero at or after bit ``at``."""
+    def _select(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Bit position of the k-th (from 0) one at or after bit ``at``."""
         word, k = at >> 6, k.copy()
-        flip = np.uint64(0) if ones else ~np.uint64(0)
-        w = (self.high[word] ^ flip) & (~np.uint64(0) << (at & 63).astype(np.uint64))
+        w = self.high[word] & (~np.uint64(0) << (at & 63).astype(np.uint64))
         while True:
             c = np.bitwise_count(w).astype(np.int64)
             far = np.flatnonzero(k >= c)
@@ -90,7 +92,7 @@ class EliasFano:
                 break
             k[far] -= c[far]
             word[far] += 1
-            w[far] = self.high[word[far]] ^ flip
+            w[far] = self.high[word[far]]
         place = np.zeros(len(k), np.int64)
         for half in (32, 16, 8, 4, 2, 1):
             part = (w >> place.astype(np.uint64)) & np.uint64((1 << half) - 1)
@@ -102,21 +104,9 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         at = self.one[i // _STEP].astype(np.int64)
-        high = self._select(at, i % _STEP, True) - i
+        high = self._select(at, i % _STEP) - i
         return (high.astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
 
-    def _bucket(self, h: np.ndarray) -> np.ndarray:
-        """Elements whose high part is below h (h at most top + 1)."""
-        k = h // _STEP
-        ones = self.zero[k].astype(np.int64)
-        rest = h - k * _STEP
-        out = ones.copy()
-        go = np.flatnonzero(rest > 0)
-        if len(go):  # the zero that closes bucket h - 1
-            start = ones[go] + k[go] * _STEP
-            out[go] = self._select(start, rest[go] - 1, False) - (h[go] - 1)
-        return out
-
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, -1 where it is not in the sequence (which has no repeats)."""
         out = np.full(len(keys), -1, np.int64)
@@ -125,17 +115,12 @@ class EliasFano:
         h = keys >> np.uint64(self.bits)
         here = np.flatnonzero(h <= np.uint64(self.top))
         h, low = h[here].astype(np.int64), keys[here] & np.uint64((1 << self.bits) - 1)
-        a = self._bucket(h)
-        b = np.where(h < self.top, self._bucket(np.minimum(h + 1, self.top)), self.n)
+        a, b = self.zero[h].astype(np.int64), self.zero[h + 1].astype(np.int64)
         end = b.copy()
-        while True:  # successor of the low part within the bucket
-            go = np.flatnonzero(a < b)
-            if not len(go):
-                break
-            mid = (a[go] + b[go]) // 2
-            less = self.lows(mid) < low[go]
-            a[go] = np.where(less, mid + 1, a[go])
-            b[go] = np.where(less, b[go], mid)
+        for _ in range(int((b - a).max(initial=0)).bit_length()):  # successor in the bucket
+            mid = (a + b) >> 1
+            less = (self.lows(np.minimum(mid, self.n - 1)) < low) & (mid < b)
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
         ok = a < end
         ok[ok] = self.lows(a[ok]) == low[ok]
         out[here[ok]] = a[ok]
@@ -174,15 +159,17 @@ def load_arrays(uri: str) -> dict[str, np.ndarray]:
     return {k: raw[base + at : base + at + m * np.dtype(t).itemsize].view(t) for k, (t, m, at) in json.loads(bytes(raw[16:base])).items()}
 
 
-def quantise(x: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
-    """One-byte codes into a book of the means of equally filled bins."""
-    if not len(x):
-        return {prefix + "code": np.zeros(0, np.uint8), prefix + "book": np.zeros(1, np.float32)}
-    order = np.argsort(x, kind="stable")
-    parts = np.array_split(x[order], min(256, len(x)))
+def quantise(x: np.ndarray, prefix: str, some: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """One-byte codes into a book of the means of equally filled bins.  Where ``some`` is
+    false the value is 0 and has the last code."""
+    y = x if some is None else x[some]
+    parts = np.array_split(np.sort(y), min(255, len(y))) if len(y) else [np.zeros(1)]
     book = np.array([p.mean() for p in parts])
-    edges = (book[1:] + book[:-1]) / 2
-    return {prefix + "code": np.searchsorted(edges, x).astype(np.uint8), prefix + "book": book.astype(np.float32)}
+    code = np.searchsorted((book[1:] + book[:-1]) / 2, x)
+    book = np.concatenate([book, np.zeros(256 - len(book))])
+    if some is not None:
+        code[~some] = 255
+    return {prefix + "code": code.astype(np.uint8), prefix + "book": book.astype(np.float32)}
 
 
 # ---- the model in a task -----------------------------------------------------------------
@@ -195,7 +182,7 @@ class Model:
         self.bits, self.vocabulary, self.levels, self.tokens, self.words = bits, vocabulary, levels, tokens, words
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "files")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "files", "kept")}
 
     def _file(self, uri: str) -> dict:
         files = self.__dict__.setdefault("files", {})
@@ -220,44 +207,46 @@ class Model:
                 count[mine[ok]] = f["count"][at[ok]]
         return rank, count
 
-    def ranks(self, texts: list[list[bytes]], limit: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    def ranks(self, texts: list[list[bytes]], limit: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
         """Rank (-1: not in training) and count of all tokens, one after the other."""
-        memo = self.__dict__.setdefault("memo", {})
-        new = list({w for t in texts for w in t if w not in memo})
+        if "memo" not in self.__dict__:
+            self.memo, self.kept = {}, np.zeros((2, 0), np.int64)
+        memo, n, had = self.memo, sum(map(len, texts)), len(self.memo)
+        new = [w for w in set(chain.from_iterable(texts)) if w not in memo]
+        both = self.kept
         if new:
-            full = len(memo) >= limit
-            memo.update(zip(new, zip(*(x.tolist() for x in self._lookup(new)))))
-        n = sum(map(len, texts))
-        get = memo.__getitem__
-        flat = np.fromiter((x for t in texts for w in t for x in get(w)), np.int64, 2 * n)
-        if new and full:
+            both = np.concatenate([both, np.stack(self._lookup(new))], 1)
+            memo.update(zip(new, range(had, had + len(new))))
+        at = np.fromiter(map(memo.__getitem__, chain.from_iterable(texts)), np.int64, n)
+        if new and had >= limit:  # the first words stay: they are the frequent ones
             for w in new:
                 del memo[w]
-        return flat[::2], flat[1::2]
+        else:
+            self.kept = both
+        return both[0][at], both[1][at]
 
     def children(self, level: int, context: np.ndarray, word: np.ndarray, weights: bool = False):
         """For each (context index, word rank): index on the level (-1: none), log10
         probability, and log10 weight of the context (0 without children)."""
         index, prob, weight = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context))
         files = self.levels[level]
-        lows = np.array([f[0] for f in files])
-        which = np.where(context >= 0, np.searchsorted(lows, context, "right") - 1, -1)
-        for k, (low, first, uri) in enumerate(files):
-            mine = np.flatnonzero(which == k)
-            if not len(mine):
+        lows = np.array([f[0] for f in files] + [np.iinfo(np.int64).max])
+        order = np.lexsort((word, context)) if self.words >= 2**31 else np.argsort((context << np.int64(32)) | (word & np.int64(0xFFFFFFFF))) if int(context.max(initial=0)) < 2**31 else np.lexsort((word, context))
+        cuts = np.searchsorted(context[order], lows)  # neighbours in a file are looked up together
+        for (low, first, uri), a, b in zip(files, cuts, cuts[1:]):
+            if a == b:
                 continue
-            f, local = self._file(uri), context[mine] - low
+            mine, f = order[a:b], self._file(uri)
+            local, w = context[mine] - low, word[mine]
             if weights:
-                span = f["child"].get(np.concatenate([local, local + 1])).astype(np.int64)
-                some = span[: len(local)] < span[len(local) :]
-                weight[mine[some]] = f["weight.book"][f["weight.code"][local[some]]]
-            known = word[mine] >= 0
-            at = np.full(len(mine), -1, np.int64)
-            at[known] = f["id"].find(local[known].astype(np.uint64) * np.uint64(self.words) + word[mine][known].astype(np.uint64))
+                weight[mine] = f["weight.book"][f["weight.code"][local]]
+            known = np.flatnonzero(w >= 0)
+            at = f["id"].find(local[known].astype(np.uint64) * np.uint64(self.words) + w[known].astype(np.uint64))
             ok = at >= 0
-            index[mine[ok]] = at[ok] + first
+            at, hit = at[ok], mine[known[ok]]
+            index[hit] = at + first
             if weights:
-                prob[mine[ok]] = f["prob.book"][f["prob.code"][at[ok]]]
+                prob[hit] = f["prob.book"][f["prob.code"][at]]
         return index, prob, weight
 
     def contexts(self, rank: np.ndarray, start: np.ndarray, order: int, end_rank: int) -> np.ndarray:
@@ -287,7 +276,6 @@ def _vocabulary(docs: DataFrame) -> tuple[list, int, int, int]:
 
     def count(table_batches):
         import xxhash
-        from collections import Counter
 
         held: Counter = Counter()
 
@@ -386,7 +374,7 @@ def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, min_cou
             held, n = [], 0
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["shard", "blob"])
 
-        for b in batches(table_batches):
+        for b in batches(table_batches, 4 << 20):
             rows = [(d, t) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not is_held_out(d)]
             if not rows:
                 continue
@@ -414,7 +402,7 @@ def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, min_cou
         some = np.bincount(ctx, minlength=here)
         arrays = {"id." + k: v for k, v in ef_build(keys, here * model.words).items()}
         arrays |= {"child." + k: v for k, v in ef_build(np.concatenate([[0], np.cumsum(some)]), len(keys) + 1).items()}
-        arrays |= quantise(np.log10(np.clip(weight, 1e-9, 1)), "weight.")
+        arrays |= quantise(np.log10(np.clip(weight, 1e-9, 1)), "weight.", some > 0)
         arrays |= quantise(np.log10(share), "prob.")
         uri = f"{folder}/level-{s:05d}-{TaskContext.get().taskAttemptId()}"
         save_arrays(uri, arrays)
@@ -429,7 +417,7 @@ def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, min_cou
     return files, at
 
 
-def train(docs: DataFrame, order: int = 3, min_count: int = 2) -> Model:
+def train(docs: DataFrame, order: int = 2, min_count: int = 2) -> Model:
     """Train on the documents that are not held out; every count covers all of them."""
     docs = docs.select("doc_id", "text")
     files, bits, tokens, words = _vocabulary(docs)
@@ -456,15 +444,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(table_batches):
         end = int(model._lookup([END])[0][0])
         n, v = model.tokens, model.words
-        for b in batches(table_batches):
+        for b in batches(table_batches, 3 << 20):
             ids = b.column(0).to_pylist()
             rank, count, start, ends, lengths = tokens_of(model, ids, b.column(1).to_pylist())
             base = (count + 0.5) / (n + 0.5 * (v + 1))
             p = base.copy()
             for k in range(len(model.levels)):
                 ctx = model.contexts(rank, start, k + 2, end)
-                at, own, weight = model.children(k, ctx, rank, weights=True)
-                p = 10.0**weight * p + np.where(at >= 0, 10.0**own, 0)
+                _, own, weight = model.children(k, ctx, rank, weights=True)
+                p = 10.0**weight * p + np.where(own < 0, 10.0**own, 0)
             cut = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             add = lambda x: np.add.reduceat(x, cut)
             yield pa.RecordBatch.from_arrays([
