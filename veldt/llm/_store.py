@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow.fs as pafs
@@ -55,9 +56,12 @@ def drop(*tables: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Shuffle files go once the driver has collected the plans that own them."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Shuffle files go once the driver has collected the plans that own them: first the
+    Python handles, then (when these have been let go) the plans themselves."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark._jvm.System.gc()
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -145,7 +145,9 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: int, percent: int) -> DataFrame:
-    both = pairs.join(texts.select(F.col("doc"), F.col("text").alias("tx")), "doc").join(texts.select(F.col("doc").alias("hub"), F.col("text").alias("ty")), "hub").select("doc", "hub", "tx", "ty")
+    # by merge at every size: pairs grow with the corpus, and texts are never broadcast
+    x, y = texts.select("doc", F.col("text").alias("tx")), texts.select(F.col("doc").alias("hub"), F.col("text").alias("ty"))
+    both = pairs.hint("merge").join(x, "doc").hint("merge").join(y, "hub").select("doc", "hub", "tx", "ty")
 
     def run(table_batches):
         hashes = WordHashes()
@@ -186,7 +188,7 @@ def near_duplicate_passages(docs: DataFrame, n: int = 5, min_words: int = 50, pe
         pairs = materialize(_candidates(rows), "pairs")
         if texts is None:
             ids = rows.select("doc").distinct()
-            texts = materialize(docs.join(ids, "doc", "left_semi"), "texts")
+            texts = materialize(docs.join(ids.hint("merge"), "doc", "left_semi"), "texts")
             sweep(docs.sparkSession)
         spans = _verified(pairs, texts, n, t, percent)
         found.append(spans)
