@@ -46,7 +46,8 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_FOLD = np.uint64(0x9E3779B97F4A7C15)
+_GOLD = 0x9E3779B97F4A7C15
+_FOLD = np.uint64(_GOLD)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -57,7 +58,7 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     n = min(n, len(words))
     out = mix(words[: len(words) - n + 1] + _FOLD)
     for k in range(1, n):
-        out = mix((out ^ words[k : len(words) - n + 1 + k]) + _FOLD * np.uint64(k + 1))
+        out = mix((out ^ words[k : len(words) - n + 1 + k]) + np.uint64(_GOLD * (k + 1) & (1 << 64) - 1))
     return out
 
 
@@ -123,10 +124,9 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text (null: none)."""
         cut = [self._pieces(t) if t else [] for t in texts]
         memo, full = self.memo, len(self.memo) >= self.limit
-        new = set(chain.from_iterable(ps for ps in cut if ps))
-        new.difference_update(memo)
+        new = [p for p in set(chain.from_iterable(ps for ps in cut if ps)) if p not in memo]
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = memo.__getitem__
         out = [b"".join(map(get, ps)) if ps is not None else self._ids(t).tobytes() for t, ps in zip(texts, cut)]
         if full:  # the first pieces stay: they are the frequent ones
