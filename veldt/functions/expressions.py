@@ -90,7 +90,7 @@ class Columns:
 
     def binary(self, op: str, a: Column, b: Column, right: A.Expr) -> Column:
         if op == "/":
-            return F.expr("1") * a / b if not self.integral(a, b) else F.call_function("div", a, b)
+            return F.call_function("div", a, b) if self.integral(a, b) else a / b
         simple = {
             "=": lambda: a == b, "<>": lambda: a != b, "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b,
             "and": lambda: a & b, "or": lambda: a | b, "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "%": lambda: a % b,
