@@ -176,7 +176,9 @@ def _tiles(docs: DataFrame, levels, n: int, percent: int) -> tuple[DataFrame, Da
     classes = found.filter("pos < 0").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "sig", "wide")])
     tiles = materialize(found.filter("pos >= 0").select("token", "cid", "n", "pos").distinct(), "tiles")
     first = tiles.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, FIRST).alias("first"))
-    return tiles, materialize(classes.join(first, "cid"), "classes")
+    classes = materialize(classes.join(first, "cid"), "classes")
+    drop(found)
+    return tiles, classes
 
 
 def _involved(docs: DataFrame, described: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -367,7 +369,7 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     for k in range(HUB_ROUNDS):
         settle(_hub_pairs(_labelled(tiles.filter(F.pmod("token", F.lit(8)) == k), labels), percent))
     settle(_full_pairs(_labelled(tiles, labels), classes, percent))
-    drop(tiles, texts, *tested)
+    drop(tiles, classes, texts, *tested)
     rows = described.filter("n is not null").select("doc_id", "th", F.col("n").alias("n_shingles"), "cid")
     if labels is None:
         rows = rows.withColumn("label", F.col("cid"))
