@@ -65,3 +65,16 @@ def test_passages_are_found_and_clean_texts_left(spark):
     assert all(out[d] == [before[d]] for d in out if d not in later and d is not None)
     assert all(len(out[d][0].split()) <= len(before[d].split()) - 65 for d in later)
     assert cw.near_duplicate_passages(df.limit(0)).count() == 0
+
+
+def test_partners_behind_frequent_shingles(spark):
+    rng = random.Random(5)
+    rows, pairs = [], set()
+    for i in range(10):
+        a, b = text(rng, 30, "a"), text(rng, 30, "b")  # each half is frequent and too short to count
+        for k in range(4):
+            rows += [(i * 10 + k, " ".join(text(rng, 60, "u") + a + text(rng, 60, "v"))), (i * 10 + 5 + k, " ".join(text(rng, 60, "u") + b + text(rng, 60, "v")))]
+        rows += [(1000 + i * 2 + k, " ".join(text(rng, 60, "u") + a + b + text(rng, 60, "v"))) for k in range(2)]
+        pairs.add((1001 + i * 2, 1000 + i * 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.first_doc_id) for r in cw.near_duplicate_passages(df).collect()} == pairs

@@ -25,7 +25,8 @@ FUNCTIONS = 4
 ENOUGH = 2
 #: Unmatched shingles that an aligned run may skip: two neighbouring edits.
 GAP = 12
-ROUNDS = 2
+#: Partners of a key that one task of the thorough sweep holds for a document.
+BLOCK = 512
 
 
 def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -112,13 +113,13 @@ def _rows(docs: DataFrame, n: int, t: int) -> DataFrame:
                     v = mix(s ^ seed)
                     w = np.array(windows(v, t, ties), np.int64)
                     keys.append(v[w[:, 1]] ^ np.uint64(f))
-                    parts.append(np.stack([np.full(len(w), f), np.maximum(w[:, 0], w[:, 1] - t + 1), np.minimum(w[:, 1], w[:, 2] - t + 1)], 1))
+                    parts.append(np.stack([np.full(len(w), f), np.maximum(w[:, 0], w[:, 1] - t + 1), np.minimum(w[:, 1], w[:, 2] - t + 1), w[:, 1]], 1))
                     ids.append(np.full(len(w), doc, np.int64))
             if keys:
                 p = np.concatenate(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(p[:, 0].astype(np.int8)), pa.array(p[:, 1].astype(np.int32)), pa.array(p[:, 2].astype(np.int32))], names=["key", "doc", "f", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(p[:, 0].astype(np.int8)), pa.array(p[:, 1].astype(np.int32)), pa.array(p[:, 2].astype(np.int32)), pa.array(p[:, 3].astype(np.int32))], names=["key", "doc", "f", "a", "b", "c"])
 
-    return docs.mapInArrow(run, "key long, doc long, f byte, a int, b int")
+    return docs.mapInArrow(run, "key long, doc long, f byte, a int, b int, c int")
 
 
 def _with_hub(rows: DataFrame) -> DataFrame:
@@ -144,6 +145,62 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "doc long, hub long")
 
 
+def meetings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows (function, a, b, c, key) of one document, every two windows of different
+    functions that have a passage start in common: their joint key and both minima."""
+    keys, one, two = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    own = {int(f): rows[rows[:, 0] == f] for f in np.unique(rows[:, 0])}
+    own = {f: r[np.argsort(r[:, 1])] for f, r in own.items()}  # disjoint: a start has one window a function
+    for f, u in own.items():
+        for g, v in own.items():
+            if f < g:
+                lo, hi = np.searchsorted(v[:, 2], u[:, 1]), np.searchsorted(v[:, 1], u[:, 2], "right")
+                n = np.maximum(hi - lo, 0)
+                i = np.repeat(np.arange(len(u)), n)
+                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                keys.append(mix(mix(u[i, 4].view(np.uint64)) ^ v[j, 4].view(np.uint64)))
+                one.append(u[i, 3])
+                two.append(v[j, 3])
+    return np.concatenate(keys), np.concatenate(one), np.concatenate(two)
+
+
+def _joint(rows: DataFrame) -> DataFrame:
+    """(key, doc, c, e) of all windows of two functions that meet within a document."""
+
+    def run(table_batches):
+        for b in table_batches:
+            out = [[], [], [], []]
+            for doc, part in zip(b.column(0).to_pylist(), b.column(1)):
+                v = part.values
+                k, c, e = meetings(np.stack([np.asarray(v.field(i)).astype(np.int64) for i in range(5)], 1))
+                k, at = np.unique(np.stack([k.view(np.int64), c, e], 1), axis=0).T, len(k)
+                if at:
+                    for col, x in zip(out, (k[0], np.full(len(k[0]), doc, np.int64), k[1], k[2])):
+                        col.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "doc", "c", "e"])
+
+    return rows.groupBy("doc").agg(F.collect_list(F.struct("f", "a", "b", "c", "key")).alias("w")).mapInArrow(run, "key long, doc long, c int, e int")
+
+
+def _open(joint: DataFrame, spans: DataFrame, n: int) -> DataFrame:
+    """``joint`` with a mark on rows whose minima aren't both in one found passage."""
+    seen = spans.select(F.col("doc_id").alias("doc"), F.col("start").alias("s"), (F.col("end") - n).alias("t")).groupBy("doc").agg(F.collect_set(F.struct("s", "t")).alias("spans"))
+    inside = F.exists("spans", lambda x: (x["s"] <= F.least("c", "e")) & (x["t"] >= F.greatest("c", "e")))
+    return joint.hint("merge").join(seen, "doc", "left").select("key", "doc", "first", (~F.coalesce(inside, F.lit(False))).alias("open"))
+
+
+def _partners(rows: DataFrame) -> DataFrame:
+    """All (doc, hub) of a key, hub earlier, for the open rows of doc.  Keys of many
+    documents are dealt in blocks of partners."""
+    key = Window.partitionBy("key")
+    rows = rows.groupBy("key", "doc").agg(F.max("open").alias("open"))
+    rows = rows.withColumns({"first": F.min("doc").over(key), "last": F.max(F.when(F.col("open"), F.col("doc"))).over(key), "blocks": F.ceil(F.count("*").over(key) / BLOCK).cast("int")}).filter("first < last")
+    x = rows.filter("open and doc > first").select("key", "doc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    y = rows.filter("doc < last").select("key", F.col("doc").alias("hub"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
+    return x.hint("merge").join(y, ["key", "block"]).filter("hub < doc").select("doc", "hub").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: int, percent: int) -> DataFrame:
     # by merge at every size: pairs grow with the corpus, and texts are never broadcast
     x, y = texts.select("doc", F.col("text").alias("tx")), texts.select(F.col("doc").alias("hub"), F.col("text").alias("ty"))
@@ -173,8 +230,10 @@ def near_duplicate_passages(docs: DataFrame, n: int = 5, min_words: int = 50, pe
     doc_id): doc_id, start, end (words, end exclusive), first_doc_id, first_start,
     first_end, similarity (of the passages' sets of ``n``-word shingles).
 
-    Every document is compared with the first document of each window key it shares;
-    windows that this leaves unexplained are compared with the first of the others.
+    Every document is compared with the first document of each window key it shares.
+    Windows of two functions that meet at a passage start have a joint key; where no
+    found passage holds both minima, a document is compared with every earlier document of
+    the joint key.
     Null, empty and short texts have no passages.  Rows without an id are ignored; rows
     that repeat an id are texts of one document and not compared with each other.
     Passages repeated inside one document are not looked for.  Other columns are ignored.
@@ -183,31 +242,29 @@ def near_duplicate_passages(docs: DataFrame, n: int = 5, min_words: int = 50, pe
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
     rows = materialize(_with_hub(_rows(docs, n, t)), "windows")
     sweep(docs.sparkSession)
-    texts, found = None, []
-    for k in range(ROUNDS):
-        pairs = materialize(_candidates(rows), "pairs")
-        if texts is None:
-            ids = rows.select("doc").distinct()
-            texts = materialize(docs.join(ids.hint("merge"), "doc", "left_semi"), "texts")
-            sweep(docs.sparkSession)
-        spans = _verified(pairs, texts, n, t, percent)
-        found.append(spans)
-        sweep(docs.sparkSession)
-        if k + 1 < ROUNDS:
-            # what a found passage covers is explained, and the hub has met everybody
-            seen = spans.select(F.col("doc_id").alias("doc"), F.col("start").alias("s"), (F.col("end") - n - t + 1).alias("e")).groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-            left = rows.filter("doc <> hub").join(seen, "doc", "left")
-            left = left.filter(~F.coalesce(F.exists("spans", lambda x: (x["s"] <= F.col("b")) & (x["e"] >= F.col("a"))), F.lit(False)))
-            rest = materialize(_with_hub(left.select("key", "doc", "f", "a", "b")), "windows")
-            drop(rows, pairs)
-            rows = rest
-            if rows.isEmpty():
-                break
+    pairs = materialize(_candidates(rows), "pairs")
+    texts = materialize(docs.join(rows.select("doc").distinct().hint("merge"), "doc", "left_semi"), "texts")
+    sweep(docs.sparkSession)
+    found = _verified(pairs, texts, n, t, percent)
+    sweep(docs.sparkSession)
+    # the first of each joint key, then the first open one, explain most of what is left
+    key = Window.partitionBy("key")
+    joint = materialize(_joint(rows).withColumns({"first": F.min("doc").over(key), "__last": F.max("doc").over(key)}).filter("first < __last").drop("__last"), "joint")
     drop(rows)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    sweep(docs.sparkSession)
+    for hub in (F.col("first"), F.min(F.when(F.col("doc") > F.col("first"), F.col("doc"))).over(key)):
+        new = _open(joint, found, n).filter("open").withColumn("hub", hub).filter("hub < doc").select("doc", "hub").distinct()
+        more = materialize(new.hint("merge").join(pairs, ["doc", "hub"], "left_anti"), "pairs")
+        pairs = pairs.unionByName(more)
+        found = found.unionByName(_verified(more, texts, n, t, percent))
+        sweep(docs.sparkSession)
+    # and every open row meets all earlier documents of its key
+    rest = materialize(_partners(_open(joint, found, n)).hint("merge").join(pairs, ["doc", "hub"], "left_anti"), "pairs")
+    drop(joint)
+    sweep(docs.sparkSession)
+    found = found.unionByName(_verified(rest, texts, n, t, percent))
+    sweep(docs.sparkSession)
+    return found.distinct()
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
