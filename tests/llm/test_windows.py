@@ -78,3 +78,46 @@ def test_partners_behind_frequent_shingles(spark):
         pairs.add((1001 + i * 2, 1000 + i * 2))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.first_doc_id) for r in cw.near_duplicate_passages(df).collect()} == pairs
+
+
+def similar_starts(x, y, t, percent):
+    """Starts in x of t shingles that are similar to t of y, by all pairs."""
+    sets = [set(y[j : j + t].tolist()) for j in range(len(y) - t + 1)]
+    own = [set(x[i : i + t].tolist()) for i in range(len(x) - t + 1)]
+    return {i for i, u in enumerate(own) if any(100 * len(u & v) >= percent * len(u | v) for v in sets)}
+
+
+def covers(x, y, t, percent):
+    got = cw.passages(x, y, t, percent)
+    for a, b, c, d, j in got:
+        u, v = set(x[a : b + 1].tolist()), set(y[c : d + 1].tolist())
+        assert b - a + 1 >= t and abs(len(u & v) / len(u | v) - j) < 1e-12 and 100 * j >= percent
+    return got
+
+
+def test_passages_against_all_pairs():
+    rng = random.Random(9)
+    hashes = cw.WordHashes()
+    of = lambda words: cw.shingles(" ".join(words), 5, hashes)
+    p = text(rng, 60, "p")
+    cases = [
+        (p, [*p[28:33], *text(rng, 40, "z"), *p]),  # one middle shingle earlier in y
+        (p, [*p[:30], *text(rng, 40, "z"), *p[20:], *text(rng, 9, "z"), *p]),  # a teaser and a part first
+        (p[:50], [*p[:46], "edit", *p[47:50], *text(rng, 30, "z")]),  # an edit near the end
+        (p[:50], [*p[:3], "edit", *p[4:50]]),
+        (p, [*p[:30], "more", *p[30:]]),
+    ]
+    for u, v in cases:
+        x, y = of([*text(rng, 70, "l"), *u, *text(rng, 70, "m")]), of([*text(rng, 33, "n"), *v, *text(rng, 50, "o")])
+        assert similar_starts(x, y, 46, 80) and covers(x, y, 46, 80)
+    for _ in range(60):  # words of few kinds, lines that repeat, pieces of x in y
+        words = text(rng, 40, "w")
+        x = [rng.choice(words) for _ in range(rng.randrange(60, 160))]
+        y = [rng.choice(words) for _ in range(30)]
+        for _ in range(rng.randrange(1, 5)):
+            a = rng.randrange(len(x) - 20)
+            y += x[a : a + rng.randrange(5, 90)] + [rng.choice(words) for _ in range(rng.randrange(6))]
+        x, y = of(x), of(y)
+        want, got = similar_starts(x, y, 46, 80), covers(x, y, 46, 80)
+        assert bool(want) <= bool(got)
+        assert all(any(a < i + 46 and i <= b for a, b, *_ in got) for i in want)

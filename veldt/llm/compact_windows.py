@@ -72,30 +72,92 @@ def agreeing(rows: np.ndarray, enough: int) -> bool:
     return int(np.cumsum(step[np.argsort(at, kind="stable")]).max()) >= enough
 
 
+def _similarity(u: np.ndarray, v: np.ndarray) -> tuple[int, int]:
+    """Sizes of intersection and union of two lists' sets."""
+    u, v = np.unique(u), np.unique(v)
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both, len(u) + len(v) - both
+
+
+def _new_places(y: np.ndarray, t: int) -> np.ndarray:
+    """Whether the t - 1 shingles on both sides of a place haven't been seen earlier in y:
+    a passage of t shingles around a place that was is there in y already."""
+    edge = mix(np.arange(1, 2 * t - 1, dtype=np.uint64))
+    v = mix(np.concatenate([edge[: t - 1], y, edge[t - 1 :]]))
+    power = np.cumprod(np.full(len(v), 0x9E3779B97F4A7C15, np.uint64))
+    inverse = np.cumprod(np.full(len(v), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * power, dtype=np.uint64)])
+    context = (total[2 * t - 1 :] - total[: len(y)]) * inverse[: len(y)]
+    out = np.zeros(len(y), bool)
+    out[np.unique(context, return_index=True)[1]] = True
+    return out
+
+
+def _stretched(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, t: int, percent: int):
+    """A run of under ``t`` shingles with as many unmatched ones at its edges as make
+    ``t``, by the most similar choice; None if no choice is similar."""
+    best, size = None, int(p[-1] - p[0]) + 1
+    for d in {int(q[0] - p[0]), int(q[-1] - p[-1])}:
+        for a in range(max(0, int(p[-1]) - t + 1), min(int(p[0]), len(x) - t) + 1):
+            c, e = max(0, a + d), min(len(y), a + d + t)
+            both, all_ = _similarity(x[a : a + t], y[c:e]) if c < e else (0, 1)
+            if 100 * both >= percent * all_ and (best is None or both / all_ > best[4]):
+                best = (a, a + t - 1, c, e - 1, both / all_)
+    return best if size < t else None
+
+
 def passages(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """(x first, x last, y first, y last, similarity) of passages of x of at least ``t``
-    shingles whose sets are similar to a passage of y; shingle numbers, last inclusive."""
+    shingles whose sets are similar to a passage of y; shingle numbers, last inclusive.
+
+    Matches with the first occurrence in y are followed over any drift; those with all
+    occurrences within bands of diagonals."""
     order = np.argsort(y, kind="stable")
-    at = np.minimum(np.searchsorted(y[order], x), len(y) - 1)
-    p = np.flatnonzero(y[order][at] == x)
+    ys = y[order]
+    lo, n = np.searchsorted(ys, x), np.searchsorted(ys, x, "right")
+    n -= lo
+    p = np.flatnonzero(n)
     if len(p) < 1:
         return []
-    q = order[at[p]]
+    q = order[lo[p]]
     turn = np.flatnonzero((np.diff(p) > GAP) | (np.abs(np.diff(q - p)) > GAP)) + 1
-    out, todo = [], [np.arange(a, b) for a, b in zip([0, *turn], [*turn, len(p)])]
+    runs = [(p[a:b], q[a:b]) for a, b in zip([0, *turn], [*turn, len(p)])]
+    if len(runs) > 1 or n.max() > 1:
+        if n.max() > 1:
+            new = _new_places(y, t)
+            order = order[new[order]]
+            ys = y[order]
+            lo, n = np.searchsorted(ys, x), np.searchsorted(ys, x, "right")
+            n -= lo
+        ap = np.repeat(np.arange(len(x)), n)
+        aq = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        for shift in (0, GAP):  # diagonals at most GAP apart are in one band of one of both
+            band = (aq - ap + len(x) + shift) // (2 * GAP)
+            at = np.lexsort((aq, ap, band))
+            bp, bq, band = ap[at], aq[at], band[at]
+            turn = np.concatenate([[0], np.flatnonzero((np.diff(band) != 0) | (np.diff(bp) > GAP)) + 1, [len(bp)]])
+            some = np.flatnonzero(np.diff(turn) >= t // 2)
+            runs += [(bp[turn[i] : turn[i + 1]], bq[turn[i] : turn[i + 1]]) for i in some]
+    out, todo = set(), runs
     while todo:
-        run = todo.pop()
-        if p[run[-1]] - p[run[0]] + 1 < t:
+        p, q = todo.pop()
+        if p[-1] - p[0] + 1 < t:
+            if 2 * len(p) >= t and (best := _stretched(x, y, p, q, t, percent)):
+                out.add(best)
             continue
-        a, b, c, d = int(p[run[0]]), int(p[run[-1]]), int(q[run].min()), int(q[run].max())
-        u, v = np.unique(x[a : b + 1]), np.unique(y[c : d + 1])
-        both = len(np.intersect1d(u, v, assume_unique=True))
-        if 100 * both >= percent * (len(u) + len(v) - both):
-            out.append((a, b, c, d, both / (len(u) + len(v) - both)))
+        a, b, c, d = int(p[0]), int(p[-1]), int(q.min()), int(q.max())
+        both, all_ = _similarity(x[a : b + 1], y[c : d + 1])
+        if 100 * both >= percent * all_:
+            out.add((a, b, c, d, both / all_))
         else:
-            cut = int(np.argmax(np.maximum(np.diff(p[run]), np.abs(np.diff(q[run])))) + 1)
-            todo += [run[:cut], run[cut:]]
-    return sorted(out)
+            cut = int(np.argmax(np.maximum(np.diff(p), np.abs(np.diff(q)))) + 1)
+            todo += [(p[:cut], q[:cut]), (p[cut:], q[cut:])]
+    kept, reach = [], -1
+    for r in sorted(out, key=lambda r: (r[0], -r[1], -r[4], r[2])):  # what lies in another one of x is told by that
+        if r[1] > reach:
+            kept.append(r)
+            reach = r[1]
+    return kept
 
 
 def _rows(docs: DataFrame, n: int, t: int) -> DataFrame:
