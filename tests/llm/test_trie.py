@@ -92,3 +92,8 @@ def test_distributions_sum_to_one():
     words = [*(w for (w,) in uni), "never seen"]
     for ctx in (("a",), ("a", "b"), ("\n",), ("\n", "a"), ("b", "b")):
         assert math.isclose(sum(p((*ctx, w)) for w in words), 1, rel_tol=1e-9)
+
+
+def test_default_order_counts_trigrams(spark):
+    df = spark.createDataFrame([(i, "a b c d e") for i in range(40)], "doc_id long, text string")
+    assert len(nt.train(df).levels) == 2
