@@ -7,10 +7,10 @@ cuts lineage, so a lost executor costs a re-read and not a re-computation.
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +19,12 @@ _OWN: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder as a URI: ``spark.checkpoint.dir``; a local one is made
-    (and set) only where that is unset, as in tests."""
+    """The shared folder as a URI: ``spark.checkpoint.dir``.  Where that is unset a local
+    one is made if driver and executors are one process, as in tests; else it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="veldt-"))
         root = _OWN[0]
@@ -33,20 +35,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/veldt/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Jobs in here give up their shuffle files as they end: what they write is a table,
+    and no later job reads their shuffles."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    with tidy(spark):
+        (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veldt_path = path
     return out
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more, and let Spark
-    remove the shuffle files of finished jobs."""
+    """Delete materialised tables that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_veldt_path", None)
         if path:
@@ -55,15 +70,6 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Shuffle files go once the driver has collected the plans that own them: first the
-    Python handles, then (when these have been let go) the plans themselves."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.2)
-        spark._jvm.System.gc()
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path for a shared URI; works on the driver and in tasks."""
     if uri.startswith("file:"):
