@@ -9,15 +9,16 @@ from veldt.llm import compact_windows as cw
 
 def test_windows_stand_for_every_passage():
     rng = np.random.default_rng(1)
-    for n, top, t in ((40, 1000, 5), (60, 6, 7), (30, 1, 3), (12, 100, 13), (25, 4, 1)):
-        v = rng.integers(0, top, n).astype(np.uint64)
+    for sizes, top, t in (((40, 0, 7, 12), 1000, 5), ((60,), 6, 7), ((30, 2), 1, 3), ((12, 3), 100, 13), ((25, 9), 4, 1), ((50, 50), 3, 46)):
+        parts = [rng.integers(0, top, n).astype(np.uint64) for n in sizes]
         seen = {}
-        for l, c, r in cw.windows(v, t):
-            for i in range(l, c + 1):
-                for j in range(c, r + 1):
-                    assert (i, j) not in seen and v[c] == v[i : j + 1].min()
-                    seen[i, j] = c
-        assert all((i, j) in seen for i in range(n) for j in range(i + t - 1, n))
+        for seq, a, b, c in zip(*(x.tolist() for x in cw.windows(np.concatenate(parts), np.array(sizes), t))):
+            assert c >= a and parts[seq][c] == parts[seq][a : a + t].min()
+            for i in range(a, b + 1):
+                assert (seq, i) not in seen
+                seen[seq, i] = parts[seq][c]
+        assert seen == {(k, i): v[i : i + t].min() for k, v in enumerate(parts) for i in range(len(v) - t + 1)}
+    assert not len(cw.windows(np.zeros(0, np.uint64), np.zeros(0, int), 3)[0])
 
 
 def test_agreeing():

@@ -160,3 +160,21 @@ def batches(table_batches, limit: int = 1 << 20, column: str = "text"):
             end = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
             yield b.slice(at, end - at)
             at = end
+
+
+def whole_runs(table_batches):
+    """Tables of sorted batches, cut so that equal values of the first column stay together."""
+    import pyarrow as pa
+
+    held = None
+    for b in table_batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        key = t.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        held = t.slice(cut)
+        if cut:
+            yield t.slice(0, cut)
+    if held is not None:
+        yield held

@@ -5,7 +5,7 @@ stands for all passages that begin in l..c and end in c..r: their minimum is at
 Splitting a range at its minimum (the root of its Cartesian tree) lists the windows of
 all passages of at least ``t`` shingles; there are about 2n/t of them.  Windows with the
 same minimum meet; for a pair of texts the intervals of passage starts are joined by a
-sweep, and where enough functions agree the passages are verified: aligned runs of
+and where enough functions agree the passages are verified: aligned runs of
 equal shingles whose sets have a Jaccard similarity of at least the threshold.
 """
 
@@ -18,15 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import drop, materialize, sweep
-from ._text import LOWER, WordHashes, batches, mix, shingle_hashes, utf8
+from ._store import drop, materialize
+from ._text import LOWER, WordHashes, batches, mix, shingle_hashes, utf8, whole_runs
 
 FUNCTIONS = 4
 ENOUGH = 2
 #: Unmatched shingles that an aligned run may skip: two neighbouring edits.
 GAP = 12
-#: Partners of a key that one task of the thorough sweep holds for a document.
-BLOCK = 512
+#: Shingles that a verifying task remembers.
+HELD = 4_000_000
+#: Classes of a key beyond which it is cut into blocks that meet pairwise.
+BLOCK = 2048
+#: Of a context's bitmap.
+BITS = 1024
 
 
 def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -35,23 +39,37 @@ def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     return shingle_hashes(hashes.of(words), n) if len(words) >= n else np.zeros(0, np.uint64)
 
 
-def windows(values: np.ndarray, t: int, ties: bool = True) -> list[tuple[int, int, int]]:
-    """Compact windows of all ranges of at least ``t`` values; of equal minima the one
-    nearest the middle is the root, so repetitive texts stay shallow."""
-    out, todo = [], [(0, len(values))]
-    while todo:
-        a, b = todo.pop()
-        if b - a < t:
-            continue
-        part = values[a:b]
-        c = int(part.argmin())
-        if ties:
-            same = np.flatnonzero(part == part[c])
-            c = int(same[np.abs(same - (b - a) // 2).argmin()])
-        c += a
-        out.append((a, c, b - 1))
-        todo += ((a, c), (c + 1, b))
-    return out
+def windows(values: np.ndarray, sizes: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Compact windows of all ranges of at least ``t`` values in sequences that stand one
+    after another: (sequence, first start, last start, minimum's place) within the sequence.
+
+    The Cartesian tree's node c, of the range l..r, is a window if that has t values; its
+    passages of t values start at max(l, c - t + 1) .. min(c, r - t + 1).  These are the
+    runs of starts with one minimum, so sliding minima list the nodes without the tree.
+    Starts next to each other that have equal minima are one run."""
+    ends = np.cumsum(sizes)
+    starts = np.maximum(sizes - t + 1, 0)
+    none = np.zeros(0, np.int64)
+    if not starts.any():
+        return none, none, none, none
+    low, span = values, 1
+    while 2 * span <= t:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < t:
+        low = np.minimum(low[: len(values) - t + 1], low[t - span :])
+    seq = np.repeat(np.arange(len(sizes)), starts)  # of each start that has t values
+    at = np.arange(len(seq)) - np.repeat(np.cumsum(starts) - starts, starts)
+    flat = at + (ends - sizes)[seq]
+    m = low[flat]
+    new = np.concatenate([[True], (m[1:] != m[:-1]) | (seq[1:] != seq[:-1])])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:] - 1, [len(m) - 1]])
+    c = np.empty(len(first), np.int64)
+    for k in range(0, len(first), 1 << 14):
+        w = flat[first[k : k + (1 << 14)]]
+        c[k : k + (1 << 14)] = values[w[:, None] + np.arange(t)].argmin(1)
+    return seq[first], at[first], at[last], at[first] + c
 
 
 def agreeing(rows: np.ndarray, enough: int) -> bool:
@@ -74,51 +92,76 @@ def agreeing(rows: np.ndarray, enough: int) -> bool:
 
 def _similarity(u: np.ndarray, v: np.ndarray) -> tuple[int, int]:
     """Sizes of intersection and union of two lists' sets."""
-    u, v = np.unique(u), np.unique(v)
-    both = len(np.intersect1d(u, v, assume_unique=True))
-    return both, len(u) + len(v) - both
+    sizes = []
+    for s in (u, v):
+        s = np.sort(s)
+        sizes.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+    both = np.concatenate(sizes)
+    both.sort()
+    both = int((both[1:] == both[:-1]).sum())
+    return both, len(sizes[0]) + len(sizes[1]) - both
+
+
+class Stretches:
+    """Hashes of any stretches of a list of shingles."""
+
+    def __init__(self, y: np.ndarray):
+        power = np.cumprod(np.full(len(y), 0x9E3779B97F4A7C15, np.uint64))
+        self.inverse = np.cumprod(np.full(len(y) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(y) * power, dtype=np.uint64)])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of shingles a..b-1."""
+        return mix((self.total[b] - self.total[a]) * self.inverse[a] ^ (b - a).astype(np.uint64))
 
 
 def _new_places(y: np.ndarray, t: int) -> np.ndarray:
     """Whether the t - 1 shingles on both sides of a place haven't been seen earlier in y:
     a passage of t shingles around a place that was is there in y already."""
     edge = mix(np.arange(1, 2 * t - 1, dtype=np.uint64))
-    v = mix(np.concatenate([edge[: t - 1], y, edge[t - 1 :]]))
-    power = np.cumprod(np.full(len(v), 0x9E3779B97F4A7C15, np.uint64))
-    inverse = np.cumprod(np.full(len(v), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * power, dtype=np.uint64)])
-    context = (total[2 * t - 1 :] - total[: len(y)]) * inverse[: len(y)]
+    at = np.arange(len(y))
+    context = Stretches(np.concatenate([edge[: t - 1], y, edge[t - 1 :]])).of(at, at + 2 * t - 1)
     out = np.zeros(len(y), bool)
     out[np.unique(context, return_index=True)[1]] = True
     return out
 
 
-def _stretched(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, t: int, percent: int):
+def _stretched(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, t: int, percent: int, may: np.ndarray):
     """A run of under ``t`` shingles with as many unmatched ones at its edges as make
-    ``t``, by the most similar choice; None if no choice is similar."""
-    best, size = None, int(p[-1] - p[0]) + 1
-    for d in {int(q[0] - p[0]), int(q[-1] - p[-1])}:
-        for a in range(max(0, int(p[-1]) - t + 1), min(int(p[0]), len(x) - t) + 1):
+    ``t``, by the most similar choice; None if no choice is similar.  ``may``: the starts in
+    x at which enough shingles are somewhere in y."""
+    first = max(0, int(p[-1]) - t + 1)
+    starts = first + np.flatnonzero(may[first : min(int(p[0]), len(x) - t) + 1])
+    best = None
+    for d in {int(q[0] - p[0]), int(q[-1] - p[-1])} if len(starts) else ():
+        for a in starts.tolist():
             c, e = max(0, a + d), min(len(y), a + d + t)
             both, all_ = _similarity(x[a : a + t], y[c:e]) if c < e else (0, 1)
             if 100 * both >= percent * all_ and (best is None or both / all_ > best[4]):
                 best = (a, a + t - 1, c, e - 1, both / all_)
-    return best if size < t else None
+    return best
 
 
-def passages(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+def places(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of y by shingle, and the shingles in that order."""
+    order = np.argsort(y, kind="stable")
+    return order, y[order]
+
+
+def passages(x: np.ndarray, y: np.ndarray, t: int, percent: int, known: tuple | None = None) -> list[tuple[int, int, int, int, float]]:
     """(x first, x last, y first, y last, similarity) of passages of x of at least ``t``
     shingles whose sets are similar to a passage of y; shingle numbers, last inclusive.
 
     Matches with the first occurrence in y are followed over any drift; those with all
     occurrences within bands of diagonals."""
-    order = np.argsort(y, kind="stable")
-    ys = y[order]
+    order, ys = known or places(y)
     lo, n = np.searchsorted(ys, x), np.searchsorted(ys, x, "right")
     n -= lo
     p = np.flatnonzero(n)
-    if len(p) < 1:
+    if len(p) < 1 or (p[-1] - p[0] + 1 < t and 2 * len(p) < t):
         return []
+    hits = np.concatenate([[0], np.cumsum(n > 0)])
+    may = None
     q = order[lo[p]]
     turn = np.flatnonzero((np.diff(p) > GAP) | (np.abs(np.diff(q - p)) > GAP)) + 1
     runs = [(p[a:b], q[a:b]) for a, b in zip([0, *turn], [*turn, len(p)])]
@@ -138,17 +181,23 @@ def passages(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> list[tuple[i
             turn = np.concatenate([[0], np.flatnonzero((np.diff(band) != 0) | (np.diff(bp) > GAP)) + 1, [len(bp)]])
             some = np.flatnonzero(np.diff(turn) >= t // 2)
             runs += [(bp[turn[i] : turn[i + 1]], bq[turn[i] : turn[i + 1]]) for i in some]
-    out, todo = set(), runs
+    out, todo = set(), sorted(runs, key=lambda r: r[0][-1] - r[0][0])  # the longest first
     while todo:
         p, q = todo.pop()
+        if any(r[0] <= p[0] and p[-1] <= r[1] for r in out):
+            continue
         if p[-1] - p[0] + 1 < t:
-            if 2 * len(p) >= t and (best := _stretched(x, y, p, q, t, percent)):
-                out.add(best)
+            if 2 * len(p) >= t and len(x) >= t:
+                if may is None:
+                    may = 100 * (hits[t:] - hits[:-t]) >= percent * fewest(x, t)
+                if best := _stretched(x, y, p, q, t, percent, may):
+                    out.add(best)
             continue
         a, b, c, d = int(p[0]), int(p[-1]), int(q.min()), int(q.max())
         both, all_ = _similarity(x[a : b + 1], y[c : d + 1])
         if 100 * both >= percent * all_:
-            out.add((a, b, c, d, both / all_))
+            if 100 * (d - c + 1) >= percent * t:  # else x repeats what y has once
+                out.add((a, b, c, d, both / all_))
         else:
             cut = int(np.argmax(np.maximum(np.diff(p), np.abs(np.diff(q)))) + 1)
             todo += [(p[:cut], q[:cut]), (p[cut:], q[cut:])]
@@ -165,21 +214,15 @@ def _rows(docs: DataFrame, n: int, t: int) -> DataFrame:
         hashes = WordHashes()
         seeds = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for b in batches(table_batches):
-            keys, ids, parts = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(text, n, hashes)
-                if len(s) < t:
-                    continue
-                ties = len(np.unique(s)) < len(s)
-                for f, seed in enumerate(seeds):
-                    v = mix(s ^ seed)
-                    w = np.array(windows(v, t, ties), np.int64)
-                    keys.append(v[w[:, 1]] ^ np.uint64(f))
-                    parts.append(np.stack([np.full(len(w), f), np.maximum(w[:, 0], w[:, 1] - t + 1), np.minimum(w[:, 1], w[:, 2] - t + 1), w[:, 1]], 1))
-                    ids.append(np.full(len(w), doc, np.int64))
-            if keys:
-                p = np.concatenate(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(p[:, 0].astype(np.int8)), pa.array(p[:, 1].astype(np.int32)), pa.array(p[:, 2].astype(np.int32)), pa.array(p[:, 3].astype(np.int32))], names=["key", "doc", "f", "a", "b", "c"])
+            sets = [shingles(x, n, hashes) for x in b.column(1).to_pylist()]
+            flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+            ids = np.asarray(b.column(0))
+            for f, seed in enumerate(seeds):
+                v = mix(flat ^ seed)
+                doc, first, last, c = windows(v, sizes, t)
+                if len(doc):
+                    key = v[(np.cumsum(sizes) - sizes)[doc] + c] ^ np.uint64(f)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(np.full(len(doc), f, np.int8)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(c.astype(np.int32))], names=["key", "doc", "f", "a", "b", "c"])
 
     return docs.mapInArrow(run, "key long, doc long, f byte, a int, b int, c int")
 
@@ -226,41 +269,146 @@ def meetings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(one), np.concatenate(two)
 
 
-def _joint(rows: DataFrame) -> DataFrame:
-    """(key, doc, c, e) of all windows of two functions that meet within a document."""
+def _joint(rows: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
+    """(key, doc, c, e, ctx) of all windows of two functions that meet within a document;
+    ctx is the hash of all shingles that a passage of ``t`` with both minima can have."""
 
     def run(table_batches):
-        for b in table_batches:
-            out = [[], [], [], []]
-            for doc, part in zip(b.column(0).to_pylist(), b.column(1)):
-                v = part.values
+        hashes = WordHashes()
+        for b in batches(table_batches):
+            out = [[], [], [], [], []]
+            for doc, text, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                v, s = part.values, shingles(text, n, hashes)
                 k, c, e = meetings(np.stack([np.asarray(v.field(i)).astype(np.int64) for i in range(5)], 1))
-                k, at = np.unique(np.stack([k.view(np.int64), c, e], 1), axis=0).T, len(k)
-                if at:
-                    for col, x in zip(out, (k[0], np.full(len(k[0]), doc, np.int64), k[1], k[2])):
+                there = np.maximum(c, e) < len(s)  # else another text of that id
+                k, c, e = np.unique(np.stack([k.view(np.int64), c, e], 1)[there], axis=0).T
+                if len(k):
+                    ctx = Stretches(s).of(*reach(c, e, len(s), t))
+                    for col, x in zip(out, (k, np.full(len(k), doc, np.int64), c, e, ctx.view(np.int64))):
                         col.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "doc", "c", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["key", "doc", "c", "e", "ctx"])
 
-    return rows.groupBy("doc").agg(F.collect_list(F.struct("f", "a", "b", "c", "key")).alias("w")).mapInArrow(run, "key long, doc long, c int, e int")
+    own = rows.groupBy("doc").agg(F.collect_list(F.struct("f", "a", "b", "c", "key")).alias("w"))
+    return texts.hint("merge").join(own, "doc").select("doc", "text", "w").mapInArrow(run, "key long, doc long, c int, e int, ctx long")
 
 
 def _open(joint: DataFrame, spans: DataFrame, n: int) -> DataFrame:
-    """``joint`` with a mark on rows whose minima aren't both in one found passage."""
-    seen = spans.select(F.col("doc_id").alias("doc"), F.col("start").alias("s"), (F.col("end") - n).alias("t")).groupBy("doc").agg(F.collect_set(F.struct("s", "t")).alias("spans"))
+    """``joint`` with a mark on rows whose minima aren't both in one stretch of found
+    passages (of any partners) that are at most GAP shingles apart."""
+    own = spans.select(F.col("doc_id").alias("doc"), F.col("start").alias("s"), (F.col("end") - n).alias("t")).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("s", "t"))).alias("spans"))
+
+    def longer(out, x):
+        last = F.try_element_at(out, F.lit(-1))
+        more = F.struct(last["s"].alias("s"), F.greatest(last["t"], x["t"]).alias("t"))
+        near = (F.size(out) > 0) & (x["s"] <= last["t"] + GAP + 1)
+        return F.when(near, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(out, F.array(x)))
+
+    seen = own.select("doc", F.aggregate("spans", F.expr("cast(array() as array<struct<s: bigint, t: bigint>>)"), longer).alias("spans"))
     inside = F.exists("spans", lambda x: (x["s"] <= F.least("c", "e")) & (x["t"] >= F.greatest("c", "e")))
-    return joint.hint("merge").join(seen, "doc", "left").select("key", "doc", "first", (~F.coalesce(inside, F.lit(False))).alias("open"))
+    return joint.hint("merge").join(seen, "doc", "left").select("key", "doc", "c", "e", "ctx", "first", (~F.coalesce(inside, F.lit(False))).alias("open"))
+
+
+def reach(c: np.ndarray, e: np.ndarray, size: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 of all shingles that passages of ``t`` with both minima can have."""
+    return np.maximum(np.maximum(c, e) - t + 1, 0), np.minimum(np.minimum(c, e) + t, size)
+
+
+def fewest(s: np.ndarray, t: int) -> np.ndarray:
+    """Number of distinct shingles of every passage of ``t``, by its start."""
+    order = np.argsort(s, kind="stable")
+    before = np.full(len(s), -1, np.int64)  # place of the same shingle before
+    same = np.flatnonzero(s[order[1:]] == s[order[:-1]])
+    before[order[same + 1]] = order[same]
+    starts = np.arange(len(s) - t + 1)
+    if not (before > np.arange(len(s)) - t).any():
+        return np.full(len(starts), t)
+    out = np.zeros(len(starts), np.int64)
+    for k in range(t):
+        out += before[k : k + len(starts)] < starts
+    return out
 
 
-def _partners(rows: DataFrame) -> DataFrame:
-    """All (doc, hub) of a key, hub earlier, for the open rows of doc.  Keys of many
-    documents are dealt in blocks of partners."""
-    key = Window.partitionBy("key")
-    rows = rows.groupBy("key", "doc").agg(F.max("open").alias("open"))
-    rows = rows.withColumns({"first": F.min("doc").over(key), "last": F.max(F.when(F.col("open"), F.col("doc"))).over(key), "blocks": F.ceil(F.count("*").over(key) / BLOCK).cast("int")}).filter("first < last")
-    x = rows.filter("open and doc > first").select("key", "doc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    y = rows.filter("doc < last").select("key", F.col("doc").alias("hub"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
-    return x.hint("merge").join(y, ["key", "block"]).filter("hub < doc").select("doc", "hub").distinct()
+def contexts(s: np.ndarray, c: np.ndarray, e: np.ndarray, t: int, percent: int):
+    """For pairs of minima: a bitmap of the shingles in reach, their number, and how many of
+    them another context must have if passages of ``t`` around the minima are similar."""
+    lo, hi = reach(c, e, len(s), t)
+    few = fewest(s, t)
+    bits, sizes, need = np.zeros((len(c), BITS // 64), np.uint64), np.zeros(len(c), np.int16), np.zeros(len(c), np.int16)
+    for k, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
+        own = np.unique(s[a:b])
+        flat = np.zeros(BITS, np.uint8)
+        flat[(own & np.uint64(BITS - 1)).astype(np.int64)] = 1
+        bits[k] = np.packbits(flat, bitorder="little").view(np.uint64)
+        sizes[k], need[k] = len(own), -(-percent * int(few[a : max(b - t + 1, a + 1)].min()) // 100)
+    return bits, sizes, need
+
+
+def alike(tile, block, doc, is_open, bits, sizes, need) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (later, earlier), sorted by (tile, doc): the later one open, of other
+    documents, of other blocks (-1: any), whose bitmaps allow similar passages."""
+    found = []
+    live, d = np.arange(len(tile) - 1), 1
+    while len(live):
+        live = live[live + d < len(tile)]
+        live = live[tile[live + d] == tile[live]]
+        x, y = live + d, live
+        may = is_open[x] & (doc[x] != doc[y]) & ((block[x] < 0) | (block[x] != block[y]))
+        x, y = x[may], y[may]
+        for k in range(0, len(x), 1 << 14):
+            u, v = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+            p, q = bits[u], bits[v]
+            most = np.minimum(sizes[u] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), sizes[v] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
+            ok = most >= np.maximum(need[u], need[v])
+            found.append(np.stack([u[ok], v[ok]]))
+        d += 1
+    return tuple(np.concatenate(found, 1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _partners(rows: DataFrame, texts: DataFrame, n: int, t: int, percent: int) -> DataFrame:
+    """(doc, hub), hub earlier, that explain the open rows of each key if anything does.
+    Rows of equal contexts are a class: its later documents meet its first one, which has
+    the same passage.  Of the first ones, those whose contexts' bitmaps allow a similar
+    passage meet; keys of many classes are dealt in blocks that meet pairwise."""
+    rows = rows.groupBy("key", "ctx", "doc").agg(F.min(F.struct("c", "e")).alias("at"), F.max("open").alias("open"))
+    classes = materialize(rows.groupBy("key", "ctx").agg(F.min(F.struct("doc", "at", "open")).alias("r"), F.max("doc").alias("last"), F.max("open").alias("any")), "classes")
+    same = rows.filter("open").join(classes.filter("any and r.doc < last").select("key", "ctx", F.col("r.doc").alias("hub")), ["key", "ctx"]).filter("hub < doc").select("doc", "hub").distinct()
+    same = materialize(same, "same")
+    by = Window.partitionBy("key")
+    heads = classes.select("key", "r.*").withColumns({"first": F.min("doc").over(by), "last": F.max(F.when(F.col("open"), F.col("doc"))).over(by), "blocks": F.ceil(F.count("*").over(by) / BLOCK).cast("int")})
+    heads = heads.filter("open and doc > first or doc < last").groupBy("doc").agg(F.collect_list(F.struct("key", "at.c", "at.e", "open", "blocks")).alias("heads"))
+
+    def described(table_batches):
+        hashes = WordHashes()
+        for b in batches(table_batches):
+            for doc, text, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                v, s = part.values, shingles(text, n, hashes)
+                key, c, e = (np.asarray(v.field(i)).astype(np.int64) for i in range(3))
+                there = np.flatnonzero(np.maximum(c, e) < len(s)) if len(s) >= t else []  # else another text of that id
+                if len(there):
+                    bits, sizes, need = contexts(s, c[there], e[there], t, percent)
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(there), [None, pa.py_buffer(bits.tobytes())])
+                    at = pa.array(there)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[there]), pa.array(np.full(len(there), doc, np.int64)), v.field(3).take(at), v.field(4).take(at), raw.cast(pa.binary()), pa.array(sizes), pa.array(need)], names=["key", "doc", "open", "blocks", "bits", "size", "need"])
+
+    tiles = texts.hint("merge").join(heads, "doc").select("doc", "text", "heads").mapInArrow(described, "key long, doc long, open boolean, blocks int, bits binary, size short, need short")
+    many = F.col("blocks") > 1
+    tiles = tiles.withColumn("block", F.when(many, F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).otherwise(F.lit(-1)))
+    pair = lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q"))
+    tiles = tiles.withColumn("meet", F.explode(F.when(many, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).otherwise(F.array(F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q"))))))
+    tiles = tiles.select(F.xxhash64("key", "meet.p", "meet.q").alias("tile"), F.when(F.col("meet.p") == F.col("meet.q"), F.lit(-1)).otherwise(F.col("block")).alias("block"), "doc", "open", "size", "need", "bits")
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "doc")
+
+    def run(table_batches):
+        for r in whole_runs(table_batches):
+            tile, block, doc, is_open, size, need = (r.column(i).to_numpy() for i in range(6))
+            raw = r.column(6).combine_chunks()
+            bits = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(tile), BITS // 64)
+            x, y = alike(tile, block, doc, is_open, bits, size.astype(np.int64), need)
+            pairs = np.unique(np.stack([doc[x], doc[y]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["doc", "hub"])
+
+    return tiles.mapInArrow(run, "doc long, hub long").unionByName(same).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: int, percent: int) -> DataFrame:
@@ -269,16 +417,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: int, percent: int)
     both = pairs.hint("merge").join(x, "doc").hint("merge").join(y, "hub").select("doc", "hub", "tx", "ty")
 
     def run(table_batches):
-        hashes = WordHashes()
-        last = (None, None, None)
+        hashes, kept, room = WordHashes(), {}, HELD
+        last = (None, None)
+
+        def of(text):
+            """Shingles of a text; those met lately are remembered."""
+            nonlocal room
+            out = kept.pop(text, None)
+            if out is None:
+                out = shingles(text, n, hashes)
+                room -= len(out) + 100
+            kept[text] = out
+            while room < 0 and len(kept) > 1:
+                room += len(kept.pop(next(iter(kept)))) + 100
+            return out
+
         for batch in batches(table_batches, column="tx"):
             out = [[] for _ in range(7)]
             for doc, hub, tx, ty in zip(*(c.to_pylist() for c in batch.columns)):
-                if last[:2] != (hub, ty):
-                    last = (hub, ty, shingles(ty, n, hashes))
-                x, y = shingles(tx, n, hashes), last[2]
+                if last[0] != ty:
+                    y = of(ty)
+                    last = (ty, y, places(y))
+                x, y = of(tx), last[1]
                 if len(x) and len(y):
-                    for a, b, c, d, j in passages(x, y, t, percent):
+                    for a, b, c, d, j in passages(x, y, t, percent, last[2]):
                         for col, v in zip(out, (doc, a, b + n, hub, c, d + n, j)):  # words, end exclusive
                             col.append(v)
             kinds = [pa.int64()] * 6 + [pa.float64()]
@@ -303,29 +465,22 @@ def near_duplicate_passages(docs: DataFrame, n: int = 5, min_words: int = 50, pe
     t = min_words - n + 1
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
     rows = materialize(_with_hub(_rows(docs, n, t)), "windows")
-    sweep(docs.sparkSession)
     pairs = materialize(_candidates(rows), "pairs")
     texts = materialize(docs.join(rows.select("doc").distinct().hint("merge"), "doc", "left_semi"), "texts")
-    sweep(docs.sparkSession)
     found = _verified(pairs, texts, n, t, percent)
-    sweep(docs.sparkSession)
     # the first of each joint key, then the first open one, explain most of what is left
     key = Window.partitionBy("key")
-    joint = materialize(_joint(rows).withColumns({"first": F.min("doc").over(key), "__last": F.max("doc").over(key)}).filter("first < __last").drop("__last"), "joint")
+    joint = materialize(_joint(rows, texts, n, t).withColumns({"first": F.min("doc").over(key), "__last": F.max("doc").over(key)}).filter("first < __last").drop("__last"), "joint")
     drop(rows)
-    sweep(docs.sparkSession)
     for hub in (F.col("first"), F.min(F.when(F.col("doc") > F.col("first"), F.col("doc"))).over(key)):
         new = _open(joint, found, n).filter("open").withColumn("hub", hub).filter("hub < doc").select("doc", "hub").distinct()
         more = materialize(new.hint("merge").join(pairs, ["doc", "hub"], "left_anti"), "pairs")
         pairs = pairs.unionByName(more)
         found = found.unionByName(_verified(more, texts, n, t, percent))
-        sweep(docs.sparkSession)
     # and every open row meets all earlier documents of its key
-    rest = materialize(_partners(_open(joint, found, n)).hint("merge").join(pairs, ["doc", "hub"], "left_anti"), "pairs")
+    rest = materialize(_partners(_open(joint, found, n), texts, n, t, percent).hint("merge").join(pairs, ["doc", "hub"], "left_anti"), "pairs")
     drop(joint)
-    sweep(docs.sparkSession)
     found = found.unionByName(_verified(rest, texts, n, t, percent))
-    sweep(docs.sparkSession)
     return found.distinct()
 
 
