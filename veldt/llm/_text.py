@@ -68,38 +68,47 @@ class Encoder:
     Texts are cut where the tokenizer's own pre-tokenisation always cuts, every
     distinct piece goes through the library once and is remembered (a bounded
     memory), and a text for which the cuts aren't certain goes through whole.
-    The ids are those of encoding the whole text.  Control strings inside texts
-    are ordinary text.
+    The ids are those of encoding the whole text without added special tokens.  Control
+    strings inside texts get their special ids, as the library does it, or are ordinary
+    text with ``plain_controls``.
     """
 
-    #: A run of letters that ends before ASCII that is no letter, else all up to
-    #: white space.  In byte-level vocabularies a space belongs to what follows it.
-    _RUN = r"[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{-\x7f]|\Z)"
-    _BYTES = re.compile(rf" ?{_RUN}| ?\S+|\n(?=\S)")
-    _WORDS = re.compile(rf"{_RUN}|\S+")
-    _ODD = re.compile("[\x1c-\x1f\x85]")
+    #: White space on which the library and Python may differ, and the pieces' separator.
+    _ODD = re.compile("[\x1c-\x1f\x85\ue000]")
 
-    def __init__(self, path: str, kind: str, limit: int = 900_000):
+    def __init__(self, path: str, kind: str, plain_controls: bool = False, limit: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain_controls
         self.kind, self.limit = kind, limit
+        controls = [] if plain_controls else [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.controls = re.compile("|".join(map(re.escape, controls)), re.IGNORECASE) if controls else None
+        #: A run of letters that ends before ASCII that is no letter, else all up to
+        #: white space.  In byte-level vocabularies a space belongs to what follows it.
+        run = rf"[{self._letters()}]+(?=[\x00-@\[-`{{-\x7f]|\Z)"
+        self.bytes, self.words = re.compile(rf" ?{run}| ?\S+|\n(?=\S)"), re.compile(rf"{run}|\S+")
         self.memo = {"\n": self._ids("\n").tobytes()}
         if kind == "byte":
             self.gap, self.sep = "\n", self._ids("\n")
         else:
-            self.gap, self.sep = "  ", self._ids("")
+            self.gap, self.sep = " \ue000 ", self._ids("\ue000")
+
+    def _letters(self) -> str:
+        """Latin letters that are nothing but letters after the tokenizer's normalisation
+        (the lower case of U+0130 has a combining mark, which joins what follows it)."""
+        norm = self.tok.normalizer.normalize_str if self.tok.normalizer else str
+        return "".join(c for c in map(chr, range(0x250)) if c.isalpha() and norm(c).isalpha())
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _pieces(self, text: str) -> list[str] | None:
-        if self._ODD.search(text):
+        if self._ODD.search(text) or (self.controls and self.controls.search(text)):
             return None
         if self.kind != "byte":
-            return self._WORDS.findall(text)
-        pieces = self._BYTES.findall(text)
+            return self.words.findall(text)
+        pieces = self.bytes.findall(text)
         return pieces if sum(map(len, pieces)) == len(text) else None
 
     def _learn(self, new: list[str]) -> None:
@@ -135,14 +144,24 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, plain_controls: bool = False) -> Encoder:
     """The worker process's own encoder; later tasks go on with what it remembers."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, kind)
-    return _ENCODERS[path, kind]
+    key = (path, kind, plain_controls)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
+
+
+def spread(df, *columns, piece: int = 4 << 20):
+    """``df``'s columns.  If it has fewer partitions than there are cores (a few large files),
+    rows are dealt over as many as there are pieces of this many bytes, at most the cores."""
+    spark = df.sparkSession
+    cores, size = spark.sparkContext.defaultParallelism, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n, out = min(cores, -(-size // piece)), df.select(*columns)
+    return out if n <= 1 or out.rdd.getNumPartitions() >= cores else out.repartition(n)
 
 
 def batches(table_batches, limit: int = 1 << 20, column: str = "text"):

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import batches, encoder
+from ._text import batches, encoder, spread
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -76,21 +76,22 @@ def pack_lengths(lengths: list[int], capacity: int, keep_open: bool = False) ->
     return full, sorted(rest)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, capacity: int = 2048, window_tokens: int = 1 << 20, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, capacity: int = 2048, window_tokens: int = 1 << 20, with_ids: bool = False, plain_controls: bool = False) -> DataFrame:
     """Encode whole texts (null: empty), append ``end_id`` and pack everything.
 
-    No shuffle: each input partition is packed by itself in windows of
+    No shuffle, unless a large input has fewer partitions than there are cores: each partition is packed by itself in windows of
     ``window_tokens`` ids (the bound of a task's memory); what doesn't fill a sequence
     moves on to the next window, so only a partition's last sequences can have slack.
     Sequence ids are
     the partition number times 2^40 plus a counter; a lost task repeats the same ids.
-    A null doc_id stays null; repeated rows are documents of their own; ``with_ids`` adds
+    Control strings inside texts get their special ids; with ``plain_controls`` they are
+    ordinary text.  A null doc_id stays null; repeated rows are documents of their own; ``with_ids`` adds
     the column ``ids`` (array of int).
     """
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(table_batches):
-        enc, tail = encoder(tokenizer, kind), np.array([end_id], "<u4").tobytes()
+        enc, tail = encoder(tokenizer, kind, plain_controls), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         items: list[tuple] = []  # doc_id, start, bytes, document's ids
         held = 0
@@ -130,4 +131,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id:
         if items:
             yield from flush(True)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return spread(docs, F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

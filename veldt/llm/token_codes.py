@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import materialize, new_path, open_fs, put_file
@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_i
 
     Returns the manifest (one row a shard, ``part, seq`` in file order), read from
     a committed table: files of failed or repeated task attempts are in no manifest.
-    Extra columns are ignored.  A task holds at most ``shard_tokens`` ids, or one document.
+    Control strings inside texts get their special ids.  Extra columns are ignored.  A task holds at most ``shard_tokens`` ids, or one document.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
@@ -188,16 +188,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_i
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start (ids of all documents
-    before it), n_tokens, ids_crc32.  A manifest has one row per shard file, so its
-    running totals are formed on the driver."""
+    before it), n_tokens, ids_crc32.  Only the totals of the writing tasks (as many as
+    there are shuffle partitions) are summed up on the driver."""
     at, rows = 0, []
-    for r in manifest.orderBy("part", "seq").toLocalIterator():
-        rows.append((r.file, at))
-        at += r.n_tokens
-    if not rows:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    n = min(len(rows), max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    todo = spark.createDataFrame(rows, "file string, base long").repartition(n)
+    for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toLocalIterator():
+        rows.append((r.part, at))
+        at += r.n
+    bases = spark.createDataFrame(rows, "part int, base long")
+    before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    todo = manifest.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(bases), "part").select("file", (F.col("base") + F.col("before")).alias("base"))
+    todo = todo.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
     def read(table_batches):
         for b in table_batches:
