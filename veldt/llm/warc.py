@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialize, new_path, open_fs, put_file
+from ._store import drop, materialize, new_path, open_fs, put_file
 from ._text import batches, utf8
 
 #: Fixed values of the formats.
@@ -33,11 +33,20 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
-    """A WARC/1.1 record. Header values are UTF-8; line breaks in a URL are percent-coded."""
-    uri = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+def escaped(url: str | None) -> str:
+    """A URL as a header value: UTF-8 with line breaks percent-coded."""
+    return (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record_id(page_id, url: str | None, digest: str) -> str:
+    """Rows that are equal in all three share it; no other rows do."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {escaped(url)}')}>"
+
+
+def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to=None, refers_url: str | None = None) -> bytes:
+    """A WARC/1.1 record; a revisit names the response by record id, URL, date and page."""
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri}')}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {escaped(url)}",
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
     ]
     if page_id is not None:
@@ -45,11 +54,18 @@ def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, ref
     block = HTTP + payload
     if kind == "revisit":
         block = HTTP
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}", f"WARC-Refers-To-Target-URI: {escaped(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info_record(name: str) -> bytes:
+    """The warcinfo record that each archive starts with."""
+    block = b"software: veldt\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
@@ -144,18 +160,26 @@ def read_archive(uri: str):
             yield parse_record(b"".join(out))
 
 
+def keyed(pages: DataFrame) -> DataFrame:
+    """``pages`` with the payload's SHA-1 (d) and length (n)."""
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    return pages.withColumns({"d": F.unhex(F.sha1(payload)), "n": F.octet_length(payload)})
+
+
 def first_copies(pages: DataFrame) -> DataFrame:
-    """page_id, first for every row whose payload a smaller page_id has too.
+    """page_id, d, n, first, first_url for every id and payload that a smaller page_id has
+    too; one row each, however often the row repeats.
 
     Payloads are told apart by SHA-1 and length.  Only digests that occur twice join
-    back, so nothing but ids and digests is shuffled; a hot digest joins by an adaptive
-    (splittable) join.
+    back, so nothing but ids, URLs and digests is shuffled; a hot digest joins by an
+    adaptive (splittable) join.
     """
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    ids = pages.filter("page_id is not null").select("page_id", F.unhex(F.sha1(payload)).alias("d"), F.octet_length(payload).alias("n"))
-    ids = materialize(ids, "digests")
-    several = ids.groupBy("d", "n").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter(F.col("first") < F.col("last")).drop("last")
-    return ids.join(several, ["d", "n"]).filter(F.col("page_id") > F.col("first")).select("page_id", "first").distinct()
+    ids = materialize(keyed(pages.filter("page_id is not null")).select("page_id", F.coalesce("url", F.lit("")).alias("url"), "d", "n"), "digests")
+    several = ids.groupBy("d", "n").agg(F.min(F.struct("page_id", "url")).alias("r"), F.max("page_id").alias("last")).filter("r.page_id < last")
+    several = several.select("d", "n", F.col("r.page_id").alias("first"), F.col("r.url").alias("first_url"))
+    copies = materialize(ids.drop("url").join(several, ["d", "n"]).filter(F.col("page_id") > F.col("first")).distinct(), "copies")
+    drop(ids)
+    return copies
 
 
 def write_archives(pages: DataFrame, archive_bytes: int = 64 << 20) -> DataFrame:
@@ -164,30 +188,39 @@ def write_archives(pages: DataFrame, archive_bytes: int = 64 << 20) -> DataFrame
 
     Of equal payloads that of the smallest page_id is a response and those of larger ids
     are revisits of it; rows that repeat the smallest id are responses too, and so are
-    rows without an id.  A task holds one archive of up to ``archive_bytes``.
+    rows without an id.  Rows of one id may have different payloads; each is judged by
+    its own.  Other columns are ignored.  A task holds one archive of up to
+    ``archive_bytes``, which starts with a warcinfo record.
     """
     folder = new_path(pages.sparkSession, "warc")
-    todo = pages.select("page_id", "url", "html").join(first_copies(pages), "page_id", "left")
+    copies = first_copies(pages)
+    todo = keyed(pages.select("page_id", "url", "html")).join(copies, ["page_id", "d", "n"], "left").select("page_id", "url", "html", "first", "first_url")
 
     def write(table_batches):
-        task, seq, out = TaskContext.get(), 0, ArchiveWriter()
+        task, seq, out = TaskContext.get(), 0, None
 
         def close():
-            uri = f"{folder}/part-{task.partitionId():06d}-{seq:05d}-{task.taskAttemptId()}.warc.zst"
-            out.close(uri)
-            return pa.RecordBatch.from_pydict({"file": [uri], "records": pa.array([out.count], pa.int64())})
+            out.close(f"{folder}/{out.name}")
+            return pa.RecordBatch.from_pydict({"file": [f"{folder}/{out.name}"], "records": pa.array([out.count - 1], pa.int64())})
 
         for b in batches(table_batches, column="html"):
-            for page, url, html, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "first"))):
+            for page, url, html, first, first_url in zip(*(c.to_pylist() for c in b.columns)):
+                if out is None:
+                    out = ArchiveWriter()
+                    out.name = f"part-{task.partitionId():06d}-{seq:05d}-{task.taskAttemptId()}.warc.zst"
+                    out.add(info_record(out.name))
+                    seq += 1
                 payload = utf8(html)
-                out.add(record("response" if first is None else "revisit", page, url, payload, sha1_base32(payload), first))
+                out.add(record("response" if first is None else "revisit", page, url, payload, sha1_base32(payload), first, first_url))
                 if out.size >= archive_bytes:
                     yield close()
-                    out, seq = ArchiveWriter(), seq + 1
-        if out.count:
+                    out = None
+        if out is not None:
             yield close()
 
-    return materialize(todo.mapInArrow(write, "file string, records long"), "warc-manifest")
+    manifest = materialize(todo.mapInArrow(write, "file string, records long"), "warc-manifest")
+    drop(copies)
+    return manifest
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -200,6 +233,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for file in b.column(0).to_pylist():
                 cols = [[] for _ in range(6)]
                 for fields, block in read_archive(file):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     digest, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
                     if fields["WARC-Type"] == "response":
                         payload = block[len(HTTP) :]
