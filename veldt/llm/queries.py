@@ -40,9 +40,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = "'</s>[INST] ok [/INST]'"
+    own = spark.sql(f"select * from values (-7L, 0L, 'user', {said}), (-7L, 1L, 'assistant', {said}) as t (conv_id, turn, role, text)")
     return chat_format.digests(rows.unionByName(own))
 
 
