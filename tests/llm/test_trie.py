@@ -21,13 +21,16 @@ def test_elias_fano():
         assert (ef.get(np.arange(len(v))) == v).all()
         q = np.unique(np.concatenate([v, rng.integers(0, top, 2000).astype(np.uint64), np.array([0, top - 1, top + 5], np.uint64)]))
         at = ef.find(q)
+        lo = rng.integers(0, len(v) + 1, len(q))
+        hi = np.minimum(len(v), lo + rng.integers(0, 40, len(q)))
+        assert (ef.find(q, lo, hi) == np.where((at >= lo) & (at < hi), at, -1)).all()
         assert (at[np.isin(q, v)] == np.arange(len(v))).all() and (at[~np.isin(q, v)] == -1).all()
     runs = np.repeat(np.arange(50, dtype=np.uint64) * np.uint64(3), rng.integers(0, 200, 50))
     ef = nt.EliasFano({"x." + k: a for k, a in nt.ef_build(runs, 151).items()}, "x.")
     assert (ef.get(np.arange(len(runs))) == runs).all()
 
 
-def brute(docs, order, min_count):
+def brute(docs, order):
     split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"]
     held = {d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1 for d, _ in docs}
     grams = [Counter() for _ in range(order)]
@@ -40,10 +43,7 @@ def brute(docs, order, min_count):
                         grams[k][tuple((["\n"] + w)[i - k + 1 : i + 2])] += 1
     uni = grams[0]
     n, v = sum(uni.values()), len(uni)
-    kept = [uni, *({g: c for g, c in x.items() if c >= min_count} for x in grams[1:])]
-    for k in range(2, order):
-        grams[k] = Counter({g: c for g, c in grams[k].items() if g[:-1] in kept[k - 1]})
-        kept[k] = {g: c for g, c in grams[k].items() if c >= min_count}
+    kept = grams
     total = [Counter() for _ in range(order)]
     mass = [Counter() for _ in range(order)]
     for k in range(1, order):
@@ -72,8 +72,8 @@ def test_scores(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()] + [(10**6, None), (10**6 + 1, ""), (None, "word Word  wörd \x1c"), (10**6 + 3, "a " * 3000)]
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, score string")
     for order in (1, 2, 3):
-        want, _, _ = brute(docs, order, 2)
-        got = {r.doc_id: tuple(r)[1:] for r in nt.score(df, nt.train(df, order, 2)).collect()}
+        want, _, _ = brute(docs, order)
+        got = {r.doc_id: tuple(r)[1:] for r in nt.score(df, nt.train(df, order)).collect()}
         assert set(got) == set(want)
         for d, w in want.items():
             g = got[d]
@@ -86,12 +86,25 @@ def test_scores(spark, sf):
     assert none.train_tokens == 0 and none.n_known == 0
 
 
-def test_distributions_sum_to_one():
-    docs = [(i, "a b c a b d a b c e") for i in (0, 2, 3, 4)] + [(7, "b b b a c c")]
-    _, p, uni = brute(docs, 3, 2)
-    words = [*(w for (w,) in uni), "never seen"]
-    for ctx in (("a",), ("a", "b"), ("\n",), ("\n", "a"), ("b", "b")):
-        assert math.isclose(sum(p((*ctx, w)) for w in words), 1, rel_tol=1e-9)
+def test_distributions_sum_to_one(spark):
+    docs = [(i, "a b c a b d a b c e") for i in (0, 1, 2)] + [(4, "b b b a c c")]
+    assert not any(nt.is_held_out(d) for d, _ in docs)
+    pairs = {p for _, t in docs for p in zip(["", *t.split()], [*t.split(), ""])}
+    model = nt.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    words = [w.encode() for w in "a b c d e".split()] + [nt.END]
+    rank, count = model.ranks([words])
+    assert sorted(rank.tolist()) == list(range(6)) == list(range(model.words))
+    base = (np.append(count, 0) + 0.5) / (model.tokens + 0.5 * (model.words + 1))  # the last: never seen
+    every, seen = np.append(rank, -1), set()
+    for first in [*rank.tolist(), -1]:
+        index, own, weight = model.children(0, np.full(7, first), every, weights=True)
+        p = 10.0**weight * base + np.where(index >= 0, 10.0**own, 0)
+        assert math.isclose(p.sum(), 1, rel_tol=1e-6) and (index[-1] == -1)
+        for context in index[index >= 0].tolist():
+            i3, own3, weight3 = model.children(1, np.full(7, context), every, weights=True)
+            assert math.isclose((10.0**weight3 * p + np.where(i3 >= 0, 10.0**own3, 0)).sum(), 1, rel_tol=1e-6)
+            seen.add(context)
+    assert len(seen) == len(pairs)  # all of them, those that occur once too
 
 
 def test_default_order_counts_trigrams(spark):

@@ -1,15 +1,16 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Level 1 holds the vocabulary (word hashes, counts).  Level k holds the n-grams of
-order k below their contexts: a node is found by a successor search for its word
-among the context's children.  Ids and child pointers are monotone Elias-Fano
-sequences; an n-gram's smoothed share and its context's weight are codes of one byte with a
-code book per file.  A level is cut into files by ranges of contexts; they lie in
-the shared folder and are memory-mapped where they are used.
-
-Smoothing: interpolated absolute discounting down to the additive unigram base.
-n-grams of order 2 and more that occur ``min_count`` times or more are kept; the mass
-of the others stays in their context's weight, so every distribution sums to one.
+order k below their contexts: the context's pointers give the range of its children, and
+the node is found by a successor search for its word in that range.  Ids (made monotone by
+the context's base) and child pointers are Elias-Fano sequences; an n-gram's smoothed share
+and its context's weight are codes of one byte with a code book per file.  A level is cut
+into files by ranges of contexts; they lie in the shared folder and are memory-mapped
+where they are used.
+
+Smoothing: interpolated absolute discounting down to the additive unigram base.  All
+n-grams are kept; what is discounted is their context's weight, so every distribution
+sums to one.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from ._text import LOWER, batches, utf8
 
 END = b"\n"  # no word has white space
 DISCOUNT = 0.75
+#: Of model files that a worker holds where the shared folder can't be memory-mapped.
+HELD_BYTES = 256 << 20
 
 
 # ---- Elias-Fano -------------------------------------------------------------------
@@ -107,8 +110,9 @@ class EliasFano:
         high = self._select(at, i % _STEP) - i
         return (high.astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key, -1 where it is not in the sequence (which has no repeats)."""
+    def find(self, keys: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Index of each key, -1 where it is not in the sequence (which has no repeats).
+        With ``first`` and ``last``: the ranges (last exclusive) that are searched."""
         out = np.full(len(keys), -1, np.int64)
         if not self.n or not len(keys):
             return out
@@ -116,6 +120,9 @@ class EliasFano:
         here = np.flatnonzero(h <= np.uint64(self.top))
         h, low = h[here].astype(np.int64), keys[here] & np.uint64((1 << self.bits) - 1)
         a, b = self.zero[h].astype(np.int64), self.zero[h + 1].astype(np.int64)
+        if first is not None:  # of the range, only those of equal high bits can be the key
+            a = np.maximum(a, first[here])
+            b = np.maximum(np.minimum(b, last[here]), a)
         end = b.copy()
         for _ in range(int((b - a).max(initial=0)).bit_length()):  # successor in the bucket
             mid = (a + b) >> 1
@@ -160,16 +167,17 @@ def load_arrays(uri: str) -> dict[str, np.ndarray]:
 
 
 def quantise(x: np.ndarray, prefix: str, some: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """One-byte codes into a book of the means of equally filled bins.  Where ``some`` is
+    """One-byte codes into a book of the means of equally wide bins.  Where ``some`` is
     false the value is 0 and has the last code."""
     y = x if some is None else x[some]
-    parts = np.array_split(np.sort(y), min(255, len(y))) if len(y) else [np.zeros(1)]
-    book = np.array([p.mean() for p in parts])
-    code = np.searchsorted((book[1:] + book[:-1]) / 2, x)
-    book = np.concatenate([book, np.zeros(256 - len(book))])
+    low, high = (float(y.min()), float(y.max())) if len(y) else (0.0, 0.0)
+    code = np.clip((x - low) * (255 / max(high - low, 1e-12)), 0, 254).astype(np.uint8)
+    own = code if some is None else code[some]
+    count = np.bincount(own, minlength=256)
+    book = np.bincount(own, y, 256) / np.maximum(count, 1)
     if some is not None:
         code[~some] = 255
-    return {prefix + "code": code.astype(np.uint8), prefix + "book": book.astype(np.float32)}
+    return {prefix + "code": code, prefix + "book": book.astype(np.float32)}
 
 
 # ---- the model in a task -----------------------------------------------------------------
@@ -186,10 +194,15 @@ class Model:
 
     def _file(self, uri: str) -> dict:
         files = self.__dict__.setdefault("files", {})
-        if uri not in files:
+        f = files.pop(uri, None)
+        if f is None:
             a = load_arrays(uri)
-            files[uri] = {**a, **{p: EliasFano(a, p + ".") for p in ("id", "child") if f"{p}.head" in a}}
-        return files[uri]
+            f = {**a, **{p: EliasFano(a, p + ".") for p in ("id", "child") if f"{p}.head" in a}}
+            f["bytes"] = 0 if uri.startswith("file:") else sum(x.nbytes for x in a.values())
+        files[uri] = f
+        while sum(x["bytes"] for x in files.values()) > HELD_BYTES and len(files) > 1:  # the one unused for longest
+            del files[next(iter(files))]
+        return f
 
     def _lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         import xxhash
@@ -231,32 +244,43 @@ class Model:
         index, prob, weight = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context))
         files = self.levels[level]
         lows = np.array([f[0] for f in files] + [np.iinfo(np.int64).max])
-        order = np.lexsort((word, context)) if self.words >= 2**31 else np.argsort((context << np.int64(32)) | (word & np.int64(0xFFFFFFFF))) if int(context.max(initial=0)) < 2**31 else np.lexsort((word, context))
-        cuts = np.searchsorted(context[order], lows)  # neighbours in a file are looked up together
+        small = self.words < 2**31 and int(context.max(initial=0)) < 2**31
+        order = np.argsort((context << np.int64(32)) | (word & np.int64(0xFFFFFFFF))) if small else np.lexsort((word, context))
+        c, w = context[order], word[order]
+        cuts = np.searchsorted(c, lows)  # neighbours in a file are looked up together
         for (low, first, uri), a, b in zip(files, cuts, cuts[1:]):
             if a == b:
                 continue
-            mine, f = order[a:b], self._file(uri)
-            local, w = context[mine] - low, word[mine]
+            f, cs, ws = self._file(uri), c[a:b] - low, w[a:b]
+            new = np.concatenate([[True], cs[1:] != cs[:-1]])  # equal contexts and pairs are looked up once
+            own, at_own = cs[new], np.cumsum(new) - 1
+            from_, to = f["child"].get(own), f["child"].get(own + 1)
             if weights:
-                weight[mine] = f["weight.book"][f["weight.code"][local]]
-            known = np.flatnonzero(w >= 0)
-            at = f["id"].find(local[known].astype(np.uint64) * np.uint64(self.words) + w[known].astype(np.uint64))
-            ok = at >= 0
-            at, hit = at[ok], mine[known[ok]]
-            index[hit] = at + first
+                weight[order[a:b]] = f["weight.book"][f["weight.code"][own]][at_own]
+            one = new | np.concatenate([[True], ws[1:] != ws[:-1]])
+            pick = np.flatnonzero(one & (ws >= 0) & (to > from_)[at_own])
+            there, of = np.full(b - a, -1, np.int64), at_own[pick]
+            there[pick] = f["id"].find(cs[pick].astype(np.uint64) * np.uint64(self.words) + ws[pick].astype(np.uint64), from_[of].astype(np.int64), to[of].astype(np.int64))
+            there = there[one][np.cumsum(one) - 1]
+            ok = np.flatnonzero(there >= 0)
+            hit = order[a:b][ok]
+            index[hit] = there[ok] + first
             if weights:
-                prob[hit] = f["prob.book"][f["prob.code"][at]]
+                prob[hit] = f["prob.book"][f["prob.code"][there[ok]]]
         return index, prob, weight
 
-    def contexts(self, rank: np.ndarray, start: np.ndarray, order: int, end_rank: int) -> np.ndarray:
-        """Index of the context of ``order - 1`` words of every token: texts begin after
-        an end (``start``: the token's place in its text)."""
-        before = lambda k: np.where(start >= k, np.concatenate([np.full(k, -1), rank[:-k] if k < len(rank) else rank[:0]])[: len(rank)], np.where(start == k - 1, end_rank, -1))
-        out = before(order - 1)
-        for k in range(order - 2, 0, -1):
-            out = self.children(order - k - 2, out, before(k))[0]
-        return out
+    def below(self, rank: np.ndarray, start: np.ndarray, end_rank: int, levels: int, weights: bool = False):
+        """Level by level: every token's context (texts begin after an end; ``start`` is the
+        token's place in its text), and for all but the last one's its children."""
+        index, before = rank, end_rank
+        for k in range(levels + 1):
+            context = np.where(start >= 1, np.concatenate([[before], index[:-1]]), before)
+            if k == levels:
+                yield context, None, None
+                return
+            index, prob, weight = self.children(k, context, rank, weights)
+            before = -1
+            yield context, np.where(index >= 0, prob, np.nan), weight
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -321,7 +345,7 @@ def _blob(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
     gaps = np.diff(keys, prepend=np.uint64(0))
     z = zstandard.ZstdCompressor(level=1)
-    a, b = z.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes()), z.compress(np.minimum(counts, 2**32 - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+    a, b = z.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes()), z.compress(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
     return struct.pack("<QQ", len(keys), len(a)) + a + b
 
 
@@ -331,7 +355,7 @@ def _unblob(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, m = struct.unpack("<QQ", raw[:16])
     z = zstandard.ZstdDecompressor()
     gaps = np.ascontiguousarray(np.frombuffer(z.decompress(raw[16 : 16 + m]), np.uint8).reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(gaps, dtype=np.uint64), np.ascontiguousarray(np.frombuffer(z.decompress(raw[16 + m :]), np.uint8).reshape(4, n).T).view(np.uint32).ravel()
+    return np.cumsum(gaps, dtype=np.uint64), np.ascontiguousarray(np.frombuffer(z.decompress(raw[16 + m :]), np.uint8).reshape(8, n).T).view(np.uint64).ravel()
 
 
 def _sum_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,7 +375,7 @@ def tokens_of(model: Model, docs: list, texts: list):
     return rank, count, start, ends, lengths
 
 
-def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, min_count: int, flush_tokens: int = 3 << 20) -> tuple[list, int]:
+def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, flush_tokens: int = 3 << 20) -> tuple[list, int]:
     """Count the n-grams of one order below their contexts and write the level's files."""
     spark = docs.sparkSession
     folder = new_path(spark, f"trie-{order}")
@@ -379,7 +403,7 @@ def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, min_cou
             if not rows:
                 continue
             rank, _, start, _, _ = tokens_of(model, *zip(*rows))
-            ctx = model.contexts(rank, start, order, end)
+            *_, (ctx, _, _) = model.below(rank, start, end, order - 2)
             ok = (ctx >= 0) & (rank >= 0)
             held.append((ctx[ok], rank[ok]))
             n += int(ok.sum())
@@ -395,8 +419,6 @@ def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, min_cou
         here = min(width, contexts - s * width)
         ctx = (keys // np.uint64(model.words)).astype(np.int64)
         total = np.bincount(ctx, counts, here)
-        keep = counts >= min_count
-        keys, counts, ctx = keys[keep], counts[keep], ctx[keep]
         share = (counts - DISCOUNT) / total[ctx]
         weight = 1 - np.bincount(ctx, share, here)
         some = np.bincount(ctx, minlength=here)
@@ -417,15 +439,18 @@ def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, min_cou
     return files, at
 
 
-def train(docs: DataFrame, order: int = 3, min_count: int = 2) -> Model:
-    """Train on the documents that are not held out; every count covers all of them."""
+def train(docs: DataFrame, order: int = 3) -> Model:
+    """Train on the documents that are not held out; every n-gram of all of them counts.
+
+    Null text: empty.  A null doc_id counts as the empty name.  Repeated rows count each
+    time.  Other columns are ignored.  An empty table gives a model without words."""
     docs = docs.select("doc_id", "text")
     files, bits, tokens, words = _vocabulary(docs)
     model, contexts = Model(bits, files, [], tokens, words), words
     for n in range(2, order + 1):
         if not contexts:
             break
-        level, contexts = _add_level(docs, model, n, contexts, min_count)
+        level, contexts = _add_level(docs, model, n, contexts)
         model.levels.append(level)
     return model
 
@@ -448,10 +473,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             rank, count, start, ends, lengths = tokens_of(model, ids, b.column(1).to_pylist())
             base = (count + 0.5) / (n + 0.5 * (v + 1))
             p = base.copy()
-            for k in range(len(model.levels)):
-                ctx = model.contexts(rank, start, k + 2, end)
-                _, own, weight = model.children(k, ctx, rank, weights=True)
-                p = 10.0**weight * p + np.where(own < 0, 10.0**own, 0)
+            for _, own, weight in model.below(rank, start, end, len(model.levels), weights=True):
+                if own is not None:
+                    p = 10.0**weight * p + np.where(np.isnan(own), 0, 10.0**own)
             cut = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             add = lambda x: np.add.reduceat(x, cut)
             yield pa.RecordBatch.from_arrays([
