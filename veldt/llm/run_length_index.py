@@ -1,9 +1,10 @@
 """Exact repeated byte strings with run-length (r-) indexes.
 
 ``RunLengthIndex`` sorts the suffixes of a block, run-compresses its Burrows-Wheeler
-transform and keeps suffix-array and overlap samples at the ends of runs only.  Between
-samples the longest match of a position with the rest of the block falls by one per
-byte, so streaming over the samples gives matching statistics of every position.
+transform and keeps overlap samples at the ends of runs only.  The block's bytes are
+streamed backwards over the runs (LF steps): within a run both neighbours of a suffix take
+the same step, so the overlaps grow by one; at a run's end the sample tells the new one.
+That gives matching statistics of every position.
 
 A corpus is cut so that blocks are independent.  Every window of ``length`` bytes picks
 an anchor, the least hash among its half-long substrings; equal windows pick equal
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import drop, materialize
-from ._text import batches, mix, utf8
+from ._text import batches, mix, spread, utf8
 from .decontamination import merge_spans
 
 _BASE, _MOD = 0x9E3779B97F4A7C15 | 1, 1 << 64
@@ -81,8 +82,10 @@ def anchors(roll: Rolling, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """The r-index of a block (which must not end in a zero byte): run heads and tails
-    of its BWT, and samples there."""
+    """The r-index of a block: run heads, letters and LF images of its BWT, samples at both
+    ends of every run, and every ``EVERY``-th place's rank, where streams begin."""
+
+    EVERY = 512
 
     def __init__(self, data: np.ndarray):
         self.n = n = len(data)
@@ -91,22 +94,33 @@ class RunLengthIndex:
         bwt = data[sa - 1]
         turn = bwt[1:] != bwt[:-1]
         turn |= (sa[1:] == 0) | (sa[:-1] == 0)  # nothing comes before the first byte
-        head = np.flatnonzero(np.concatenate([[True], turn]))
-        self.letters, self.heads = bwt[head], head
-        up = head[1:]  # a run's head and the tail before it are neighbours
-        overlap = self._overlap(sa[up - 1], sa[up])
-        # sampled places with the overlap with the suffix before (heads) and after (tails)
-        self.head_at, self.head_match = self._by_place(np.concatenate([sa[:1], sa[up]]), np.concatenate([[0], overlap]))
-        self.tail_at, self.tail_match = self._by_place(np.concatenate([sa[up - 1], sa[-1:]]), np.concatenate([overlap, [0]]))
-
-    @staticmethod
-    def _by_place(at, match):
-        order = np.argsort(at)
-        return at[order], match[order]
+        self.heads = np.flatnonzero(np.concatenate([[True], turn]))
+        self.letters, self.sizes = bwt[self.heads], np.diff(np.append(self.heads, n))
+        # the step from a run's head: after all suffixes of smaller letters (of the last byte's
+        # letter, the last byte alone is the first) and of this letter's runs before
+        counted = np.where(sa[self.heads] == 0, 0, self.sizes)
+        order = np.argsort(self.letters, kind="stable")
+        self.step = np.empty(len(order), np.int64)
+        self.step[order] = np.cumsum(counted[order]) - counted[order] + (self.letters[order] >= data[-1])
+        head, tail = np.minimum(self.step, n - 1), np.minimum(self.step + self.sizes, n) - 1
+        self.head_match, self.tail_match = self._before(sa, head), self._after(sa, tail)
+        self.at = np.unique(np.append(np.arange(self.EVERY - 1, n, self.EVERY), n - 1))
+        rank = np.empty(n, np.int64)
+        rank[sa] = np.arange(n)
+        self.rank = rank[self.at]
+        self.first = self._before(sa, self.rank), self._after(sa, self.rank)
+
+    def _before(self, sa: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Overlap of the suffixes of ranks ``r`` with those of the ranks before."""
+        return np.where(r > 0, self._overlap(sa[r - (r > 0)], sa[r]), 0)
+
+    def _after(self, sa: np.ndarray, r: np.ndarray) -> np.ndarray:
+        there = r < self.n - 1
+        return np.where(there, self._overlap(sa[r], sa[r + there]), 0)
 
     def _overlap(self, a: np.ndarray, b: np.ndarray, short: int = 255) -> np.ndarray:
         """Common prefix lengths, by bisection on substring hashes; most are short."""
-        room = self.n - np.maximum(a, b)
+        room = np.where(a == b, 0, self.n - np.maximum(a, b))
         deep = room > short
         deep[deep] = self.roll.of(a[deep], short + 1) == self.roll.of(b[deep], short + 1)
         lo, hi = np.where(deep, short + 1, 0), np.where(deep, room, np.minimum(room, short))
@@ -118,12 +132,23 @@ class RunLengthIndex:
         return lo
 
     def matching_statistics(self) -> np.ndarray:
-        """For every place the longest string from there that also starts elsewhere."""
-        i = np.arange(self.n)
+        """For every place the longest string from there that also starts elsewhere.  All
+        streams take their steps together."""
         best = np.zeros(self.n, np.int64)
-        for at, match in ((self.head_at, self.head_match), (self.tail_at, self.tail_match)):
-            k = np.searchsorted(at, i, "right") - 1
-            best = np.maximum(best, np.where(k >= 0, match[k] - (i - at[k]), 0))
+        size = np.diff(self.at, prepend=-1)
+        lane = np.argsort(-size)
+        at, size, rank = self.at[lane], size[lane], self.rank[lane]
+        before, after = (x[lane] for x in self.first)
+        best[at] = np.maximum(before, after)
+        for k in range(1, int(size[0])):
+            if (m := int(np.searchsorted(-size, -k))) < len(rank):  # streams that have come to the next one's place
+                at, size, rank, before, after = at[:m], size[:m], rank[:m], before[:m], after[:m]
+            run = np.searchsorted(self.heads, rank, "right") - 1
+            off = rank - self.heads[run]
+            before = np.where(off == 0, self.head_match[run], before + 1)
+            after = np.where(off == self.sizes[run] - 1, self.tail_match[run], after + 1)
+            rank = self.step[run] + off
+            best[at - k] = np.maximum(before, after)
         return best
 
 
@@ -441,7 +466,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = docs.withColumn("__doc", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    slim = keyed.select(F.col("__doc").alias("doc"), "text")
+    slim = spread(keyed, F.col("__doc").alias("doc"), "text")
     found = materialize(_classified(_anchor_rows(slim, length)), "anchors")
     todo = found.filter("kind > 0")
     total = todo.filter("kind = 1").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
