@@ -9,7 +9,8 @@ from ._store import drop, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """``links`` (a, b) to (id, label): the smallest id of each linked group, for ids
+    """``links`` (a, b; rows with nulls, of an id with itself and repeated ones don't matter)
+    to (id, label): the smallest id of each linked group, for ids
     that have links.  Large-star and small-star steps alternate until every id points at
     its group's smallest one; each step is an aggregate (combined before the shuffle)
     and a join, and its result a table, so nothing is gathered and lineage stays short."""
@@ -29,5 +30,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         drop(edges, large)
         edges = small
         if now == sign:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+            out = edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+            out = materialize(out, "labels")
+            drop(edges)
+            return out
         sign = now

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._graph import connected_components
 from ._store import drop, materialize
-from ._text import LOWER, WordHashes, batches, mix, shingle_hashes, utf8
+from ._text import LOWER, WordHashes, batches, mix, shingle_hashes, utf8, whole_runs
 
 SKETCH = 1 << 20
 #: Rows of a shingle's tile beyond which it is cut into blocks that meet pairwise.
@@ -137,10 +137,9 @@ def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return s[part[np.argsort(order[part])]]
 
 
-def _tiles(docs: DataFrame, levels, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix shingles shared by sets of sizes in one band (token, cid, n, pos), and of their
-    classes the bitmaps and first shared shingles (cid, n, sig, wide, first).  A task sends a
-    class once."""
+def _tiles(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """Prefix shingles shared by sets of sizes in one band: token, cid, n, pos.  A task sends
+    a class once; what several tasks send is merged where the tile's rows meet."""
 
     def run(table_batches):
         hashes, texts, seen = WordHashes(), set(), set()
@@ -157,28 +156,31 @@ def _tiles(docs: DataFrame, levels, n: int, percent: int) -> tuple[DataFrame, Da
             seen.update(own)
             if not own:
                 continue
-            cids = np.array(list(own), np.int64)
             parts = [prefix(s, levels.value, percent) for s in own.values()]
-            count, size = np.array([len(p) for p in parts]), np.array([len(s) for s in own.values()], np.int32)
-            pos = np.concatenate([np.arange(c, dtype=np.int32) for c in count])
-            none = pa.nulls(int(count.sum()), pa.binary())
-            sigs = [[bitmap(s, room).tobytes() for s in own.values()] for room in (2, 8)]
-            # class rows (pos -1) carry the bitmaps and a token of their own
+            count = np.array([len(p) for p in parts])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([cids, np.concatenate(parts).view(np.int64)])), pa.array(np.concatenate([cids, np.repeat(cids, count)])), pa.array(np.concatenate([size, np.repeat(size, count)])), pa.array(np.concatenate([np.full(len(cids), -1, np.int32), pos])),
-                *(pa.concat_arrays([pa.array(x, pa.binary()), none]) for x in sigs),
-            ], names=["token", "cid", "n", "pos", "sig", "wide"])
+                pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(list(own), np.int64), count)),
+                pa.array(np.repeat(np.array([len(s) for s in own.values()], np.int32), count)), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in count])),
+            ], names=["token", "cid", "n", "pos"])
 
-    rows = docs.select("th", "text").mapInArrow(run, "token long, cid long, n int, pos int, sig binary, wide binary")
+    rows = docs.select("th", "text").mapInArrow(run, "token long, cid long, n int, pos int")
+    rows = rows.repartition("token").groupBy("token", "cid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     by = "over (partition by token order by n, cid)"
     near = f"{percent} * lead(n) {by} <= 100 * n or {percent} * n <= 100 * lag(n) {by}"
-    found = materialize(rows.selectExpr("*", f"coalesce({near}, false) as near").filter("near or pos < 0").drop("near"), "tiles")
-    classes = found.filter("pos < 0").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "sig", "wide")])
-    tiles = materialize(found.filter("pos >= 0").select("token", "cid", "n", "pos").distinct(), "tiles")
-    first = tiles.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, FIRST).alias("first"))
-    classes = materialize(classes.join(first, "cid"), "classes")
-    drop(found)
-    return tiles, classes
+    return materialize(rows.selectExpr("*", f"coalesce({near}, false) as near").filter("near").drop("near"), "tiles")
+
+
+def _bitmaps(texts: DataFrame, n: int) -> DataFrame:
+    """cid and two bitmaps (sig, wide) of every class."""
+
+    def run(table_batches):
+        hashes = WordHashes()
+        for b in batches(table_batches):
+            sets = shingle_sets(b.column(1).to_pylist(), n, hashes)
+            sigs = [pa.array([bitmap(s, room).tobytes() for s in sets], pa.binary()) for room in (2, 8)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *sigs], names=["cid", "sig", "wide"])
+
+    return texts.select("cid", "text").mapInArrow(run, "cid long, sig binary, wide binary")
 
 
 def _involved(docs: DataFrame, described: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -289,10 +291,16 @@ def tile_pairs(token, block, label, size, pos, sigs, first, percent: int):
     return np.concatenate(found, 1)
 
 
-def _full_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the tiles that still hold several components."""
+def _full_pairs(tiles: DataFrame, labels: DataFrame | None, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Candidate pairs of the tiles that still hold several components.  Only classes in
+    these get bitmaps."""
+    rows = _labelled(tiles, labels)
     several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", "rows")
-    rows = rows.drop("n").join(several, "token").join(classes, "cid").withColumn("sig", F.when(F.col("pos") <= F.element_at("first", -1)["pos"], F.col("wide")).otherwise(F.col("sig")))
+    left = materialize(rows.join(several, "token"), "left")
+    cids = materialize(left.select("cid").distinct(), "cids")
+    first = tiles.join(cids, "cid").groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, FIRST).alias("first"))
+    classes = _bitmaps(texts.join(cids, "cid"), n).join(first, "cid")
+    rows = left.join(classes, "cid").withColumn("sig", F.when(F.col("pos") <= F.element_at("first", -1)["pos"], F.col("wide")).otherwise(F.col("sig")))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.when(F.col("rows") > BLOCK, F.pmod(F.xxhash64("cid"), blocks).cast("int")).otherwise(F.lit(-1))
     tile = F.when(F.col("rows") > BLOCK, F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q")))).otherwise(F.array(F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q"))))
@@ -302,9 +310,7 @@ def _full_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     rows = rows.repartition(parts, "tile").sortWithinPartitions("tile", "n")
 
     def run(table_batches):
-        held = None
-
-        def emit(t):
+        for t in whole_runs(table_batches):
             tile, block, cid, label, size, pos = (np.asarray(t.column(i)).astype(np.int64) for i in range(6))
             lists = t.column(7).combine_chunks()
             there = np.arange(FIRST) < np.asarray(pc.list_value_length(lists))[:, None]
@@ -315,21 +321,11 @@ def _full_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             x, y = tile_pairs(tile, block, label, size, pos, t.column(6).to_pylist(), first, percent)
             a, b = np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
             pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], names=["a", "b"])
-
-        for b in table_batches:  # whole tiles at a time
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            tile = np.asarray(t.column(0))
-            cut = int(np.searchsorted(tile, tile[-1], "left"))
-            held = t.slice(cut)
-            if cut:
-                yield emit(t.slice(0, cut))
-        if held is not None:
-            yield emit(held)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    pairs = materialize(rows.mapInArrow(run, "a long, b long").distinct(), "pairs")
+    drop(left, cids)
+    return pairs
 
 
 def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -347,7 +343,7 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     described = _describe(docs, n)
     levels = spark.sparkContext.broadcast(_levels(_merged_sketch(described)).astype(np.uint64))
-    tiles, classes = _tiles(docs, levels, n, percent)
+    tiles = _tiles(docs, levels, n, percent)
     texts = _involved(docs, described, tiles)
     links, tested, labels = [], [], None
 
@@ -361,26 +357,35 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         tested.append(pairs)
         links.append(new)
         if not new.isEmpty():
-            labels = materialize(connected_components(reduce(DataFrame.unionByName, links)), "labels")
+            old, labels = labels, connected_components(reduce(DataFrame.unionByName, links))
+            if old is not None:
+                drop(old)
 
     for k in range(HUB_ROUNDS):
         settle(_hub_pairs(_labelled(tiles.filter(F.pmod("token", F.lit(8)) == k), labels), percent))
-    settle(_full_pairs(_labelled(tiles, labels), classes, percent))
-    drop(tiles, classes, texts, *tested)
+    full = _full_pairs(tiles, labels, texts, n, percent)
+    drop(tiles)
+    settle(full)
+    drop(texts, full, *tested, *links)
     rows = described.filter("n is not null").select("doc_id", "th", F.col("n").alias("n_shingles"), "cid")
-    if labels is None:
-        rows = rows.withColumn("label", F.col("cid"))
-    else:
-        rows = rows.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "label", "left").select("doc_id", "th", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # classes first, then rows: a component of very many rows or classes is never one task's
+    classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    classes = materialize(_labelled(classes, labels), "classes")
+    least = materialize(classes.groupBy("label").agg(F.min("least").alias("least")), "least")
+    whole = materialize(classes.select("cid", "label").join(least, "label"), "components")
+    drop(classes, least, *([labels] if labels is not None else []))
+    out = rows.join(whole, "cid", "left").select("doc_id", "th", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    out._veldt_tables = (described, whole)
+    return out
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each linked group stays: that of the smallest doc_id (null ids last;
     of repeated rows one).  Rows without words have no group and all stay."""
     keyed = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    c = components(docs, n, percent)
+    found = components(docs, n, percent)
+    c = materialize(found, "components")
+    drop(*found._veldt_tables)
     own = c.filter(F.col("label").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = own.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias("__d"), F.col("r.th").alias("__h"))
     empty = c.filter("label is null").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct().withColumn("__one", F.lit(False))
