@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import drop, materialize
-from ._text import LOWER, WordHashes, batches, mix, shingle_hashes, utf8, whole_runs
+from ._text import LOWER, WordHashes, batches, mix, shingle_hashes, spread, utf8, whole_runs
 
 FUNCTIONS = 4
 ENOUGH = 2
@@ -102,30 +102,35 @@ def _similarity(u: np.ndarray, v: np.ndarray) -> tuple[int, int]:
     return both, len(sizes[0]) + len(sizes[1]) - both
 
 
-class Stretches:
-    """Hashes of any stretches of a list of shingles."""
-
-    def __init__(self, y: np.ndarray):
-        power = np.cumprod(np.full(len(y), 0x9E3779B97F4A7C15, np.uint64))
-        self.inverse = np.cumprod(np.full(len(y) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(y) * power, dtype=np.uint64)])
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Of shingles a..b-1."""
-        return mix((self.total[b] - self.total[a]) * self.inverse[a] ^ (b - a).astype(np.uint64))
-
-
 def _new_places(y: np.ndarray, t: int) -> np.ndarray:
     """Whether the t - 1 shingles on both sides of a place haven't been seen earlier in y:
     a passage of t shingles around a place that was is there in y already."""
     edge = mix(np.arange(1, 2 * t - 1, dtype=np.uint64))
-    at = np.arange(len(y))
-    context = Stretches(np.concatenate([edge[: t - 1], y, edge[t - 1 :]])).of(at, at + 2 * t - 1)
+    v = mix(np.concatenate([edge[: t - 1], y, edge[t - 1 :]]))
+    power = np.cumprod(np.full(len(v), 0x9E3779B97F4A7C15, np.uint64))
+    inverse = np.cumprod(np.full(len(v), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * power, dtype=np.uint64)])
+    context = (total[2 * t - 1 :] - total[: len(y)]) * inverse[: len(y)]
     out = np.zeros(len(y), bool)
     out[np.unique(context, return_index=True)[1]] = True
     return out
 
 
+def fewest(s: np.ndarray, t: int) -> np.ndarray:
+    """Number of distinct shingles of every passage of ``t``, by its start."""
+    order = np.argsort(s, kind="stable")
+    before = np.full(len(s), -1, np.int64)  # place of the same shingle before
+    same = np.flatnonzero(s[order[1:]] == s[order[:-1]])
+    before[order[same + 1]] = order[same]
+    starts = np.arange(len(s) - t + 1)
+    if not (before > np.arange(len(s)) - t).any():
+        return np.full(len(starts), t)
+    out = np.zeros(len(starts), np.int64)
+    for k in range(t):
+        out += before[k : k + len(starts)] < starts
+    return out
+
+
 def _stretched(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, t: int, percent: int, may: np.ndarray):
     """A run of under ``t`` shingles with as many unmatched ones at its edges as make
     ``t``, by the most similar choice; None if no choice is similar.  ``may``: the starts in
@@ -201,11 +206,15 @@ def passages(x: np.ndarray, y: np.ndarray, t: int, percent: int, known: tuple |
         else:
             cut = int(np.argmax(np.maximum(np.diff(p), np.abs(np.diff(q)))) + 1)
             todo += [(p[:cut], q[:cut]), (p[cut:], q[cut:])]
-    kept, reach = [], -1
-    for r in sorted(out, key=lambda r: (r[0], -r[1], -r[4], r[2])):  # what lies in another one of x is told by that
-        if r[1] > reach:
-            kept.append(r)
-            reach = r[1]
+    kept, reach, best = [], -1, None  # the fewest that tell the same places of x
+    for r in sorted(out, key=lambda r: (r[0], -r[1], -r[4], r[2])):
+        if r[0] > reach + 1 and best and best[1] > reach:
+            kept.append(best)
+            reach, best = best[1], None
+        if r[1] > reach and (not best or r[1] > best[1]):
+            best = r
+    if best and best[1] > reach:
+        kept.append(best)
     return kept
 
 
@@ -250,52 +259,61 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "doc long, hub long")
 
 
-def meetings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows (function, a, b, c, key) of one document, every two windows of different
-    functions that have a passage start in common: their joint key and both minima."""
-    keys, one, two = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    own = {int(f): rows[rows[:, 0] == f] for f in np.unique(rows[:, 0])}
-    own = {f: r[np.argsort(r[:, 1])] for f, r in own.items()}  # disjoint: a start has one window a function
-    for f, u in own.items():
-        for g, v in own.items():
-            if f < g:
-                lo, hi = np.searchsorted(v[:, 2], u[:, 1]), np.searchsorted(v[:, 1], u[:, 2], "right")
-                n = np.maximum(hi - lo, 0)
-                i = np.repeat(np.arange(len(u)), n)
-                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                keys.append(mix(mix(u[i, 4].view(np.uint64)) ^ v[j, 4].view(np.uint64)))
-                one.append(u[i, 3])
-                two.append(v[j, 3])
-    return np.concatenate(keys), np.concatenate(one), np.concatenate(two)
-
-
-def _joint(rows: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
-    """(key, doc, c, e, ctx) of all windows of two functions that meet within a document;
-    ctx is the hash of all shingles that a passage of ``t`` with both minima can have."""
+def meetings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows (function, a, b, c, key) of one document, where windows of all functions
+    have passage starts in common: their joint key, first and last of these starts, and
+    first and last of the minima."""
+    own = [rows[rows[:, 0] == f] for f in range(FUNCTIONS)]
+    a, b, first, last, key = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+    for f, v in enumerate(own):
+        v = v[np.argsort(v[:, 1])]  # disjoint: a start has one window a function
+        if not f:
+            a, b, first, last, key = v[:, 1], v[:, 2], v[:, 3], v[:, 3], v[:, 4].view(np.uint64)
+            continue
+        lo, hi = np.searchsorted(v[:, 2], a), np.searchsorted(v[:, 1], b, "right")
+        n = np.maximum(hi - lo, 0)
+        i = np.repeat(np.arange(len(a)), n)
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        a, b, first, last = np.maximum(a[i], v[j, 1]), np.minimum(b[i], v[j, 2]), np.minimum(first[i], v[j, 3]), np.maximum(last[i], v[j, 3])
+        key = mix(mix(key[i]) ^ v[j, 4].view(np.uint64))
+    return key, a, b, first, last
+
+
+def _joint(rows: DataFrame) -> DataFrame:
+    """(key, doc, a, b, lo, hi): the joint keys of all functions within documents."""
 
     def run(table_batches):
-        hashes = WordHashes()
-        for b in batches(table_batches):
-            out = [[], [], [], [], []]
-            for doc, text, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                v, s = part.values, shingles(text, n, hashes)
-                k, c, e = meetings(np.stack([np.asarray(v.field(i)).astype(np.int64) for i in range(5)], 1))
-                there = np.maximum(c, e) < len(s)  # else another text of that id
-                k, c, e = np.unique(np.stack([k.view(np.int64), c, e], 1)[there], axis=0).T
-                if len(k):
-                    ctx = Stretches(s).of(*reach(c, e, len(s), t))
-                    for col, x in zip(out, (k, np.full(len(k), doc, np.int64), c, e, ctx.view(np.int64))):
-                        col.append(x)
+        for b in table_batches:
+            out = [[] for _ in range(6)]
+            for doc, part in zip(b.column(0).to_pylist(), b.column(1)):
+                v = part.values
+                k, *at = meetings(np.stack([np.asarray(v.field(i)).astype(np.int64) for i in range(5)], 1))
+                for col, x in zip(out, (k.view(np.int64), np.full(len(k), doc, np.int64), *at)):
+                    col.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["key", "doc", "c", "e", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, [pa.int64()] * 2 + [pa.int32()] * 4)], names=["key", "doc", "a", "b", "lo", "hi"])
+
+    several = F.collect_list(F.struct("f", "a", "b", "c", "key"))
+    return rows.groupBy("doc").agg(several.alias("w"), F.count_distinct("f").alias("n")).filter(F.col("n") == FUNCTIONS).select("doc", "w").mapInArrow(run, "key long, doc long, a int, b int, lo int, hi int")
+
+
+class Stretches:
+    """Hashes of any stretches of a list of shingles."""
+
+    def __init__(self, y: np.ndarray):
+        power = np.cumprod(np.full(len(y), 0x9E3779B97F4A7C15, np.uint64))
+        self.inverse = np.cumprod(np.full(len(y) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(y) * power, dtype=np.uint64)])
 
-    own = rows.groupBy("doc").agg(F.collect_list(F.struct("f", "a", "b", "c", "key")).alias("w"))
-    return texts.hint("merge").join(own, "doc").select("doc", "text", "w").mapInArrow(run, "key long, doc long, c int, e int, ctx long")
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of shingles a..b-1."""
+        return mix((self.total[b] - self.total[a]) * self.inverse[a] ^ (b - a).astype(np.uint64))
 
 
-def _open(joint: DataFrame, spans: DataFrame, n: int) -> DataFrame:
-    """``joint`` with a mark on rows whose minima aren't both in one stretch of found
-    passages (of any partners) that are at most GAP shingles apart."""
+def _open(joint: DataFrame, spans: DataFrame, n: int, t: int) -> DataFrame:
+    """``joint`` with a mark on rows that found passages (of any partners) leave open.
+    Passages at most GAP shingles apart are one stretch; a row is explained if a stretch has
+    all its minima, or all but GAP shingles of all its passages."""
     own = spans.select(F.col("doc_id").alias("doc"), F.col("start").alias("s"), (F.col("end") - n).alias("t")).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("s", "t"))).alias("spans"))
 
     def longer(out, x):
@@ -305,48 +323,21 @@ def _open(joint: DataFrame, spans: DataFrame, n: int) -> DataFrame:
         return F.when(near, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(out, F.array(x)))
 
     seen = own.select("doc", F.aggregate("spans", F.expr("cast(array() as array<struct<s: bigint, t: bigint>>)"), longer).alias("spans"))
-    inside = F.exists("spans", lambda x: (x["s"] <= F.least("c", "e")) & (x["t"] >= F.greatest("c", "e")))
-    return joint.hint("merge").join(seen, "doc", "left").select("key", "doc", "c", "e", "ctx", "first", (~F.coalesce(inside, F.lit(False))).alias("open"))
+    before, behind = lambda x: F.greatest(x["s"] - F.col("a"), F.lit(0)), lambda x: F.greatest(F.col("b") + (t - 1) - x["t"], F.lit(0))
+    inside = F.exists("spans", lambda x: (x["s"] <= F.col("lo")) & (x["t"] >= F.col("hi")) | (before(x) <= GAP) & (behind(x) <= GAP) & (before(x) + behind(x) <= GAP))
+    return joint.hint("merge").join(seen, "doc", "left").select("key", "doc", "a", "b", "first", (~F.coalesce(inside, F.lit(False))).alias("open"))
 
 
-def reach(c: np.ndarray, e: np.ndarray, size: int, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last + 1 of all shingles that passages of ``t`` with both minima can have."""
-    return np.maximum(np.maximum(c, e) - t + 1, 0), np.minimum(np.minimum(c, e) + t, size)
-
-
-def fewest(s: np.ndarray, t: int) -> np.ndarray:
-    """Number of distinct shingles of every passage of ``t``, by its start."""
-    order = np.argsort(s, kind="stable")
-    before = np.full(len(s), -1, np.int64)  # place of the same shingle before
-    same = np.flatnonzero(s[order[1:]] == s[order[:-1]])
-    before[order[same + 1]] = order[same]
-    starts = np.arange(len(s) - t + 1)
-    if not (before > np.arange(len(s)) - t).any():
-        return np.full(len(starts), t)
-    out = np.zeros(len(starts), np.int64)
-    for k in range(t):
-        out += before[k : k + len(starts)] < starts
-    return out
-
-
-def contexts(s: np.ndarray, c: np.ndarray, e: np.ndarray, t: int, percent: int):
-    """For pairs of minima: a bitmap of the shingles in reach, their number, and how many of
-    them another context must have if passages of ``t`` around the minima are similar."""
-    lo, hi = reach(c, e, len(s), t)
+def fewest_in(s: np.ndarray, a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
+    """Least number of distinct shingles of the passages of ``t`` that start at a..b."""
     few = fewest(s, t)
-    bits, sizes, need = np.zeros((len(c), BITS // 64), np.uint64), np.zeros(len(c), np.int16), np.zeros(len(c), np.int16)
-    for k, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
-        own = np.unique(s[a:b])
-        flat = np.zeros(BITS, np.uint8)
-        flat[(own & np.uint64(BITS - 1)).astype(np.int64)] = 1
-        bits[k] = np.packbits(flat, bitorder="little").view(np.uint64)
-        sizes[k], need[k] = len(own), -(-percent * int(few[a : max(b - t + 1, a + 1)].min()) // 100)
-    return bits, sizes, need
+    return np.minimum.reduceat(np.append(few, t), np.stack([a, b + 1], 1).ravel())[::2]
 
 
-def alike(tile, block, doc, is_open, bits, sizes, need) -> tuple[np.ndarray, np.ndarray]:
+def alike(tile, block, doc, is_open, bits, sizes, few, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (later, earlier), sorted by (tile, doc): the later one open, of other
-    documents, of other blocks (-1: any), whose bitmaps allow similar passages."""
+    documents, of other blocks (-1: any), whose bitmaps allow similar passages of so many
+    distinct shingles."""
     found = []
     live, d = np.arange(len(tile) - 1), 1
     while len(live):
@@ -359,56 +350,75 @@ def alike(tile, block, doc, is_open, bits, sizes, need) -> tuple[np.ndarray, np.
             u, v = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
             p, q = bits[u], bits[v]
             most = np.minimum(sizes[u] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), sizes[v] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
-            ok = most >= np.maximum(need[u], need[v])
+            ok = most * (100 + percent) >= percent * (few[u] + few[v])
             found.append(np.stack([u[ok], v[ok]]))
         d += 1
     return tuple(np.concatenate(found, 1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _contexts(rows: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
+    """``rows`` with what their passages have: a hash of it all (ctx), a bitmap of the
+    shingles, their number, and the least number of distinct ones in a passage."""
+
+    def run(table_batches):
+        hashes = WordHashes()
+        for batch in batches(table_batches):
+            for doc, text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                v, s = part.values, shingles(text, n, hashes)
+                key, a, b = (np.asarray(v.field(i)).astype(np.int64) for i in range(3))
+                there = np.flatnonzero(b + t <= len(s))  # else another text of that id
+                if not len(there):
+                    continue
+                a, b = a[there], b[there]
+                bits, sizes = np.zeros((len(a), BITS // 8), np.uint8), np.zeros(len(a), np.int32)
+                for k, (i, j) in enumerate(zip(a.tolist(), (b + t).tolist())):
+                    own = np.unique(s[i:j])
+                    flat = np.zeros(BITS, np.uint8)
+                    flat[(own & np.uint64(BITS - 1)).astype(np.int64)] = 1
+                    bits[k], sizes[k] = np.packbits(flat, bitorder="little"), len(own)
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(a), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key[there]), pa.array(np.full(len(a), doc, np.int64)), v.field(3).take(pa.array(there)), pa.array(Stretches(s).of(a, b + t).view(np.int64)), raw, pa.array(sizes), pa.array(fewest_in(s, a, b, t).astype(np.int32))], names=["key", "doc", "open", "ctx", "bits", "size", "few"])
+
+    own = rows.groupBy("doc").agg(F.collect_list(F.struct("key", "a", "b", "open")).alias("w"))
+    return texts.hint("merge").join(own, "doc").select("doc", "text", "w").mapInArrow(run, "key long, doc long, open boolean, ctx long, bits binary, size int, few int")
+
+
 def _partners(rows: DataFrame, texts: DataFrame, n: int, t: int, percent: int) -> DataFrame:
     """(doc, hub), hub earlier, that explain the open rows of each key if anything does.
     Rows of equal contexts are a class: its later documents meet its first one, which has
-    the same passage.  Of the first ones, those whose contexts' bitmaps allow a similar
-    passage meet; keys of many classes are dealt in blocks that meet pairwise."""
-    rows = rows.groupBy("key", "ctx", "doc").agg(F.min(F.struct("c", "e")).alias("at"), F.max("open").alias("open"))
-    classes = materialize(rows.groupBy("key", "ctx").agg(F.min(F.struct("doc", "at", "open")).alias("r"), F.max("doc").alias("last"), F.max("open").alias("any")), "classes")
-    same = rows.filter("open").join(classes.filter("any and r.doc < last").select("key", "ctx", F.col("r.doc").alias("hub")), ["key", "ctx"]).filter("hub < doc").select("doc", "hub").distinct()
-    same = materialize(same, "same")
+    the same passage.  Of the first ones, those whose bitmaps allow a similar passage
+    meet; keys of many classes are dealt in blocks that meet pairwise."""
     by = Window.partitionBy("key")
-    heads = classes.select("key", "r.*").withColumns({"first": F.min("doc").over(by), "last": F.max(F.when(F.col("open"), F.col("doc"))).over(by), "blocks": F.ceil(F.count("*").over(by) / BLOCK).cast("int")})
-    heads = heads.filter("open and doc > first or doc < last").groupBy("doc").agg(F.collect_list(F.struct("key", "at.c", "at.e", "open", "blocks")).alias("heads"))
-
-    def described(table_batches):
-        hashes = WordHashes()
-        for b in batches(table_batches):
-            for doc, text, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                v, s = part.values, shingles(text, n, hashes)
-                key, c, e = (np.asarray(v.field(i)).astype(np.int64) for i in range(3))
-                there = np.flatnonzero(np.maximum(c, e) < len(s)) if len(s) >= t else []  # else another text of that id
-                if len(there):
-                    bits, sizes, need = contexts(s, c[there], e[there], t, percent)
-                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(there), [None, pa.py_buffer(bits.tobytes())])
-                    at = pa.array(there)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[there]), pa.array(np.full(len(there), doc, np.int64)), v.field(3).take(at), v.field(4).take(at), raw.cast(pa.binary()), pa.array(sizes), pa.array(need)], names=["key", "doc", "open", "blocks", "bits", "size", "need"])
-
-    tiles = texts.hint("merge").join(heads, "doc").select("doc", "text", "heads").mapInArrow(described, "key long, doc long, open boolean, blocks int, bits binary, size short, need short")
+    left = rows.withColumns({"first": F.min("doc").over(by), "last": F.max(F.when(F.col("open"), F.col("doc"))).over(by)}).filter("first < last and (open and doc > first or doc < last)")
+    left = materialize(_contexts(left, texts, n, t), "contexts")
+    classes = left.groupBy("key", "ctx").agg(F.min(F.struct("doc", "open", "bits", "size", "few")).alias("r"), F.max("doc").alias("last"), F.max("open").alias("any"))
+    classes = materialize(classes, "classes")
+    same = left.filter("open").join(classes.filter("any and r.doc < last").select("key", "ctx", F.col("r.doc").alias("hub")), ["key", "ctx"]).filter("hub < doc").select("doc", "hub").distinct()
+    same = materialize(same, "same")
+    drop(left)
+    heads = classes.select("key", "r.*").withColumn("blocks", F.ceil(F.count("*").over(by) / BLOCK).cast("int"))
     many = F.col("blocks") > 1
-    tiles = tiles.withColumn("block", F.when(many, F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).otherwise(F.lit(-1)))
+    heads = heads.withColumn("block", F.when(many, F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).otherwise(F.lit(-1)))
     pair = lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q"))
-    tiles = tiles.withColumn("meet", F.explode(F.when(many, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).otherwise(F.array(F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q"))))))
-    tiles = tiles.select(F.xxhash64("key", "meet.p", "meet.q").alias("tile"), F.when(F.col("meet.p") == F.col("meet.q"), F.lit(-1)).otherwise(F.col("block")).alias("block"), "doc", "open", "size", "need", "bits")
+    one = F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q"))
+    tiles = heads.withColumn("meet", F.explode(F.when(many, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).otherwise(F.array(one))))
+    tiles = tiles.select(F.xxhash64("key", "meet.p", "meet.q").alias("tile"), F.when(F.col("meet.p") == F.col("meet.q"), F.lit(-1)).otherwise(F.col("block")).alias("block"), "doc", "open", "size", "few", "bits")
     tiles = tiles.repartition("tile").sortWithinPartitions("tile", "doc")
 
     def run(table_batches):
+        sent = set()
         for r in whole_runs(table_batches):
-            tile, block, doc, is_open, size, need = (r.column(i).to_numpy() for i in range(6))
-            raw = r.column(6).combine_chunks()
-            bits = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(tile), BITS // 64)
-            x, y = alike(tile, block, doc, is_open, bits, size.astype(np.int64), need)
-            pairs = np.unique(np.stack([doc[x], doc[y]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["doc", "hub"])
+            tile, block, doc, is_open, size, few = (r.column(i).to_numpy() for i in range(6))
+            bits = np.frombuffer(b"".join(r.column(6).to_pylist()), np.uint64).reshape(len(tile), BITS // 64)
+            x, y = alike(tile, block, doc, is_open, bits, size.astype(np.int64), few.astype(np.int64), percent)
+            pairs = np.unique(np.stack([doc[x], doc[y]]), axis=1).T.tolist()
+            new = [p for p in map(tuple, pairs) if p not in sent]  # neighbouring keys have the same pairs
+            sent.update(new) if len(sent) < 1_000_000 else sent.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["doc", "hub"])
 
-    return tiles.mapInArrow(run, "doc long, hub long").unionByName(same).distinct()
+    pairs = materialize(tiles.mapInArrow(run, "doc long, hub long").unionByName(same).distinct(), "pairs")
+    drop(classes, same)
+    return pairs
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: int, percent: int) -> DataFrame:
@@ -450,8 +460,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: int, percent: int)
 
 
 def near_duplicate_passages(docs: DataFrame, n: int = 5, min_words: int = 50, percent: int = 80) -> DataFrame:
-    """A row per passage of a document that is near a passage of an earlier one (smaller
-    doc_id): doc_id, start, end (words, end exclusive), first_doc_id, first_start,
+    """A row per longest passage of a document that is near a passage of an earlier one
+    (smaller doc_id), with one such document: doc_id, start, end (words, end exclusive), first_doc_id, first_start,
     first_end, similarity (of the passages' sets of ``n``-word shingles).
 
     Every document is compared with the first document of each window key it shares.
@@ -463,25 +473,27 @@ def near_duplicate_passages(docs: DataFrame, n: int = 5, min_words: int = 50, pe
     Passages repeated inside one document are not looked for.  Other columns are ignored.
     """
     t = min_words - n + 1
-    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
+    docs = spread(docs.filter("doc_id is not null"), F.col("doc_id").cast("long").alias("doc"), "text")
     rows = materialize(_with_hub(_rows(docs, n, t)), "windows")
     pairs = materialize(_candidates(rows), "pairs")
     texts = materialize(docs.join(rows.select("doc").distinct().hint("merge"), "doc", "left_semi"), "texts")
     found = _verified(pairs, texts, n, t, percent)
     # the first of each joint key, then the first open one, explain most of what is left
     key = Window.partitionBy("key")
-    joint = materialize(_joint(rows, texts, n, t).withColumns({"first": F.min("doc").over(key), "__last": F.max("doc").over(key)}).filter("first < __last").drop("__last"), "joint")
+    joint = materialize(_joint(rows).withColumns({"first": F.min("doc").over(key), "__last": F.max("doc").over(key)}).filter("first < __last").drop("__last"), "joint")
     drop(rows)
     for hub in (F.col("first"), F.min(F.when(F.col("doc") > F.col("first"), F.col("doc"))).over(key)):
-        new = _open(joint, found, n).filter("open").withColumn("hub", hub).filter("hub < doc").select("doc", "hub").distinct()
+        new = _open(joint, found, n, t).filter("open").withColumn("hub", hub).filter("hub < doc").select("doc", "hub").distinct()
         more = materialize(new.hint("merge").join(pairs, ["doc", "hub"], "left_anti"), "pairs")
         pairs = pairs.unionByName(more)
         found = found.unionByName(_verified(more, texts, n, t, percent))
     # and every open row meets all earlier documents of its key
-    rest = materialize(_partners(_open(joint, found, n), texts, n, t, percent).hint("merge").join(pairs, ["doc", "hub"], "left_anti"), "pairs")
+    rest = materialize(_partners(_open(joint, found, n, t), texts, n, t, percent).hint("merge").join(pairs, ["doc", "hub"], "left_anti"), "pairs")
     drop(joint)
     found = found.unionByName(_verified(rest, texts, n, t, percent))
-    return found.distinct()
+    # of a document's passages those that lie in no other one; of equal ones one
+    wide = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("similarity"), "first_doc_id", "first_start").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("__upto", F.max("end").over(wide)).filter("__upto is null or end > __upto").drop("__upto")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
