@@ -1,7 +1,9 @@
 """Operators that treat documents one by one, against brute force."""
 
 import hashlib
+import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -12,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from veldt.llm import chat_format, decontamination, packing, quality_rules, queries, token_codes, warc
+from veldt.llm._text import Encoder
 
 ODD = [None, "", " ", "\n\n", "a", "a b", "x\n x\nx \n x", "Ünï çödé 'S don't  stop\t\tnow\x1c x", "<|endoftext|> </s>[INST] \\ [/INST] <\\s>", "ab cd ef ab cd ef ab cd ef", "word " * 4000, "a" * 9000, "\U0001f600 é́ 𝔘"]
 
@@ -25,9 +28,9 @@ def read(sf, name):
     return pq.read_table(f"{sf}/{name}.parquet").to_pylist()
 
 
-def encode(name, texts):
+def encode(name, texts, plain_controls=False):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain_controls
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -52,6 +55,21 @@ def check_packing(rows, want):
     return fill
 
 
+def test_ids_are_the_librarys():
+    """Random texts over all Unicode categories, with what cuts could get wrong."""
+    rng, kinds = random.Random(4), {}
+    for c in map(chr, range(0x20000)):
+        if unicodedata.category(c) != "Cs":
+            kinds.setdefault(unicodedata.category(c), []).append(c)
+    odd = ["\u0130", "i\u0307", "'s", "'LL", "don't", "\u01c5", "\ufb01", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "\t", "\x85", "\ue000", "\xa0", "-", "!?", "e\u0301", "word", "Word123", "\u212a", "\u1100", "\u0345"]
+    one = lambda: rng.choice(odd) if rng.random() < 0.5 else rng.choice(rng.choice(list(kinds.values()))) if rng.random() < 0.5 else chr(rng.randrange(32, 0x250))
+    texts = ["\u0130-a", *("".join(one() for _ in range(rng.randrange(1, 25))) for _ in range(3000))]
+    for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        for plain in (False, True):
+            got = Encoder(public_tokenizers.path(name), kind, plain).encode(texts)
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == encode(name, texts, plain)
+
+
 def test_packing(spark, sf):
     docs = read(sf, "documents")
     want = {d["doc_id"]: ids + [1] for d, ids in zip(docs, encode("word_bpe_49k.json", [d["text"] for d in docs]))}
@@ -165,6 +183,12 @@ def test_chat_format(spark, sf):
     assert [r.seq for r in flat] == [2, 4, 5] and [r.text[r.loss_start : r.loss_end].replace("\\\\", "\\") for r in flat][0].startswith("\\")
     assert all(flat[1].text.startswith(flat[0].text) for _ in flat)
     assert sum(len(r.text) for r in flat) == chat_format.digests(df.filter("conv_id = 1")).first().example_chars
+    targets = {(r.conv_id, r.seq): r for r in chat_format.examples(df).collect()}
+    assert set(targets) == {(c, k) for c in (1, None) for k in (2, 4, 5)}
+    assert all(r.context_segments == k and flat[i].text.endswith(r.text) and len(flat[i].text) == r.context_chars + len(r.text) for i, k in enumerate((2, 4, 5)) for r in [targets[1, k]])
+    long = "é<s>\\" * 500_000
+    one = chat_format.digests(spark.createDataFrame([(9, 0, "user", long), (9, 1, "assistant", long)], df.schema.names[:4])).first()
+    assert (one.n_turns, one.loss_chars, one.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
     segs = chat_format.segments(df).collect()
     assert all(s.segment.count(chat_format.START) == s.segment.count(chat_format.END) == 1 and "[INST]" not in s.segment for s in segs)
     assert chat_format.digests(df.limit(0)).count() == 0
@@ -233,12 +257,24 @@ def test_warc(spark, sf):
     got = warc.read_archives(spark, warc.write_archives(df, archive_bytes=100)).collect()
     same(got, [dict(zip(("page_id", "url", "html"), r)) for r in rows])
     assert Counter(r.url for r in got) == Counter(r[1] or "" for r in rows)
+    # one id with several payloads: one record a row, none of them lost
+    rows = [(2, "u", "A shared", "x"), (5, "u", "A shared", "x"), (5, "v", "B unique", "x"), (3, "u", "C", "x"), (5, "w", "C", "x"), (5, "u", "A shared", "x"), (1, "u", "x" * 3_000_000, "x"), (7, "u" * 50_000, "x" * 3_000_000, "x")]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, d string")
+    got = warc.read_archives(spark, warc.write_archives(odd)).collect()
+    same(got, [dict(zip(("page_id", "url", "html"), r)) for r in rows])
+    assert len(got) == len(rows) and Counter(r.url for r in got) == Counter(r[1] for r in rows)
+    manifest = warc.write_archives(odd)
+    records = [f for r in manifest.collect() for f, _ in warc.read_archive(r.file)]
+    by_id = {f["WARC-Record-ID"]: f for f in records}
+    assert sum(f["WARC-Type"] == "warcinfo" for f in records) == manifest.count()
+    for f in records:
+        if f["WARC-Type"] == "revisit":
+            to = by_id[f["WARC-Refers-To"]]
+            assert to["WARC-Type"] == "response" and to["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and to["WARC-Target-URI"] == f["WARC-Refers-To-Target-URI"] and to["X-Page-ID"] == f["X-Refers-To-Page"]
     assert warc.read_archives(spark, warc.write_archives(df.limit(0))).count() == 0
 
 
 def test_dictionary_is_used(tmp_path):
-    import random
-
     rng = random.Random(5)
     names = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(400)]
     pages = [" ".join(rng.choices(names, k=60)).encode() for _ in range(3000)]
