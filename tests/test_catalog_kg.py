@@ -144,3 +144,23 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["--root", root, "--extract-and-add", f"{tmp_path}/t.txt", "MATCH (e:Entity) RETURN count(*) AS n"], spark) == 0
     out = capsys.readouterr().out
     assert "RELATIONSHIP" in out and "Entity has 3 rows" in out and "|3  |" in out
+
+
+def test_embeddings_and_asking(spark, tmp_path, capsys, monkeypatch):
+    import sys
+    import types
+
+    from veldt.kg import cli
+    from veldt.kg.embeddings import embed, entity_texts, relationship_texts
+
+    e = entity_texts(spark.createDataFrame([("1", "Ada", "PERSON", None), ("2", "", None, " ")], "entity_id string, name string, entity_type string, context string"))
+    assert [r.embedding_text for r in e.orderBy("entity_id").collect()] == ["Ada\nPERSON", ""]
+    r = relationship_texts(spark.createDataFrame([("1", "2", "Ada", None, "KNEW", "well")], "source_entity_id string, target_entity_id string, source_entity_name string, target_entity_name string, relationship_type string, description string"))
+    assert r.first().embedding_text == "Ada -[KNEW]-> 2\nwell"
+    got = embed(e, lambda texts: [[len(t), 1] for t in texts]).orderBy("entity_id").collect()
+    assert [x.embedding for x in got] == [[10.0, 1.0], None]
+    model = types.ModuleType("veldt_test_model")
+    model.complete = lambda prompt: "[]" if "JSON" in prompt else "forty-two"
+    monkeypatch.setitem(sys.modules, "veldt_test_model", model)
+    assert cli.main(["--root", str(tmp_path), "--init", "--ask", "what?", "--model", "veldt_test_model:complete"], spark) == 0
+    assert "forty-two" in capsys.readouterr().out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +16,6 @@ from .plans.sqlgen import SqlDialect, to_sql
 from .sources.readers import as_frame
 
 
-class ExecutionStrategy:
-    Spark = "spark"
-
-
 def _session(spark: SparkSession | None = None) -> SparkSession:
     return spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
@@ -251,27 +245,32 @@ def _run_sql(spark: SparkSession, sql: str) -> DataFrame:
 
 
 class SqlEngine:
-    """Views exist only while a statement is analysed, so engines don't clash."""
+    """Views exist only while a statement is analysed; a temporary view that the session
+    has under such a name is put back as it was."""
 
     def __init__(self, datasets: dict, spark: SparkSession | None = None):
         if not datasets:
             raise ConfigError("No input datasets")
-        base = _session(spark)
-        self._spark, self._id = base, uuid.uuid4().hex[:8]
-        self._frames = _frames(datasets, base)
+        self._spark = _session(spark)
+        self._frames = _frames(datasets, self._spark)
 
     def execute(self, sql: str) -> DataFrame:
-        for name, df in self._frames.items():
-            df.createOrReplaceTempView(name)
+        catalog = self._spark._jsparkSession.sessionState().catalog()
+        before = {name: catalog.getRawTempView(name) for name in self._frames}
         try:
+            for name, df in self._frames.items():
+                df.createOrReplaceTempView(name)
             return _run_sql(self._spark, sql)
         finally:
-            for name in self._frames:
-                self._spark.catalog.dropTempView(name)
+            for name, view in before.items():
+                if view.isDefined():
+                    catalog.createTempView(name, view.get(), True)
+                else:
+                    self._spark.catalog.dropTempView(name)
 
     def explain(self, sql: str) -> str:
         q = self.execute(sql)._jdf.queryExecution()
         return f"== logical_plan ==\n{q.analyzed().toString()}\n== physical_plan ==\n{q.executedPlan().toString()}"
 
 
-__all__ = ["CypherEngine", "CypherQuery", "CypherQueryBuilder", "ExecutionError", "ExecutionStrategy", "SqlDialect", "SqlEngine", "SqlQuery", "UnsupportedFeatureError"]
+__all__ = ["CypherEngine", "CypherQuery", "CypherQueryBuilder", "ExecutionError", "SqlDialect", "SqlEngine", "SqlQuery", "UnsupportedFeatureError"]

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from .extract import extract_entities, with_entity_ids
+from .qa import ask
 from .service import GraphStore, KnowledgeGraphService, config_from_dict, load_schema
 
 ENTITY = "entity_id string, name string, entity_type string, context string, confidence double"
@@ -18,12 +21,14 @@ RELATIONSHIP = "source_entity_id string, target_entity_id string, relationship_t
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="veldt-kg", description=__doc__)
     p.add_argument("query", nargs="?")
-    p.add_argument("--root", default="./knowledge_graph")
+    p.add_argument("--root", default="./veldt-graph")
     p.add_argument("--schema", help="YAML file of nodes and relationships")
     p.add_argument("--init", action="store_true", help="create empty Entity and RELATIONSHIP datasets")
     p.add_argument("--list-datasets", action="store_true")
     p.add_argument("--extract-preview", metavar="FILE", help="show the entities of a text file")
     p.add_argument("--extract-and-add", metavar="FILE", help="add the entities of a text file")
+    p.add_argument("--ask", metavar="QUESTION", help="answer a question with the language model of --model")
+    p.add_argument("--model", metavar="MODULE:FUNCTION", help="a function from a prompt to the model's text")
     p.add_argument("--limit", type=int, default=20, help="rows to print")
     return p
 
@@ -34,6 +39,11 @@ def _entities(spark: SparkSession, path: str):
     return with_entity_ids(extract_entities(docs)).select("entity_id", "name", "entity_type", "context", F.col("confidence").cast("double"))
 
 
+def _function(name: str):
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("veldt-kg").getOrCreate()
@@ -53,9 +63,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         new = _entities(spark, a.extract_and_add)
         service.upsert_table("Entity", new)
         print(f"Entity has {service.load_table('Entity').count()} rows")
+    if a.ask:
+        if not a.model:
+            raise ConfigError("--ask needs --model")
+        print(ask(service, a.ask, _function(a.model))["answer"])
     if a.query:
         service.run(a.query).show(a.limit, truncate=False)
-    elif sys.stdin.isatty() and argv is None and not (a.init or a.list_datasets or a.extract_preview or a.extract_and_add):
+    elif sys.stdin.isatty() and argv is None and not (a.init or a.list_datasets or a.extract_preview or a.extract_and_add or a.ask):
         shell(service, a.limit)
     return 0
 

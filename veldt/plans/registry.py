@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import GraphConfig
-from ..engine import CypherQuery, SqlQuery
+from ..engine import CypherQuery, SqlDialect, SqlQuery
 from ..functions.vector import VectorSearch
 from ..kg.extract import extract_entities
-from ..kg.service import KnowledgeGraphService, seed_neighbors
-from ..operators.adjacency import AdjacencyIndex
+from ..kg.service import KnowledgeGraphService, find_seed_entities, seed_neighbors
+from ..operators.adjacency import AdjacencyIndex, AdjacencyIndexBuilder
 from ..sources.catalog import DirNamespace
+from ..sources.readers import default_table_readers
+from ..sources.scratch import scratch_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
@@ -128,6 +130,14 @@ CYPHER: dict[str, tuple[str, dict, str]] = {
     "varlen_rel_props": ("MATCH (a:Customer)-[:NEXT*1..3 {step: 2}]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b, count(*) AS n", {}, walks_sql(f"{NEXT}, f AS (SELECT * FROM e WHERE step = 2)", "f", 1, 3)),
     "varlen_cycle": ("MATCH (a:Customer)-[:CYCLE*4..6]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b, count(*) AS n", {}, walks_sql(CYCLE, "c", 4, 6)),
     "varlen_keeps_vars": ("MATCH (n:Nation)<-[:LIVES_IN]-(a:Customer)-[:NEXT*1..2]->(b:Customer) RETURN n.n_name AS nation, count(*) AS n", {}, f"SELECT n_name AS nation, CAST(sum(n) AS BIGINT) AS n FROM ({walks_sql(NEXT, 'e', 1, 2)}) JOIN customer ON c_custkey = a JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name"),
+    "varlen_one": ("MATCH (a:Customer)-[:NEXT*1..1]->(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", {}, f"WITH {NEXT} SELECT src AS a, dst AS b FROM e"),
+    "varlen_filtered_start": ("MATCH (a:Customer)-[:NEXT*1..6]->(b:Customer) WHERE a.c_custkey = 7 AND b.c_acctbal > 0 RETURN a.c_custkey AS a, b.c_custkey AS b, count(*) AS n", {}, f"SELECT a, b, n FROM ({walks_sql(NEXT, 'e', 1, 6, 'src = 7')}) JOIN customer ON c_custkey = b WHERE c_acctbal > 0"),
+    "varlen_target_props": ("MATCH (a:Customer)-[:NEXT*1..3]->(b:Customer {c_mktsegment: 'BUILDING'}) RETURN a.c_custkey AS a, b.c_custkey AS b, count(*) AS n", {}, f"SELECT a, b, n FROM ({walks_sql(NEXT, 'e', 1, 3)}) JOIN customer ON c_custkey = b WHERE c_mktsegment = 'BUILDING'"),
+    "varlen_bound_target": ("MATCH (a:Customer)-[:NEXT]->(b:Customer), (a)-[:NEXT*2..3]->(b) RETURN a.c_custkey AS a, b.c_custkey AS b, count(*) AS n", {}, f"SELECT a, b, CAST(sum(w.n) AS BIGINT) AS n FROM ({walks_sql(NEXT, 'e', 2, 3)}) w JOIN (WITH {NEXT} SELECT src, dst FROM e) x ON x.src = a AND x.dst = b GROUP BY a, b"),
+    "reuse_target_props": ("MATCH (a:Customer)-[:NEXT]->(b:Customer)-[:NEXT]->(c:Customer), (a)-[:NEXT]->(c {c_mktsegment: 'BUILDING'}) RETURN a.c_custkey AS a, b.c_custkey AS b, c.c_custkey AS c", {}, f"WITH {NEXT} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst JOIN customer ON c_custkey = y.dst WHERE c_mktsegment = 'BUILDING'"),
+    "bound_node_again": ("MATCH (c:Customer)-[:PLACED]->(o:Orders) MATCH (c {c_nationkey: 3})-[:LIVES_IN]->(n:Nation) RETURN n.n_name AS nation, count(*) AS n", {}, "SELECT n_name AS nation, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey = 3 GROUP BY n_name"),
+    "agg_count_expr": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orders) RETURN c.c_nationkey AS k, count(o.o_totalprice) AS n, count(*) AS m", {}, "SELECT c_nationkey AS k, count(o_totalprice) AS n, count(*) AS m FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey"),
+    "string_right_side": ("MATCH (a:Nation)-[:IN_REGION]->(r:Region) WHERE a.n_name CONTAINS toUpper('a') AND NOT a.n_name ENDS WITH r.r_name RETURN a.n_name AS name", {}, "SELECT n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(n_name, 'A') AND NOT ends_with(n_name, r_name)"),
     "agg_count_star": ("MATCH (o:Orders) RETURN count(*) AS n", {}, "SELECT count(*) AS n FROM orders"),
     "agg_count_var": ("MATCH (c:Customer)-[:PLACED]->(o:Orders) RETURN count(o) AS n, count(c) AS m", {}, "SELECT count(*) AS n, count(*) AS m FROM customer JOIN orders ON o_custkey = c_custkey"),
     "agg_count_distinct": ("MATCH (c:Customer)-[:PLACED]->(o:Orders) RETURN count(DISTINCT c.c_custkey) AS n", {}, "SELECT count(DISTINCT c_custkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey"),
@@ -151,9 +161,27 @@ SQL: dict[str, tuple[str, str]] = {
     "sql_setops": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier UNION SELECT r_regionkey FROM region EXCEPT SELECT 3",) * 2,
     "sql_grouping_sets": ("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())",) * 2,
     "sql_semi_anti": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice < 2000)",) * 2,
+    "sql_cte": ("WITH t AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey), u AS (SELECT n, count(*) AS m FROM t GROUP BY n) SELECT n, m FROM u WHERE m > 1",) * 2,
+    "sql_full_outer": ("SELECT c_custkey, s_suppkey FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey",) * 2,
+    "sql_right_join": ("SELECT c_custkey, n_name FROM (SELECT * FROM customer WHERE c_acctbal > 9000) AS c RIGHT JOIN nation ON c_nationkey = n_nationkey",) * 2,
+    "sql_scalar_subquery": ("SELECT p_partkey, p_size - (SELECT min(p_size) FROM part) AS above FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)",) * 2,
+    "sql_rollup": ("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)",) * 2,
+    "sql_cube": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",) * 2,
+    "sql_case": ("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS class, coalesce(nullif(p_brand, 'Brand#11'), 'own') AS brand FROM part",) * 2,
+    "sql_strings": ("SELECT n_nationkey, upper(n_name) AS u, substring(n_name, 2, 3) AS s, replace(n_name, 'A', 'x') AS r, CAST(length(n_name) AS BIGINT) AS n, concat(n_name, '-', n_regionkey) AS c, lpad(n_name, 12, '*') AS l, reverse(n_name) AS b FROM nation",) * 2,
+    "sql_math": ("SELECT p_partkey, round(sqrt(p_size), 6) AS r, abs(p_size - 25) AS a, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(ceil(p_retailprice) AS BIGINT) AS c, sign(p_size - 25.0) > 0 AS s FROM part",) * 2,
+    "sql_dates": ("SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m, CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders",) * 2,
+    "sql_frames": ("SELECT o_orderkey, count(*) OVER w AS n, min(o_orderkey) OVER w AS lo, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS r, first_value(o_orderkey) OVER w AS f FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",) * 2,
+    "sql_regexp": ("SELECT c_custkey, regexp_replace(c_name, '[0-9]+', '#') AS r, regexp_extract(c_name, '([0-9]+)$', 1) AS d FROM customer",) * 2,
+    "sql_nested": ("SELECT vec_id, CAST(size(embedding) AS BIGINT) AS n, element_at(embedding, 1) AS one, exists(embedding, x -> x > 0.3) AS big FROM embeddings", "SELECT vec_id, len(embedding) AS n, embedding[1] AS one, len(list_filter(embedding, lambda x: x > 0.3)) > 0 AS big FROM embeddings"),
+    "sql_values_in": ("SELECT c_custkey FROM customer WHERE (c_nationkey, c_mktsegment) IN (SELECT s_nationkey, 'BUILDING' FROM supplier) ORDER BY c_custkey LIMIT 20 OFFSET 5",) * 2,
 }
 
 
+#: Graph queries whose SQL text is run too.
+TO_SQL = ("filter_cmp", "two_hop", "three_hop", "optional_match", "with_having", "agg_group", "order_hidden_key")
+
+
 def _graph(text: str, params: dict, **options) -> Callable:
     return lambda spark, sf_dir: CypherQuery(text).with_config(config(**options)).with_parameters(params).compile(Tables(spark, sf_dir).get, spark)
 
@@ -219,6 +247,83 @@ def _namespace(spark, sf_dir):
     return CypherQuery(text).with_config(c).execute_with_namespace(DirNamespace(sf_dir), spark)
 
 
+def _order_by_vector(spark, sf_dir):
+    q = f"MATCH (e:Embedding) RETURN e.vec_id AS id ORDER BY vector_distance(e.embedding, [{', '.join(map(str, QUERY_VECTOR))}], l2), e.vec_id LIMIT 10"
+    return _graph(q, {})(spark, sf_dir)
+
+
+def _path(spark, sf_dir):
+    """The vertices of a shortest path, by place."""
+    index, start = _index(spark, sf_dir), _first(spark, sf_dir)
+    far = index.bfs(start, 5).filter("level = 5").agg(F.min("vertex_id")).first()[0]
+    return spark.createDataFrame(list(enumerate(index.shortest_path(start, far) or [] if far is not None else [])), "place int, vertex_id long")
+
+
+def _csr_counts(spark, sf_dir):
+    own, back = AdjacencyIndexBuilder(spark).add_edges(Tables(spark, sf_dir).get("next"), "src", "dst").build_bidirectional()
+    first = _first(spark, sf_dir)
+    return spark.createDataFrame([(own.num_vertices(), own.num_edges(), own.degree(first), back.degree(first))], "vertices long, edges long, outgoing long, incoming long")
+
+
+def _csr_neighbors(spark, sf_dir):
+    return _index(spark, sf_dir).neighbors(_first(spark, sf_dir))
+
+
+def _upsert_relationships(spark, sf_dir):
+    items = Tables(spark, sf_dir).get("lineitem")
+    row = lambda df, kind, text: df.select(F.col("l_suppkey").cast("string").alias("source_entity_id"), F.col("l_partkey").cast("string").alias("target_entity_id"), F.lit(kind).alias("relationship_type"), F.lit(text).alias("description"), F.lit(text == "new").alias("fresh"))
+    old, new = row(items, None, ""), row(items.filter("l_linenumber = 1"), "RELATED_TO", "").withColumn("fresh", F.lit(True))
+    return KnowledgeGraphService.merged_relationships(old, new).select("source_entity_id", "target_entity_id", "relationship_type", "fresh")
+
+
+def _seeds(spark, sf_dir):
+    vectors = Tables(spark, sf_dir).get("embeddings").select(F.col("vec_id").cast("string").alias("entity_id"), "embedding")
+    return find_seed_entities(vectors, QUERY_VECTOR, 6).select("entity_id", F.round("score", 3).alias("score"))
+
+
+def _session_tables(spark, sf_dir):
+    """Tables that the session has under the names of the graph, here as views for a moment."""
+    names = {"veldt_shop": "customer", "veldt_sale": "orders"}
+    c = GraphConfig.builder().with_node_label("Shop", "c_custkey", table="veldt_shop").with_node_label("Sale", "o_orderkey", table="veldt_sale").with_relationship("SOLD", "o_custkey", "o_orderkey", table="veldt_sale").build()
+    for view, table in names.items():
+        Tables(spark, sf_dir).get(table).createOrReplaceTempView(view)
+    try:
+        return CypherQuery("MATCH (s:Shop)-[:SOLD]->(t:Sale) WHERE t.o_totalprice > 100000 RETURN s.c_nationkey AS k, count(*) AS n").with_config(c).execute_with_context(spark)
+    finally:
+        for view in names:
+            spark.catalog.dropTempView(view)
+
+
+def _reader(fmt: str):
+    """A table written in another format and read by that format's reader."""
+
+    def run(spark, sf_dir):
+        path = scratch_path(spark, f"nation-{fmt}")
+        Tables(spark, sf_dir).get("nation").write.format(fmt).options(header="true").save(path)
+        nation = default_table_readers()[fmt].read(spark, path)
+        text = "MATCH (n:Nation) WHERE n.n_regionkey > 1 RETURN n.n_nationkey AS k, n.n_name AS name"
+        return CypherQuery(text).with_config(config()).execute({"nation": nation}, spark).select(F.col("k").cast("int").alias("k"), "name")
+
+    return run
+
+
+def _arrow(spark, sf_dir):
+    region = Tables(spark, sf_dir).get("region").toArrow()  # a handful of rows
+    return CypherQuery("MATCH (r:Region) RETURN r.r_regionkey AS k, r.r_name AS name").with_config(config()).execute({"region": region}, spark)
+
+
+def _through_sql(name: str):
+    """A graph query's SQL text, run as SQL."""
+
+    def run(spark, sf_dir):
+        text, params, _ = CYPHER[name]
+        tables = {t: Tables(spark, sf_dir).get(t) for t in ("customer", "nation", "region", "orders", "lineitem", "part")}
+        q = CypherQuery(text).with_config(config()).with_parameters(params)
+        return SqlQuery(q.to_sql(tables, SqlDialect.Spark, spark)).execute(tables, spark)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: _graph(t, p) for k, (t, p, _) in CYPHER.items()}
     out["expand_undirected_both"] = _graph("MATCH (a:Customer)-[:NEXT]-(b:Customer) RETURN a.c_custkey AS a, b.c_custkey AS b", {}, undirected="both")
@@ -233,6 +338,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csr_offsets": lambda s, d: _index(s, d).offsets(), "csr_bfs_levels": _bfs, "csr_shortest_len": _shortest,
         "kg_upsert_dedupe": _upsert, "kg_seed_neighbors": _neighbors, "namespace_parquet": _namespace,
         "kg_extract_terms": lambda s, d: extract_entities(Tables(s, d).get("documents"), "doc_id", "text").groupBy("name").count(),
+        "order_by_vector": _order_by_vector, "csr_shortest_path": _path, "csr_counts": _csr_counts, "csr_neighbors": _csr_neighbors,
+        "kg_upsert_relationships": _upsert_relationships, "kg_seed_entities": _seeds, "session_tables": _session_tables, "in_memory_arrow": _arrow,
+        "return_relationship": lambda s, d: _graph("MATCH (a:Customer)-[r:NEXT]->(b:Customer) RETURN r", {})(s, d).toDF("src", "dst", "step"),
+        **{f"reader_{fmt}": _reader(fmt) for fmt in ("csv", "json", "orc")},
+        **{f"to_sql_{name}": _through_sql(name) for name in TO_SQL},
     }
     return out
 
@@ -254,6 +364,18 @@ def oracle_sql() -> dict[str, str]:
     out["csr_shortest_len"] = walk.format(5) + " SELECT (SELECT min(c_custkey) FROM customer) AS source, min(v) AS target, CASE WHEN min(v) IS NOT NULL THEN CAST(5 AS INTEGER) END AS hops FROM l WHERE n = 5"
     out["kg_upsert_dedupe"] = "SELECT CAST(o_custkey AS VARCHAR) AS entity_id, CASE WHEN max(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) = 1 THEN 'NEW' ELSE 'OLD' END AS entity_type, 'customer' AS name_lower FROM orders GROUP BY o_custkey"
     out["kg_seed_neighbors"] = f"WITH {NEXT} SELECT CAST(src AS VARCHAR) AS seed_id, CAST(dst AS VARCHAR) AS neighbor_id, 'outgoing' AS direction FROM e WHERE src % 50 = 0 UNION ALL SELECT CAST(dst AS VARCHAR), CAST(src AS VARCHAR), 'incoming' FROM e WHERE dst % 50 = 0"
+    out["order_by_vector"] = out["vec_topk"].replace("SELECT vec_id FROM", "SELECT vec_id AS id FROM", 1)
+    out["csr_shortest_path"] = walk.format(5) + ", p AS (SELECT min(v) AS v, 5 AS n FROM l WHERE n = 5 UNION ALL SELECT (SELECT min(src) FROM e JOIN l ON l.v = e.src AND l.n = p.n - 1 WHERE e.dst = p.v), n - 1 FROM p WHERE n > 0 AND v IS NOT NULL) SELECT CAST(n AS INTEGER) AS place, v AS vertex_id FROM p WHERE v IS NOT NULL"
+    out["csr_counts"] = f"WITH {NEXT}, s AS (SELECT min(c_custkey) AS s FROM customer) SELECT max(greatest(src, dst)) + 1 AS vertices, count(*) AS edges, count(*) FILTER (src = s) AS outgoing, count(*) FILTER (dst = s) AS incoming FROM e, s"
+    out["csr_neighbors"] = f"WITH {NEXT} SELECT dst AS dst_id FROM e WHERE src = (SELECT min(c_custkey) FROM customer) ORDER BY dst"
+    out["kg_upsert_relationships"] = "SELECT CAST(l_suppkey AS VARCHAR) AS source_entity_id, CAST(l_partkey AS VARCHAR) AS target_entity_id, 'RELATED_TO' AS relationship_type, max(l_linenumber = 1) AS fresh FROM lineitem GROUP BY l_suppkey, l_partkey"
+    out["kg_seed_entities"] = f"SELECT CAST(vec_id AS VARCHAR) AS entity_id, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 3) AS score FROM (SELECT vec_id, {_vector('similarity', 'cosine')[1]} AS s FROM embeddings) ORDER BY CAST(s AS FLOAT) DESC, CAST(vec_id AS VARCHAR) LIMIT 6"
+    out["session_tables"] = "SELECT c_nationkey AS k, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000 GROUP BY c_nationkey"
+    out["in_memory_arrow"] = "SELECT r_regionkey AS k, r_name AS name FROM region"
+    out["return_relationship"] = f"WITH {NEXT} SELECT src, dst, step FROM e"
+    out |= {f"reader_{fmt}": "SELECT CAST(n_nationkey AS INTEGER) AS k, n_name AS name FROM nation WHERE n_regionkey > 1" for fmt in ("csv", "json", "orc")}
+    out |= {f"to_sql_{name}": CYPHER[name][2] for name in TO_SQL}
+    out["kg_extract_terms"] = r"SELECT name, count(*) AS count FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{Nd}_]+'), lambda t: regexp_full_match(t, '[A-Z][a-zA-Z0-9_]+') AND length(t) > 2 AND t <> upper(t)))) AS name FROM documents) GROUP BY name"
     out["namespace_parquet"] = "SELECT count(*) AS n FROM customer WHERE c_acctbal > 0"
     return out
 
