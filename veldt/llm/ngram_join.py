@@ -9,8 +9,9 @@ the same band (ratio at least percent/100) meet; bitmaps of hashed shingles boun
 overlap from above, and what is left is decided by intersecting the sorted sets.
 
 Large groups of near copies would meet in many tiles at once.  So classes are first
-compared with the tile's hub (its smallest class), best-voted hub first; once they are
-in one component, tiles skip them.  What the hubs leave is done in full.
+compared with the tile's hub (its smallest class), best-voted hub first, then components
+by their likeliest pair of a tile; once classes are in one component, tiles skip them.
+What is left is done in full.
 """
 
 from __future__ import annotations
@@ -79,16 +80,20 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
     def run(table_batches):
         import zstandard
 
-        hashes, sketch = WordHashes(), np.zeros(SKETCH, np.uint32)
+        hashes, sketch, known = WordHashes(), np.zeros(SKETCH, np.uint32), {}
         for b in batches(table_batches):
-            sets = shingle_sets(b.column(2).to_pylist(), n, hashes)
+            ths = b.column(1).to_pylist()
+            if len(known) > 500_000:
+                known.clear()
+            new = {th: text for th, text in zip(ths, b.column(2).to_pylist()) if th not in known}  # equal texts once a task
+            sets = shingle_sets(list(new.values()), n, hashes)
             full = [s for s in sets if len(s)]
-            ids = np.zeros(len(sets), np.int64)
-            sizes = np.array([len(s) for s in sets])
+            ids = iter(class_ids(full).tolist() if full else ())
+            known.update({th: (len(s), next(ids) if len(s) else None) for th, s in zip(new, sets)})
             if full:
-                ids[sizes > 0] = class_ids(full)
                 np.add.at(sketch, (np.concatenate(full) >> np.uint64(44)).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, mask=sizes == 0), pa.nulls(len(ids), pa.binary())], names=["doc_id", "th", "n", "cid", "sketch"])
+            found = [known[th] for th in ths]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.nulls(len(ths), pa.binary())], names=["doc_id", "th", "n", "cid", "sketch"])
         if sketch.any():
             raw = zstandard.ZstdCompressor(level=1).compress(sketch.tobytes())
             one = lambda v, t: pa.array([v], t)
@@ -137,58 +142,45 @@ def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return s[part[np.argsort(order[part])]]
 
 
-def _tiles(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """Prefix shingles shared by sets of sizes in one band: token, cid, n, pos.  A task sends
-    a class once; what several tasks send is merged where the tile's rows meet."""
+def _texts(docs: DataFrame, described: DataFrame) -> DataFrame:
+    """A text of every class: cid, text."""
+    classes = described.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("z"), "th")).alias("r"))
+    reps = classes.select("cid", "r.*")
+    own = docs.withColumns({"d": F.coalesce("doc_id", F.lit(0)), "z": F.col("doc_id").isNull()}).join(reps, ["d", "z", "th"])
+    return materialize(own.dropDuplicates(["d", "z", "th"]).select("cid", "text"), "texts")  # of rows that repeat one
+
+
+def _tiles(texts: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """Prefix shingles shared by sets of sizes in one band: token, cid, n, pos."""
 
     def run(table_batches):
-        hashes, texts, seen = WordHashes(), set(), set()
+        hashes = WordHashes()
         for b in batches(table_batches):
-            new = {}
-            for th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if th not in texts:
-                    texts.add(th)
-                    new[th] = text
-            sets = [s for s in shingle_sets(list(new.values()), n, hashes) if len(s)]
-            if not sets:
-                continue
-            own = {c: s for c, s in zip(class_ids(sets).tolist(), sets) if c not in seen}
-            seen.update(own)
-            if not own:
-                continue
-            parts = [prefix(s, levels.value, percent) for s in own.values()]
+            sets = shingle_sets(b.column(1).to_pylist(), n, hashes)
+            parts = [prefix(s, levels.value, percent) for s in sets]
             count = np.array([len(p) for p in parts])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(list(own), np.int64), count)),
-                pa.array(np.repeat(np.array([len(s) for s in own.values()], np.int32), count)), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in count])),
+                pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.asarray(b.column(0)), count)),
+                pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), count)), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in count])),
             ], names=["token", "cid", "n", "pos"])
 
-    rows = docs.select("th", "text").mapInArrow(run, "token long, cid long, n int, pos int")
-    rows = rows.repartition("token").groupBy("token", "cid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    rows = texts.select("cid", "text").mapInArrow(run, "token long, cid long, n int, pos int")
     by = "over (partition by token order by n, cid)"
     near = f"{percent} * lead(n) {by} <= 100 * n or {percent} * n <= 100 * lag(n) {by}"
     return materialize(rows.selectExpr("*", f"coalesce({near}, false) as near").filter("near").drop("near"), "tiles")
 
 
-def _bitmaps(texts: DataFrame, n: int) -> DataFrame:
-    """cid and two bitmaps (sig, wide) of every class."""
+def _bitmaps(texts: DataFrame, n: int, rooms: tuple[int, ...]) -> DataFrame:
+    """cid and, for each number of bits a shingle, a bitmap of every class."""
 
     def run(table_batches):
         hashes = WordHashes()
         for b in batches(table_batches):
             sets = shingle_sets(b.column(1).to_pylist(), n, hashes)
-            sigs = [pa.array([bitmap(s, room).tobytes() for s in sets], pa.binary()) for room in (2, 8)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *sigs], names=["cid", "sig", "wide"])
-
-    return texts.select("cid", "text").mapInArrow(run, "cid long, sig binary, wide binary")
+            sigs = [pa.array([bitmap(s, room).tobytes() for s in sets], pa.binary()) for room in rooms]
+            yield pa.RecordBatch.from_arrays([b.column(0), *sigs], names=["cid", *(f"sig{r}" for r in rooms)])
 
-
-def _involved(docs: DataFrame, described: DataFrame, tiles: DataFrame) -> DataFrame:
-    """A text of every class that is in a tile: cid, text."""
-    classes = described.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("z"), "th")).alias("r"))
-    reps = classes.join(tiles.select("cid").distinct(), "cid").select("cid", "r.*")
-    own = docs.withColumns({"d": F.coalesce("doc_id", F.lit(0)), "z": F.col("doc_id").isNull()}).join(reps, ["d", "z", "th"]).select("cid", "text")
-    return materialize(own, "involved")
+    return texts.select("cid", "text").mapInArrow(run, ", ".join(["cid long", *(f"sig{r} binary" for r in rooms)]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -239,9 +231,9 @@ def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def tile_pairs(token, block, label, size, pos, sigs, first, percent: int):
-    """Pairs of row numbers that may link, of rows sorted by (token, size): same token,
-    other label, other block (-1: any), sizes of one band, no earlier tile in common that
-    their first shingles show, and bitmaps that allow it."""
+    """Pairs of row numbers that may link, of rows sorted by (token, size), and how much
+    overlap their bitmaps allow beyond what is needed: same token, other label, other block
+    (-1: any), sizes of one band, no earlier tile in common that their first shingles show."""
     found = []
     width = np.array([len(s) for s in sigs]) // 8
     flat = {}
@@ -282,30 +274,35 @@ def tile_pairs(token, block, label, size, pos, sigs, first, percent: int):
                 x, y = u[low == w], v[low == w]
                 p, q = folded(x, int(w)), folded(y, int(w))
                 most = np.minimum(size[x] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), size[y] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
-                ok = most >= needed(size[x], size[y], percent)
+                spare = most - needed(size[x], size[y], percent)
+                ok = spare >= 0
                 if ok.any():
-                    found.append(np.stack([x[ok], y[ok]]))
+                    found.append(np.stack([x[ok], y[ok], spare[ok]]))
         d += 1
-    if not found:
-        return np.zeros((2, 0), np.int64)
-    return np.concatenate(found, 1)
+    return np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
 
 
-def _full_pairs(tiles: DataFrame, labels: DataFrame | None, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _tile_pairs(tiles: DataFrame, labels: DataFrame | None, texts: DataFrame, n: int, percent: int, best: bool) -> DataFrame:
     """Candidate pairs of the tiles that still hold several components.  Only classes in
-    these get bitmaps."""
+    these get bitmaps.  ``best``: of the classes' first tiles only, and for any two
+    components of a tile the likeliest pair; what these don't link is left to all pairs."""
     rows = _labelled(tiles, labels)
     several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", "rows")
     left = materialize(rows.join(several, "token"), "left")
     cids = materialize(left.select("cid").distinct(), "cids")
     first = tiles.join(cids, "cid").groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, FIRST).alias("first"))
-    classes = _bitmaps(texts.join(cids, "cid"), n).join(first, "cid")
-    rows = left.join(classes, "cid").withColumn("sig", F.when(F.col("pos") <= F.element_at("first", -1)["pos"], F.col("wide")).otherwise(F.col("sig")))
+    early = F.col("pos") <= F.element_at("first", -1)["pos"]
+    if best:
+        # narrow rows meet the first tiles before the bitmaps come to them
+        rows = left.join(first, "cid").filter(early).join(_bitmaps(texts.join(cids, "cid"), n, (8,)), "cid")
+    else:
+        rows = left.join(_bitmaps(texts.join(cids, "cid"), n, (2, 8)).join(first, "cid"), "cid")
+        rows = rows.withColumn("sig8", F.when(early, F.col("sig8")).otherwise(F.col("sig2")))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.when(F.col("rows") > BLOCK, F.pmod(F.xxhash64("cid"), blocks).cast("int")).otherwise(F.lit(-1))
     tile = F.when(F.col("rows") > BLOCK, F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q")))).otherwise(F.array(F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q"))))
     rows = rows.withColumn("block", own).withColumn("tile", F.explode(tile))
-    rows = rows.select(F.xxhash64("token", "tile.p", "tile.q").alias("tile"), F.when(F.col("tile.p") == F.col("tile.q"), F.lit(-1)).otherwise(F.col("block")).alias("block"), "cid", "label", "n", "pos", "sig", "first")
+    rows = rows.select(F.xxhash64("token", "tile.p", "tile.q").alias("tile"), F.when(F.col("tile.p") == F.col("tile.q"), F.lit(-1)).otherwise(F.col("block")).alias("block"), "cid", "label", "n", "pos", F.col("sig8").alias("sig"), "first")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(parts, "tile").sortWithinPartitions("tile", "n")
 
@@ -318,7 +315,13 @@ def _full_pairs(tiles: DataFrame, labels: DataFrame | None, texts: DataFrame, n:
             first[0][~there] = 1 << 31  # after every place
             for k in range(2):
                 first[k][there] = np.asarray(lists.flatten().field(k))
-            x, y = tile_pairs(tile, block, label, size, pos, t.column(6).to_pylist(), first, percent)
+            x, y, spare = tile_pairs(tile, block, label, size, pos, t.column(6).to_pylist(), first, percent)
+            if best and len(x):
+                lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+                order = np.lexsort((-spare, hi, lo))
+                lo, hi = lo[order], hi[order]
+                one = order[np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])]
+                x, y = x[one], y[one]
             a, b = np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
             pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], names=["a", "b"])
@@ -343,8 +346,8 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     described = _describe(docs, n)
     levels = spark.sparkContext.broadcast(_levels(_merged_sketch(described)).astype(np.uint64))
-    tiles = _tiles(docs, levels, n, percent)
-    texts = _involved(docs, described, tiles)
+    texts = _texts(docs, described)
+    tiles = _tiles(texts, levels, n, percent)
     links, tested, labels = [], [], None
 
     def settle(pairs: DataFrame) -> None:
@@ -363,10 +366,11 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     for k in range(HUB_ROUNDS):
         settle(_hub_pairs(_labelled(tiles.filter(F.pmod("token", F.lit(8)) == k), labels), percent))
-    full = _full_pairs(tiles, labels, texts, n, percent)
-    drop(tiles)
-    settle(full)
-    drop(texts, full, *tested, *links)
+    for best in (True, False):
+        pairs = _tile_pairs(tiles, labels, texts, n, percent, best)
+        settle(pairs)
+        drop(pairs)
+    drop(tiles, texts, *tested, *links)
     rows = described.filter("n is not null").select("doc_id", "th", F.col("n").alias("n_shingles"), "cid")
     # classes first, then rows: a component of very many rows or classes is never one task's
     classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
