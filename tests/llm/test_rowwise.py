@@ -224,6 +224,8 @@ def test_frequent_lines_go(spark, monkeypatch):
     body = lambda i: "\n".join(f"w{i} " + " ".join(f"x{i}y{j}z{k}" for k in range(6)) for j in range(10))
     rows = [(i, f"{body(i)}\n  Home   ABOUT contact\n", "h", 1) for i in range(30)] + [(100 + i, "\n".join(f"menu {k} item of the site number {k}" for k in range(9)) + f"\nown {i}", "h", 1) for i in range(30)]
     rows += [(200 + i, body(999), "h", 1) for i in range(40)] + [(300, body(300) + "\nhome about contact", "other", 1), (301, None, None, 1)]
+    # a row that repeats is one document: 24 of its 94 words are frequent, not 48
+    rows += [(400, "\n".join(f"menu {k} item of the site number {k}" for k in range(3)) + f"\n{body(400)}", "h", 1)] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, removed int")
     for bound in (quality_rules.BROADCAST_ROWS, -1):
         monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", bound)
@@ -231,8 +233,9 @@ def test_frequent_lines_go(spark, monkeypatch):
         assert all(got[i].removed_lines == 1 and got[i].removed_words == 3 and got[i].kept for i in range(30))
         assert all(got[100 + i].removed_lines == 9 and not got[100 + i].kept for i in range(30))
         assert all(got[200 + i].removed_lines == 0 and got[200 + i].kept for i in range(40)) and got[300].removed_lines == 0
+        assert got[400].removed_lines == 3 and got[400].kept
         text = {r.doc_id: r.text for r in quality_rules.clean(df).collect()}
-        assert set(text) == {*range(30), *range(200, 240), 300} and text[3] == body(3) + "\n" and text[300].endswith("contact")
+        assert set(text) == {*range(30), *range(200, 240), 300, 400} and text[3] == body(3) + "\n" and text[300].endswith("contact")
 
 
 def test_warc(spark, sf):

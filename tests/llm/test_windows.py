@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+import pyarrow.parquet as pq
+
 from veldt.llm import compact_windows as cw
 
 
@@ -122,3 +124,42 @@ def test_passages_against_all_pairs():
         want, got = similar_starts(x, y, 46, 80), covers(x, y, 46, 80)
         assert bool(want) <= bool(got)
         assert all(any(a < i + 46 and i <= b for a, b, *_ in got) for i in want)
+
+
+def told(spans, i, t):
+    """Whether the t shingles from i lie in spans (of shingles) but for GAP of them."""
+    return t - len(set(range(i, i + t)) & {k for a, b in spans for k in range(a, b)}) <= cw.GAP
+
+
+def test_tables_against_all_pairs(spark, sf):
+    """Every passage that an earlier document has too is told; of similar ones nine in ten."""
+    rows = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    n, t, percent = 5, 46, 80
+    hashes = cw.WordHashes()
+    docs = {r["doc_id"]: cw.shingles(r["text"], n, hashes) for r in sorted(rows, key=lambda r: r["doc_id"])}
+    spans = {}
+    for r in cw.near_duplicate_passages(df).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.end - n + 1))
+        assert r.first_doc_id < r.doc_id
+        x, y = docs[r.doc_id][r.start : r.end - n + 1], docs[r.first_doc_id][r.first_start : r.first_end - n + 1]
+        u, v = set(x.tolist()), set(y.tolist())
+        assert len(x) >= t and 100 * len(u & v) >= percent * len(u | v)
+    seen, equal = set(), 0
+    for d, s in docs.items():
+        at = np.arange(max(0, len(s) - t + 1))
+        own = cw.Stretches(s).of(at, at + t).tolist()
+        for i in [i for i, h in enumerate(own) if h in seen][::7]:
+            equal += 1
+            assert told(spans.get(d, []), i, t), (d, i)
+        seen.update(own)
+    found = similar = 0
+    ids = list(docs)
+    sets = {d: set(docs[d].tolist()) for d in ids}
+    for k, d in enumerate(ids):
+        for e in ids[:k]:
+            if len(sets[d] & sets[e]) >= 37 and 0 < len(docs[d]) * len(docs[e]) < 60_000:
+                for i in similar_starts(docs[d], docs[e], t, percent):
+                    similar += 1
+                    found += told(spans.get(d, []), i, t)
+    assert equal > 100 and similar > 100 and found >= 0.9 * similar

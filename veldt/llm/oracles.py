@@ -38,7 +38,7 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORDS}') AS w, string_split(t, chr(10)) AS l FROM d),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE n > 1) GROUP BY doc_id),
-line AS (SELECT doc_id, host, t, trim(regexp_replace(regexp_replace(x, '[\x09\x0B-\x0D]', ' ', 'g'), ' +', ' ', 'g')) AS x FROM (SELECT doc_id, host, t, unnest(string_split(lower(t), chr(10))) AS x FROM d)),
+line AS (SELECT DISTINCT doc_id, host, t, i, trim(regexp_replace(regexp_replace(l[i], '[\x09\x0B-\x0D]', ' ', 'g'), ' +', ' ', 'g')) AS x FROM (SELECT doc_id, host, t, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT DISTINCT doc_id, host, t, string_split(lower(t), chr(10)) AS l FROM d))),
 often AS (SELECT host, x, count(DISTINCT t) AS n FROM line WHERE x <> '' GROUP BY host, x HAVING count(DISTINCT t) > 20),
 hosts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
 cut AS (SELECT doc_id, count(*) AS removed_lines, CAST(sum(len(regexp_extract_all(x, '{_WORDS}'))) AS BIGINT) AS removed_words FROM line JOIN often USING (host, x) JOIN hosts USING (host) WHERE often.n > greatest(20, 0.1 * hosts.n) GROUP BY doc_id),

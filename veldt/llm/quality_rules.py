@@ -105,14 +105,15 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _lines(keys: DataFrame) -> DataFrame:
-    """A row per line with a word: host-line hash, number of words."""
+    """A row per line with a word: its place, host-line hash, number of words."""
     lines = F.filter(F.transform(F.split(normalised(F.col("text")), "\n"), lambda x: F.btrim(x)), lambda x: x != "")
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(F.col("host"), x).alias("hl"), (count_of(x, " ") + 1).alias("w")))
-    return keys.select("doc_id", "host", "th", F.inline(hashed))
+    return keys.select("doc_id", "host", "th", F.posexplode(hashed).alias("at", "line")).select("doc_id", "host", "th", "at", "line.*")
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1) -> DataFrame:
-    """Host-line hashes in more than ``min_docs`` distinct texts of their host and more
+    """Nulls as empty texts and names; rows and texts that repeat count once.
+    Host-line hashes in more than ``min_docs`` distinct texts of their host and more
     than ``max_share`` of them: ``hl, n_docs`` and, for the second test, ``host_docs`` by
     host (second result)."""
     keys = _keys(docs)
@@ -133,7 +134,8 @@ def removed_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1, w
         hit = lines.withColumn("salt", F.pmod(F.col("th"), F.lit(SALTS)).cast("int")).join(salted, ["hl", "salt"])
     hit = hit.join(F.broadcast(hosts) if hosts.count() <= BROADCAST_ROWS else hosts, "host").filter(F.col("n_docs") > F.col("most"))
     aggs = [F.count(F.lit(1)).alias("removed_lines"), F.sum("w").alias("removed_words")] + ([F.collect_set("hl").alias("removed")] if with_hashes else [])
-    return hit.groupBy("doc_id", "host", "th").agg(*aggs)
+    once = hit.select("doc_id", "host", "th", "at", "hl", "w").distinct()  # rows that repeat are one document
+    return once.groupBy("doc_id", "host", "th").agg(*aggs)
 
 
 def assess(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, max_share: float = 0.1, max_removed: float = 0.5) -> DataFrame:
@@ -156,7 +158,8 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, m
 
 
 def clean(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, max_share: float = 0.1, max_removed: float = 0.5) -> DataFrame:
-    """The kept documents with all their columns; lines above the limits are gone from ``text``."""
+    """The kept documents with all their columns; lines above the limits are gone from ``text``.
+    Nulls and repeated rows as in ``assess``."""
     cut = removed_lines(docs, min_docs, max_share, with_hashes=True).select(F.col("doc_id").alias("__d"), F.col("host").alias("__h"), F.col("th").alias("__t"), F.col("removed_words").alias("__w"), F.col("removed").alias("__r"))
     own = docs.withColumns({"__host": F.coalesce("source", F.lit("")), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
     # a generator: filters on its columns stay above it, so the figures are computed once
