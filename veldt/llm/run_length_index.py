@@ -47,20 +47,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def grams(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place as a number, first byte highest; zeros follow the end."""
+    wide = np.zeros(len(data) + 8, np.uint64)
+    wide[: len(data)] = data
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | wide[k : k + len(data)]
+    return out
+
+
 class Rolling:
-    """Hash of any substring of a byte array in constant time."""
+    """Hash of any substring of 8 bytes or more in constant time: a polynomial of its mixed
+    8-byte pieces (of plain bytes, texts such as Thue-Morse words would collide)."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, pieces: np.ndarray | None = None):
+        pieces = grams(data) if pieces is None else pieces
         p, self.inv = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], dtype=np.uint64, out=self.sums[1:])
+        np.cumsum(mix(pieces) * p[: len(data)], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, size) -> np.ndarray:
-        return (self.sums[start + size] - self.sums[start]) * self.inv[start]
+        return (self.sums[start + size - 7] - self.sums[start]) * self.inv[start]
 
     def all(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
-        return (self.sums[size:] - self.sums[:-size]) * self.inv[:n]
+        return (self.sums[size - 7 : n + size - 7] - self.sums[:n]) * self.inv[:n]
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -89,7 +101,8 @@ class RunLengthIndex:
 
     def __init__(self, data: np.ndarray):
         self.n = n = len(data)
-        self.roll = Rolling(data)
+        self.pieces = grams(data)
+        self.roll = Rolling(data, self.pieces)
         sa = suffix_array(data)
         bwt = data[sa - 1]
         turn = bwt[1:] != bwt[:-1]
@@ -119,16 +132,27 @@ class RunLengthIndex:
         return np.where(there, self._overlap(sa[r], sa[r + there]), 0)
 
     def _overlap(self, a: np.ndarray, b: np.ndarray, short: int = 255) -> np.ndarray:
-        """Common prefix lengths, by bisection on substring hashes; most are short."""
+        """Common prefix lengths: the first 8 bytes by themselves, the rest by bisection on
+        substring hashes; most are short."""
         room = np.where(a == b, 0, self.n - np.maximum(a, b))
-        deep = room > short
-        deep[deep] = self.roll.of(a[deep], short + 1) == self.roll.of(b[deep], short + 1)
-        lo, hi = np.where(deep, short + 1, 0), np.where(deep, room, np.minimum(room, short))
-        go = np.arange(len(a))
-        while len(go := go[lo[go] < hi[go]]):
-            mid = (lo[go] + hi[go] + 1) // 2
-            same = self.roll.of(a[go], mid) == self.roll.of(b[go], mid)
-            lo[go], hi[go] = np.where(same, mid, lo[go]), np.where(same, hi[go], mid - 1)
+        differ = self.pieces[a] ^ self.pieces[b]
+        same = np.zeros(len(a), np.int64)
+        for k in range(1, 9):
+            same += differ >> np.uint64(64 - 8 * k) == 0
+        lo = np.minimum(same, room)
+        go = np.flatnonzero((same == 8) & (room > 8))
+        if not len(go):
+            return lo
+        x, y, most = a[go], b[go], room[go]
+        deep = most > short
+        deep[deep] = self.roll.of(x[deep], short + 1) == self.roll.of(y[deep], short + 1)
+        low, high = np.where(deep, short + 1, 8), np.where(deep, most, np.minimum(most, short))
+        on = np.arange(len(go))
+        while len(on := on[low[on] < high[on]]):
+            mid = (low[on] + high[on] + 1) // 2
+            hit = self.roll.of(x[on], mid) == self.roll.of(y[on], mid)
+            low[on], high[on] = np.where(hit, mid, low[on]), np.where(hit, high[on], mid - 1)
+        lo[go] = low
         return lo
 
     def matching_statistics(self) -> np.ndarray:
@@ -156,11 +180,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """Prefix doubling from 8 bytes up, or tripling where three ranks fit into a key; only
     suffixes that are still tied are sorted again."""
     n = len(data)
-    wide = np.zeros(n + 8, np.uint64)
-    wide[:n] = data
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | wide[k : k + n]
+    key = grams(data)
     order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
     sorted_key = key[order]
@@ -199,6 +219,8 @@ _ANCHORS = "fp long, ctx long, doc long, at long, left int, size int, dup boolea
 def _anchor_rows(docs: DataFrame, length: int, flush_rows: int = 400_000) -> DataFrame:
     """Anchors of all texts.  Within a flush those with equal surroundings are sent once
     (``dup``); their places are marked at once (rows with ``size`` < 0: at, -size)."""
+    from xxhash import xxh3_64_intdigest as digest
+
     k = length // 2
     side = length - k
 
@@ -211,7 +233,9 @@ def _anchor_rows(docs: DataFrame, length: int, flush_rows: int = 400_000) -> Dat
         p = anchors(roll, starts, length)
         t = np.searchsorted(bounds[:, 0], p, "right") - 1
         a, b = np.maximum(bounds[t, 0], p - side), np.minimum(bounds[t, 1], p + k + side)
-        return mix(roll.of(p, k)), mix(roll.of(a, b - a) ^ mix(((p - a) << 32 | (b - a)).astype(np.uint64))), t, p, p - a, b - a
+        view = memoryview(raw)
+        own = np.fromiter((digest(view[i:j]) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a))
+        return mix(roll.of(p, k)), mix(own ^ mix(((p - a) << 32 | (b - a)).astype(np.uint64))), t, p, p - a, b - a
 
     def run(table_batches):
         held, n = [], 0
@@ -462,7 +486,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
     else, in another text or the same one.
 
     Null text is empty.  A repeated row is a copy like any other: its text repeats as a
-    whole.  Matches never cross texts.
+    whole.  Matches never cross texts.  ``length`` is 16 or more.
     """
     spark = docs.sparkSession
     keyed = docs.withColumn("__doc", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
