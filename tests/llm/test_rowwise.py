@@ -159,6 +159,12 @@ def test_decontamination(spark, sf, monkeypatch):
                 assert (r.n_words, r.n_hit, r.hit_items) == (n, hit, [x for x in found if x != "None"])
         assert next(r for r in got if r.doc_id == len(texts) - 1).clean_text == "x  y "
         assert decontamination.remove_contamination(docs_of(spark, texts), b).columns == docs_of(spark).columns
+        for d, i in ((docs_of(spark), b.limit(0)), (docs_of(spark).limit(0), b)):
+            assert not [r for r in decontamination.scan_documents(d, i).collect() if r.n_hit or r.hit_items]
+        assert decontamination.scan_documents(docs_of(spark), b.limit(0)).count() == len(ODD) + 2
+        long = "w " * 700_000 + "stop now " + "w " * 700_000
+        one = decontamination.scan_documents(spark.createDataFrame([(1, long)], "doc_id long, text string"), b).first()
+        assert (one.n_words, one.n_hit, one.hit_items) == (1_400_002, 2, ["2"])
 
 
 def brute_conv(rows):

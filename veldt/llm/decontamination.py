@@ -8,7 +8,6 @@ in one pass, hits are verified word by word, and the words of every occurrence a
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 
@@ -21,6 +20,8 @@ from ._text import ALNUM, WordHashes, batches, mix, utf8
 
 #: More benchmark bytes than this are not broadcast: items are then dealt out in groups.
 BROADCAST_BYTES = 64 << 20
+#: Bits of the filter of a larger benchmark's window hashes.
+FILTER_BITS = 1 << 26
 
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,14 +127,14 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFr
     Null texts have no words; null item texts give no windows; a null item_id never
     counts as an item but its windows still hit.  Repeated rows are handled one by one.
     A column of ``docs`` with one of these names is replaced.  A benchmark beyond
-    ``BROADCAST_BYTES`` is dealt out in groups of items below that size and the groups'
-    hits are put together, so memory stays bounded.
+    ``BROADCAST_BYTES`` is never held whole: its windows meet the documents' n-grams in a
+    join.  Empty tables give no hits.
     """
     added = ["n_words", "n_hit", "hit_spans", "hit_items", "clean_text"]
     docs = docs.drop(*added)
     items, fits = _items(benchmark)
     if not fits:
-        return _scan_in_groups(docs, benchmark, n)
+        return _scan_by_join(docs, benchmark, n)
     schema = docs.schema
     text_at = schema.names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -159,33 +160,70 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFr
     return docs.mapInArrow(run, StructType([*schema.fields, *out.fields]))
 
 
-def _scan_in_groups(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The way for large benchmarks: windows and the documents' n-grams meet in a
-    join on their hash, and verified spans are merged per document."""
+def _marks(hashes: DataFrame) -> np.ndarray:
+    """A filter of fixed size over column ``h``: its bits are set by the tasks and put together
+    here one task at a time.  Set bits may mean nothing; clear ones rule a hash out."""
+    import zstandard
+
+    def run(table_batches):
+        flags = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in table_batches:
+            bit = b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
+            np.bitwise_or.at(flags, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+        if flags.any():
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([zstandard.ZstdCompressor(level=1).compress(flags.tobytes())], pa.binary())})
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in hashes.select("h").mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.bits)), np.uint8)
+    return out
+
+
+def _scan_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """The way for large benchmarks: the documents' n-grams of the benchmark's window sizes
+    that a filter of the windows' hashes lets through meet the windows in a join, which
+    compares the words, and the spans are merged per document."""
     from pyspark.sql.types import StructType
 
-    from ._store import materialize
+    from ._store import drop, materialize
 
     keyed = materialize(docs.withColumn("__row", F.expr("uuid()")), "decontaminate")
 
-    def grams(id_name, whole):
+    def grams(id_name, sizes=None, marks=None):
+        """Windows of items, or with ``sizes`` the n-grams of these sizes that ``marks`` allows."""
+
         def run(table_batches):
             hashes = WordHashes()
             for b in batches(table_batches):
+                ids, words_at, cols = [], [], [[] for _ in range(3)]
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     words = words_of(text)
-                    ids = hashes.of(words)
-                    for size in {min(n, len(words))} - {0} if whole else range(1, min(n, len(words)) + 1):
-                        h = Windows.fold([ids[k : len(ids) - size + 1 + k] for k in range(size)])
-                        yield pa.RecordBatch.from_pydict({id_name: pa.array([i] * len(h), pa.string()), "h": pa.array(h.view(np.int64)), "at": pa.array(range(len(h)), pa.int64()), "size": pa.array([size] * len(h), pa.int64()), "gram": pa.array([b" ".join(words[k : k + size]) for k in range(len(h))], pa.binary())})
+                    flat = hashes.of(words)
+                    for size in {min(n, len(words))} - {0} if sizes is None else [x for x in sizes if x <= len(words)]:
+                        h = Windows.fold([flat[k : len(flat) - size + 1 + k] for k in range(size)])
+                        at = np.arange(len(h))
+                        if marks is not None:
+                            bit = h % np.uint64(FILTER_BITS)
+                            at = np.flatnonzero((marks.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                        ids += [i] * len(at)
+                        for c, x in zip(cols, (h[at].view(np.int64), at, np.full(len(at), size))):
+                            c.append(x)
+                        words_at.extend(b" ".join(words[k : k + size]) for k in at.tolist())
+                if ids:
+                    yield pa.RecordBatch.from_pydict({id_name: pa.array(ids, pa.string()), **{c: pa.array(np.concatenate(x), pa.int64()) for c, x in zip(("h", "at", "size"), cols)}, "gram": pa.array(words_at, pa.binary())})
 
         return run
 
-    b = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(grams("item_id", True), "item_id string, h long, at long, size long, gram binary").select("item_id", "h", "size", "gram").distinct()
-    sizes = b.select("size").distinct()
-    d = keyed.select("__row", "text").mapInArrow(grams("__row", False), "__row string, h long, at long, size long, gram binary").join(F.broadcast(sizes), "size", "left_semi")
+    kind = "string, h long, at long, size long, gram binary"
+    b = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(grams("item_id"), f"item_id {kind}").select("item_id", "h", "size", "gram").distinct()
+    b = materialize(b, "windows")
+    sizes = sorted(r.size for r in b.select("size").distinct().collect())  # n of them at most
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(b))
+    d = keyed.select("__row", "text").mapInArrow(grams("__row", sizes, marks), f"__row {kind}")
     hits = d.join(b, ["h", "size", "gram"])
     per = hits.groupBy("__row").agg(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end"))).alias("__spans"), F.array_sort(F.collect_set("item_id")).alias("hit_items"))
+    per = materialize(per, "hits")
+    drop(b)
     joined = keyed.join(per, "__row", "left").drop("__row")
     names = joined.schema.names
     t, s = names.index("text"), names.index("__spans")
@@ -206,12 +244,10 @@ def _scan_in_groups(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole_documents: bool = True) -> DataFrame:
-    """``docs`` without contaminated documents, or with only the hit spans cut out."""
+    """``docs`` without contaminated documents, or with only the hit spans cut out.  Nulls,
+    repeated rows and empty tables as in ``scan_documents``."""
     scanned = scan_documents(docs, benchmark, n)
     if whole_documents:
         return scanned.filter("n_hit = 0").select(*docs.columns)
     return scanned.withColumn("text", F.col("clean_text")).select(*docs.columns)
 
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
