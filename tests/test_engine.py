@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from veldt import AdjacencyIndexBuilder, CypherEngine, CypherQuery, CypherQueryBuilder, GraphConfig, SqlDialect, SqlEngine, SqlQuery, VectorSearch
+from veldt import AdjacencyIndexBuilder, CypherEngine, CypherQuery, CypherQueryBuilder, GraphConfig, SqlDialect, SqlEngine, SqlQuery, VectorIndex, VectorSearch
 
 STATIONS = [(11, "Mossgate", 12, "amber"), (12, "Harrow", 31, "cobalt"), (13, "Tinsley", 20, None), (14, "Quarry", 45, "amber"), (15, "Fennimore", 8, "jade"), (16, "Ostler", 27, "cobalt")]
 TRACKS = [(11, 13, 1961), (13, 12, 1975), (13, 14, 1988), (12, 16, 1990), (16, 14, None), (12, 14, 1979)]
@@ -143,6 +143,40 @@ def test_vector_search(data):
         assert [r[0] for r in q.execute_with_vector_rerank(data, near, index_first=first).collect()] == ["Plan", "Legend"]
 
 
+def test_vector_index(spark, data, tmp_path):
+    rng = random.Random(7)
+    homes = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.3) for x in homes[i % 12]]) for i in range(1500)] + [(9000, None), (9001, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(4)
+    for metric in ("l2", "cosine", "dot"):
+        index = VectorIndex.build(df, "v", f"{tmp_path}/{metric}", cells=12, metric=metric, sample_rows=600)
+        assert spark.read.parquet(f"{tmp_path}/{metric}/rows").count() == len(rows)
+        hit = 0
+        for k in range(0, 1500, 50):  # queries against brute force
+            near = VectorSearch("v").query_vector(rows[k][1]).metric(metric).top_k(10).tie_break("id").null_vectors("null")
+            want = {r.id for r in near.search(df).collect()}
+            hit += len(want & {r.id for r in index.search(near, probes=4).collect()})
+        assert hit >= 0.9 * 10 * 30
+    with pytest.raises(ValueError):
+        index.search(VectorSearch("v").query_vector([1.0]).metric("l2"))
+    none = VectorIndex.build(df.limit(0), "v", f"{tmp_path}/none")
+    assert none.search(VectorSearch("v").query_vector([1.0])).count() == 0
+
+
+def test_joins_on_shared_variables(spark, data):
+    from veldt.operators.compile import Compiler
+    from veldt.plans import logical as L
+    from veldt.plans import ast as A
+
+    frames = {k.lower(): v for k, v in data.items()}
+    low = L.Filter(L.ScanByLabel("s", "Station"), A.Binary("<", A.Prop("s", "depth"), A.Literal(28)))
+    high = L.Expand(L.Filter(L.ScanByLabel("s", "Station"), A.Binary(">", A.Prop("s", "depth"), A.Literal(10))), "s", "r", ("NEAR",), "out", "t", "Station", False)
+    rows = lambda how: sorted(((r.s__code, r.t__code) for r in Compiler(spark, config(), frames.get).run(L.Join(low, high, how)).collect()), key=str)
+    assert rows("inner") == [(11, 15)]
+    assert rows("left") == [(11, 15), (13, None), (15, None), (16, None)]
+    assert rows("right") == rows("inner") and rows("full") == rows("left")
+
+
 def test_errors(data):
     with pytest.raises(ValueError, match="configuration"):
         CypherQuery("MATCH (s:Station) RETURN s.title").execute(data)

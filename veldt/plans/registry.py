@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import GraphConfig
 from ..engine import CypherQuery, SqlDialect, SqlQuery
+from ..functions.ivf import VectorIndex
 from ..functions.vector import VectorSearch
 from ..kg.extract import extract_entities
 from ..kg.service import KnowledgeGraphService, find_seed_entities, seed_neighbors
@@ -203,6 +204,14 @@ def _topk(spark, sf_dir):
     return near.search(Tables(spark, sf_dir).get("embeddings")).select("vec_id")
 
 
+def _ivf_topk(spark, sf_dir):
+    """All cells of an index, so the same rows as without one."""
+    path = scratch_path(spark, "ivf")
+    index = VectorIndex.build(Tables(spark, sf_dir).get("embeddings"), "embedding", path, cells=8)
+    near = VectorSearch("embedding").query_vector(QUERY_VECTOR).metric("l2").top_k(10).tie_break("vec_id")
+    return index.search(near, probes=8).select("vec_id")
+
+
 def _rerank(spark, sf_dir):
     q = CypherQuery("MATCH (e:Embedding) WHERE e.label < 5 RETURN e.vec_id AS id, e.embedding AS v").with_config(config())
     near = VectorSearch("v").query_vector(QUERY_VECTOR).metric("dot").top_k(7).tie_break("id").include_distance(False)
@@ -334,7 +343,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             out[f"vec_{'sim_' if kind == 'similarity' else ''}{metric}"] = _rounded(_graph(_vector(kind, metric)[0], {}))
     out |= {k: _sql(t) for k, (t, _) in SQL.items()}
     out |= {
-        "vec_topk": _topk, "vec_rerank_after_match": _rerank,
+        "vec_topk": _topk, "vec_index_topk": _ivf_topk, "vec_rerank_after_match": _rerank,
         "csr_offsets": lambda s, d: _index(s, d).offsets(), "csr_bfs_levels": _bfs, "csr_shortest_len": _shortest,
         "kg_upsert_dedupe": _upsert, "kg_seed_neighbors": _neighbors, "namespace_parquet": _namespace,
         "kg_extract_terms": lambda s, d: extract_entities(Tables(s, d).get("documents"), "doc_id", "text").groupBy("name").count(),
@@ -364,6 +373,7 @@ def oracle_sql() -> dict[str, str]:
     out["csr_shortest_len"] = walk.format(5) + " SELECT (SELECT min(c_custkey) FROM customer) AS source, min(v) AS target, CASE WHEN min(v) IS NOT NULL THEN CAST(5 AS INTEGER) END AS hops FROM l WHERE n = 5"
     out["kg_upsert_dedupe"] = "SELECT CAST(o_custkey AS VARCHAR) AS entity_id, CASE WHEN max(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) = 1 THEN 'NEW' ELSE 'OLD' END AS entity_type, 'customer' AS name_lower FROM orders GROUP BY o_custkey"
     out["kg_seed_neighbors"] = f"WITH {NEXT} SELECT CAST(src AS VARCHAR) AS seed_id, CAST(dst AS VARCHAR) AS neighbor_id, 'outgoing' AS direction FROM e WHERE src % 50 = 0 UNION ALL SELECT CAST(dst AS VARCHAR), CAST(src AS VARCHAR), 'incoming' FROM e WHERE dst % 50 = 0"
+    out["vec_index_topk"] = out["vec_topk"]
     out["order_by_vector"] = out["vec_topk"].replace("SELECT vec_id FROM", "SELECT vec_id AS id FROM", 1)
     out["csr_shortest_path"] = walk.format(5) + ", p AS (SELECT min(v) AS v, 5 AS n FROM l WHERE n = 5 UNION ALL SELECT (SELECT min(src) FROM e JOIN l ON l.v = e.src AND l.n = p.n - 1 WHERE e.dst = p.v), n - 1 FROM p WHERE n > 0 AND v IS NOT NULL) SELECT CAST(n AS INTEGER) AS place, v AS vertex_id FROM p WHERE v IS NOT NULL"
     out["csr_counts"] = f"WITH {NEXT}, s AS (SELECT min(c_custkey) AS s FROM customer) SELECT max(greatest(src, dst)) + 1 AS vertices, count(*) AS edges, count(*) FILTER (src = s) AS outgoing, count(*) FILTER (dst = s) AS incoming FROM e, s"
