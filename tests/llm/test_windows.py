@@ -100,8 +100,7 @@ def covers(x, y, t, percent):
 
 def test_passages_against_all_pairs():
     rng = random.Random(9)
-    hashes = cw.WordHashes()
-    of = lambda words: cw.shingles(" ".join(words), 5, hashes)
+    of = lambda words: cw.shingles(" ".join(words), 5)
     p = text(rng, 60, "p")
     cases = [
         (p, [*p[28:33], *text(rng, 40, "z"), *p]),  # one middle shingle earlier in y
@@ -136,8 +135,7 @@ def test_tables_against_all_pairs(spark, sf):
     rows = pq.read_table(f"{sf}/documents.parquet").to_pylist()
     df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
     n, t, percent = 5, 46, 80
-    hashes = cw.WordHashes()
-    docs = {r["doc_id"]: cw.shingles(r["text"], n, hashes) for r in sorted(rows, key=lambda r: r["doc_id"])}
+    docs = {r["doc_id"]: cw.shingles(r["text"], n) for r in sorted(rows, key=lambda r: r["doc_id"])}
     spans = {}
     for r in cw.near_duplicate_passages(df).collect():
         spans.setdefault(r.doc_id, []).append((r.start, r.end - n + 1))

@@ -14,6 +14,10 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+_GOLD = 0x9E3779B97F4A7C15
+_FOLD = np.uint64(_GOLD)
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
@@ -46,8 +50,28 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_GOLD = 0x9E3779B97F4A7C15
-_FOLD = np.uint64(_GOLD)
+#: Whether a byte is white space, and masks that keep the first k of 8 bytes.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of all texts, one after the other, and how many
+    each text has.  Words are hashed 8 bytes at a time, all of the batch together."""
+    raws = [utf8(t) for t in texts]
+    data = b"".join([b" ", b" ".join(raws), b" " * 9]).translate(LOWER)
+    space = _SPACE[np.frombuffer(data, np.uint8)]
+    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, size = turn[::2], turn[1::2] - turn[::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = mix((eight[start] & _MASK[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64)))
+    k, long = 8, np.flatnonzero(size > 8)
+    while len(long):
+        h[long] = mix(h[long] ^ (eight[start[long] + k] & _MASK[np.minimum(size[long] - k, 8)])) + _FOLD
+        k += 8
+        long = long[size[long] > k]
+    ends = np.cumsum([len(r) + 1 for r in raws])  # each text begins behind the space before it
+    return h, np.diff(np.searchsorted(start, ends, "right"), prepend=0)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import drop, materialize
-from ._text import LOWER, WordHashes, batches, mix, shingle_hashes, spread, utf8, whole_runs
+from ._text import batches, mix, shingle_hashes, spread, utf8, whole_runs, word_hashes
 
 FUNCTIONS = 4
 ENOUGH = 2
@@ -33,10 +33,16 @@ BLOCK = 2048
 BITS = 1024
 
 
-def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
-    """Hash of the n words at every position; none for shorter texts."""
-    words = utf8(text).translate(LOWER).split()
-    return shingle_hashes(hashes.of(words), n) if len(words) >= n else np.zeros(0, np.uint64)
+def shingle_lists(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Hashes of the n words at every position of each text; none for shorter texts."""
+    flat, counts = word_hashes(texts)
+    runs = shingle_hashes(flat, n) if len(flat) >= n else np.zeros(0, np.uint64)
+    ends = np.cumsum(counts)
+    return [runs[e - k : max(e - k, e - n + 1)] for e, k in zip(ends.tolist(), counts.tolist())]
+
+
+def shingles(text: str | None, n: int) -> np.ndarray:
+    return shingle_lists([text], n)[0]
 
 
 def windows(values: np.ndarray, sizes: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -220,10 +226,9 @@ def passages(x: np.ndarray, y: np.ndarray, t: int, percent: int, known: tuple |
 
 def _rows(docs: DataFrame, n: int, t: int) -> DataFrame:
     def run(table_batches):
-        hashes = WordHashes()
         seeds = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for b in batches(table_batches):
-            sets = [shingles(x, n, hashes) for x in b.column(1).to_pylist()]
+            sets = shingle_lists(b.column(1).to_pylist(), n)
             flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
             ids = np.asarray(b.column(0))
             for f, seed in enumerate(seeds):
@@ -361,10 +366,9 @@ def _contexts(rows: DataFrame, texts: DataFrame, n: int, t: int) -> DataFrame:
     shingles, their number, and the least number of distinct ones in a passage."""
 
     def run(table_batches):
-        hashes = WordHashes()
         for batch in batches(table_batches):
-            for doc, text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                v, s = part.values, shingles(text, n, hashes)
+            for doc, s, part in zip(batch.column(0).to_pylist(), shingle_lists(batch.column(1).to_pylist(), n), batch.column(2)):
+                v = part.values
                 key, a, b = (np.asarray(v.field(i)).astype(np.int64) for i in range(3))
                 there = np.flatnonzero(b + t <= len(s))  # else another text of that id
                 if not len(there):
@@ -427,7 +431,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: int, percent: int)
     both = pairs.hint("merge").join(x, "doc").hint("merge").join(y, "hub").select("doc", "hub", "tx", "ty")
 
     def run(table_batches):
-        hashes, kept, room = WordHashes(), {}, HELD
+        kept, room = {}, HELD
         last = (None, None)
 
         def of(text):
@@ -435,7 +439,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: int, percent: int)
             nonlocal room
             out = kept.pop(text, None)
             if out is None:
-                out = shingles(text, n, hashes)
+                out = shingles(text, n)
                 room -= len(out) + 100
             kept[text] = out
             while room < 0 and len(kept) > 1:

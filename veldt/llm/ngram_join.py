@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._graph import connected_components
 from ._store import drop, materialize
-from ._text import LOWER, WordHashes, batches, mix, shingle_hashes, utf8, whole_runs
+from ._text import batches, mix, shingle_hashes, whole_runs, word_hashes
 
 SKETCH = 1 << 20
 #: Rows of a shingle's tile beyond which it is cut into blocks that meet pairwise.
@@ -35,16 +35,17 @@ HUB_ROUNDS = 3
 #: First shared shingles of a prefix: a pair is looked at in the tile of the first that both
 #: have among these (else in every common tile), and these tiles have the wider bitmaps.
 FIRST = 8
+#: Bits a shingle, and the most bits, of a class's two bitmaps: a long text is in many tiles, so
+#: its bitmap must not grow with it too.
+ROOMS = ((2, 1 << 11), (8, 1 << 13))
 
 
-def shingle_sets(texts: list[str | None], n: int, hashes: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (64 bit) of every whole text."""
-    words = [utf8(t).translate(LOWER).split() for t in texts]
-    flat = hashes.of([w for x in words for w in x])
+    flat, counts = word_hashes(texts)
     runs = shingle_hashes(flat, n) if len(flat) >= n else flat
     out, at = [], 0
-    for x in words:
-        k = len(x)
+    for k in counts.tolist():
         out.append(np.unique(runs[at : at + k - n + 1] if k >= n else shingle_hashes(flat[at : at + k], n)))
         at += k
     return out
@@ -62,11 +63,11 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def bitmap(s: np.ndarray, room: int) -> np.ndarray:
+def bitmap(s: np.ndarray, room: int, most: int) -> np.ndarray:
     """One bit per shingle at its hash modulo a power of two of at least ``room`` times the
-    set's size."""
+    set's size, but ``most`` (a fuller bitmap bounds the overlap less closely)."""
     bits = 64
-    while bits < room * len(s):
+    while bits < min(most, room * len(s)):
         bits *= 2
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     flat = np.zeros(bits, np.uint8)
@@ -80,13 +81,13 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
     def run(table_batches):
         import zstandard
 
-        hashes, sketch, known = WordHashes(), np.zeros(SKETCH, np.uint32), {}
+        sketch, known = np.zeros(SKETCH, np.uint32), {}
         for b in batches(table_batches):
             ths = b.column(1).to_pylist()
             if len(known) > 500_000:
                 known.clear()
             new = {th: text for th, text in zip(ths, b.column(2).to_pylist()) if th not in known}  # equal texts once a task
-            sets = shingle_sets(list(new.values()), n, hashes)
+            sets = shingle_sets(list(new.values()), n)
             full = [s for s in sets if len(s)]
             ids = iter(class_ids(full).tolist() if full else ())
             known.update({th: (len(s), next(ids) if len(s) else None) for th, s in zip(new, sets)})
@@ -142,47 +143,33 @@ def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return s[part[np.argsort(order[part])]]
 
 
-def _texts(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """A text of every class: cid, text."""
+def _texts(docs: DataFrame, described: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """A row of every class: cid, text, n (set size), prefix (in the common order), and two
+    bitmaps of so many bits a shingle (sig2, sig8)."""
     classes = described.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("z"), "th")).alias("r"))
     reps = classes.select("cid", "r.*")
     own = docs.withColumns({"d": F.coalesce("doc_id", F.lit(0)), "z": F.col("doc_id").isNull()}).join(reps, ["d", "z", "th"])
-    return materialize(own.dropDuplicates(["d", "z", "th"]).select("cid", "text"), "texts")  # of rows that repeat one
-
-
-def _tiles(texts: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """Prefix shingles shared by sets of sizes in one band: token, cid, n, pos."""
+    own = own.dropDuplicates(["d", "z", "th"]).select("cid", "text")  # of rows that repeat one
 
     def run(table_batches):
-        hashes = WordHashes()
         for b in batches(table_batches):
-            sets = shingle_sets(b.column(1).to_pylist(), n, hashes)
+            sets = shingle_sets(b.column(1).to_pylist(), n)
             parts = [prefix(s, levels.value, percent) for s in sets]
-            count = np.array([len(p) for p in parts])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.asarray(b.column(0)), count)),
-                pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), count)), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in count])),
-            ], names=["token", "cid", "n", "pos"])
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+            sigs = [pa.array([bitmap(s, room, most).tobytes() for s in sets], pa.binary()) for room, most in ROOMS]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64))), *sigs], names=["cid", "text", "n", "prefix", "sig2", "sig8"])
 
-    rows = texts.select("cid", "text").mapInArrow(run, "token long, cid long, n int, pos int")
+    return materialize(own.mapInArrow(run, "cid long, text string, n int, prefix array<long>, sig2 binary, sig8 binary"), "texts")
+
+
+def _tiles(texts: DataFrame, percent: int) -> DataFrame:
+    """Prefix shingles shared by sets of sizes in one band: token, cid, n, pos."""
+    rows = texts.select("cid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cid", "n", "pos")
     by = "over (partition by token order by n, cid)"
     near = f"{percent} * lead(n) {by} <= 100 * n or {percent} * n <= 100 * lag(n) {by}"
     return materialize(rows.selectExpr("*", f"coalesce({near}, false) as near").filter("near").drop("near"), "tiles")
 
 
-def _bitmaps(texts: DataFrame, n: int, rooms: tuple[int, ...]) -> DataFrame:
-    """cid and, for each number of bits a shingle, a bitmap of every class."""
-
-    def run(table_batches):
-        hashes = WordHashes()
-        for b in batches(table_batches):
-            sets = shingle_sets(b.column(1).to_pylist(), n, hashes)
-            sigs = [pa.array([bitmap(s, room).tobytes() for s in sets], pa.binary()) for room in rooms]
-            yield pa.RecordBatch.from_arrays([b.column(0), *sigs], names=["cid", *(f"sig{r}" for r in rooms)])
-
-    return texts.select("cid", "text").mapInArrow(run, ", ".join(["cid long", *(f"sig{r} binary" for r in rooms)]))
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those (a, b) that link, by intersection of the sorted sets.  b's side comes in
     runs of equal b; a hub of very many pairs is split over tasks by the adaptive join."""
@@ -191,18 +178,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     both = with_a.join(t.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(table_batches):
-        hashes, kept = WordHashes(), {}
+        kept = {}
 
         def of(c, text):
             if c not in kept:
                 if len(kept) > 256:
                     kept.clear()
-                kept[c] = shingle_sets([text], n, hashes)[0]
+                kept[c] = shingle_sets([text], n)[0]
             return kept[c]
 
         for batch in batches(table_batches, column="ta"):
             out = []
-            first = shingle_sets(batch.column(2).to_pylist(), n, hashes)
+            first = shingle_sets(batch.column(2).to_pylist(), n)
             for a, b, x, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), first, batch.column(3).to_pylist()):
                 y = of(b, tb)
                 m = np.concatenate([x, y])
@@ -282,9 +269,8 @@ def tile_pairs(token, block, label, size, pos, sigs, first, percent: int):
     return np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
 
 
-def _tile_pairs(tiles: DataFrame, labels: DataFrame | None, texts: DataFrame, n: int, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs of the tiles that still hold several components.  Only classes in
-    these get bitmaps.  ``best``: of the classes' first tiles only, and for any two
+def _tile_pairs(tiles: DataFrame, labels: DataFrame | None, texts: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs of the tiles that still hold several components.  ``best``: of the classes' first tiles only, and for any two
     components of a tile the likeliest pair; what these don't link is left to all pairs."""
     rows = _labelled(tiles, labels)
     several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", "rows")
@@ -292,17 +278,16 @@ def _tile_pairs(tiles: DataFrame, labels: DataFrame | None, texts: DataFrame, n:
     cids = materialize(left.select("cid").distinct(), "cids")
     first = tiles.join(cids, "cid").groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, FIRST).alias("first"))
     early = F.col("pos") <= F.element_at("first", -1)["pos"]
+    rows = left.join(first, "cid")
     if best:
-        # narrow rows meet the first tiles before the bitmaps come to them
-        rows = left.join(first, "cid").filter(early).join(_bitmaps(texts.join(cids, "cid"), n, (8,)), "cid")
+        rows = rows.filter(early).join(texts.select("cid", F.col("sig8").alias("sig")), "cid")
     else:
-        rows = left.join(_bitmaps(texts.join(cids, "cid"), n, (2, 8)).join(first, "cid"), "cid")
-        rows = rows.withColumn("sig8", F.when(early, F.col("sig8")).otherwise(F.col("sig2")))
+        rows = rows.join(texts.select("cid", "sig2", "sig8"), "cid").withColumn("sig", F.when(early, F.col("sig8")).otherwise(F.col("sig2")))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.when(F.col("rows") > BLOCK, F.pmod(F.xxhash64("cid"), blocks).cast("int")).otherwise(F.lit(-1))
     tile = F.when(F.col("rows") > BLOCK, F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q")))).otherwise(F.array(F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("q"))))
     rows = rows.withColumn("block", own).withColumn("tile", F.explode(tile))
-    rows = rows.select(F.xxhash64("token", "tile.p", "tile.q").alias("tile"), F.when(F.col("tile.p") == F.col("tile.q"), F.lit(-1)).otherwise(F.col("block")).alias("block"), "cid", "label", "n", "pos", F.col("sig8").alias("sig"), "first")
+    rows = rows.select(F.xxhash64("token", "tile.p", "tile.q").alias("tile"), F.when(F.col("tile.p") == F.col("tile.q"), F.lit(-1)).otherwise(F.col("block")).alias("block"), "cid", "label", "n", "pos", "sig", "first")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(parts, "tile").sortWithinPartitions("tile", "n")
 
@@ -346,8 +331,8 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     described = _describe(docs, n)
     levels = spark.sparkContext.broadcast(_levels(_merged_sketch(described)).astype(np.uint64))
-    texts = _texts(docs, described)
-    tiles = _tiles(texts, levels, n, percent)
+    texts = _texts(docs, described, levels, n, percent)
+    tiles = _tiles(texts, percent)
     links, tested, labels = [], [], None
 
     def settle(pairs: DataFrame) -> None:
@@ -367,7 +352,7 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     for k in range(HUB_ROUNDS):
         settle(_hub_pairs(_labelled(tiles.filter(F.pmod("token", F.lit(8)) == k), labels), percent))
     for best in (True, False):
-        pairs = _tile_pairs(tiles, labels, texts, n, percent, best)
+        pairs = _tile_pairs(tiles, labels, texts, percent, best)
         settle(pairs)
         drop(pairs)
     drop(tiles, texts, *tested, *links)
