@@ -164,3 +164,40 @@ def test_embeddings_and_asking(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setitem(sys.modules, "veldt_test_model", model)
     assert cli.main(["--root", str(tmp_path), "--init", "--ask", "what?", "--model", "veldt_test_model:complete"], spark) == 0
     assert "forty-two" in capsys.readouterr().out
+
+
+def test_http(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from veldt.kg.http import server
+    from veldt.kg.service import GraphStore, KnowledgeGraphService
+
+    httpd = server(KnowledgeGraphService(GraphStore(spark, f"file://{tmp_path}/graph")))
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+
+    def call(path, body=None):
+        data = None if body is None else json.dumps(body).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{httpd.server_port}{path}", data)) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    try:
+        assert call("/graph/health") == (200, {"status": "ok"}) and call("/datasets") == (200, {"datasets": []})
+        entities = [{"entity_id": str(i), "name": n, "entity_type": "T", "embedding": [float(i), 1.0]} for i, n in enumerate("abc")]
+        assert call("/datasets/Entity", entities) == (200, {"dataset": "Entity", "rows": 3})
+        assert call("/datasets/Entity", {"rows": entities[:1]})[1]["rows"] == 3
+        assert call("/datasets/RELATIONSHIP", [{"source_entity_id": "0", "target_entity_id": "2"}])[0] == 200
+        assert len(call("/datasets/Entity?limit=2")[1]["rows"]) == 2
+        assert call("/schema")[1]["nodes"] == {"Entity": "entity_id"}
+        q = "MATCH (a:Entity)-[:RELATIONSHIP]->(b:Entity) WHERE a.name = $n RETURN b.name AS b"
+        assert call("/query", {"query": q, "parameters": {"n": "a"}}) == (200, {"columns": ["b"], "rows": [{"b": "c"}]})
+        near = {"query": "MATCH (e:Entity) RETURN e.name AS n, e.embedding AS v", "column": "v", "vector": [2, 1], "metric": "l2", "top_k": 1}
+        assert call("/query/vector", near)[1]["rows"][0]["n"] == "c"
+        assert [call(*x)[0] for x in (("/nothing",), ("/datasets/none",), ("/query", {"query": "MATCH"}), ("/query", {}), ("/query/other", {}))] == [404, 404, 400, 400, 404]
+    finally:
+        httpd.shutdown()
