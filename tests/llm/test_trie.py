@@ -91,8 +91,7 @@ def test_distributions_sum_to_one(spark):
     assert not any(nt.is_held_out(d) for d, _ in docs)
     pairs = {p for _, t in docs for p in zip(["", *t.split()], [*t.split(), ""])}
     model = nt.train(spark.createDataFrame(docs, "doc_id long, text string"))
-    words = [w.encode() for w in "a b c d e".split()] + [nt.END]
-    rank, count = model.ranks([words])
+    rank, count = model.ranks(nt.tokens_of(["a b c d e"])[0])
     assert sorted(rank.tolist()) == list(range(6)) == list(range(model.words))
     base = (np.append(count, 0) + 0.5) / (model.tokens + 0.5 * (model.words + 1))  # the last: never seen
     every, seen = np.append(rank, -1), set()

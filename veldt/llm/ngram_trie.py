@@ -18,8 +18,6 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import materialize, new_path, open_fs, put_file
-from ._text import LOWER, batches, utf8
+from ._text import batches, word_hashes
 
-END = b"\n"  # no word has white space
+#: Stands for the end of a text among the words' hashes.
+END = np.uint64(0xE9D5C3B1A7987F63)
 DISCOUNT = 0.75
 #: Of model files that a worker holds where the shared folder can't be memory-mapped.
 HELD_BYTES = 256 << 20
@@ -190,7 +189,7 @@ class Model:
         self.bits, self.vocabulary, self.levels, self.tokens, self.words = bits, vocabulary, levels, tokens, words
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "files", "kept")}
+        return {k: v for k, v in self.__dict__.items() if k != "files"}
 
     def _file(self, uri: str) -> dict:
         files = self.__dict__.setdefault("files", {})
@@ -204,39 +203,25 @@ class Model:
             del files[next(iter(files))]
         return f
 
-    def _lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        import xxhash
-
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    def ranks(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (-1: not in training) and count of every token's hash."""
+        order = np.argsort(tokens)
+        sorted_ = tokens[order]
+        new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+        h = sorted_[new]
         shard = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
         rank, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         for s, first, uri in self.vocabulary:
-            mine = np.flatnonzero(shard == s)
-            if len(mine):
+            mine = slice(*np.searchsorted(shard, (s, s + 1)))
+            if mine.start < mine.stop:
                 f = self._file(uri)
                 at = f["id"].find(h[mine] & np.uint64((1 << (64 - self.bits)) - 1))
                 ok = at >= 0
-                rank[mine[ok]] = at[ok] + first
-                count[mine[ok]] = f["count"][at[ok]]
-        return rank, count
-
-    def ranks(self, texts: list[list[bytes]], limit: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (-1: not in training) and count of all tokens, one after the other."""
-        if "memo" not in self.__dict__:
-            self.memo, self.kept = {}, np.zeros((2, 0), np.int64)
-        memo, n, had = self.memo, sum(map(len, texts)), len(self.memo)
-        new = [w for w in set(chain.from_iterable(texts)) if w not in memo]
-        both = self.kept
-        if new:
-            both = np.concatenate([both, np.stack(self._lookup(new))], 1)
-            memo.update(zip(new, range(had, had + len(new))))
-        at = np.fromiter(map(memo.__getitem__, chain.from_iterable(texts)), np.int64, n)
-        if new and had >= limit:  # the first words stay: they are the frequent ones
-            for w in new:
-                del memo[w]
-        else:
-            self.kept = both
-        return both[0][at], both[1][at]
+                rank[mine] = np.where(ok, at + first, -1)
+                count[mine][ok] = f["count"][at[ok]]
+        each = np.empty(len(tokens), np.int64)
+        each[order] = np.cumsum(new) - 1
+        return rank[each], count[each]
 
     def children(self, level: int, context: np.ndarray, word: np.ndarray, weights: bool = False):
         """For each (context index, word rank): index on the level (-1: none), log10
@@ -254,7 +239,10 @@ class Model:
             f, cs, ws = self._file(uri), c[a:b] - low, w[a:b]
             new = np.concatenate([[True], cs[1:] != cs[:-1]])  # equal contexts and pairs are looked up once
             own, at_own = cs[new], np.cumsum(new) - 1
-            from_, to = f["child"].get(own), f["child"].get(own + 1)
+            both = np.unique(np.concatenate([own, own + 1]))
+            at_both = f["child"].get(both)
+            place = np.searchsorted(both, own)
+            from_, to = at_both[place], at_both[place + 1]  # own + 1 comes right after own
             if weights:
                 weight[order[a:b]] = f["weight.book"][f["weight.code"][own]][at_own]
             one = new | np.concatenate([[True], ws[1:] != ws[:-1]])
@@ -283,8 +271,15 @@ class Model:
             yield context, np.where(index >= 0, prob, np.nan), weight
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return [*utf8(text).translate(LOWER).split(), END]
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, one text after the other, and the texts' numbers of tokens."""
+    words, counts = word_hashes(texts)
+    ends = np.cumsum(counts + 1)
+    out = np.full(ends[-1], END, np.uint64)
+    inside = np.ones(len(out), bool)
+    inside[ends - 1] = False
+    out[inside] = words
+    return out, counts + 1
 
 
 def is_held_out(doc_id) -> bool:
@@ -299,21 +294,20 @@ def _vocabulary(docs: DataFrame) -> tuple[list, int, int, int]:
     spark = docs.sparkSession
 
     def count(table_batches):
-        import xxhash
-
-        held: Counter = Counter()
+        held, n = [], 0
 
         def flush():
-            h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in held), np.uint64, len(held))
-            out = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(list(held.values()), pa.int64())], names=["h", "c"])
-            held.clear()
-            return out
+            nonlocal held, n
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            held, n = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
         for b in batches(table_batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not is_held_out(doc):
-                    held.update(words_of(text))
-            if len(held) > 400_000:
+            texts = [t for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not is_held_out(d)]
+            if texts:
+                held.append(tokens_of(texts)[0])
+                n += len(held[-1])
+            if n >= 4 << 20:
                 yield flush()
         if held:
             yield flush()
@@ -365,14 +359,11 @@ def _sum_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(counts.astype(np.int64), first) if len(keys) else counts.astype(np.int64)
 
 
-def tokens_of(model: Model, docs: list, texts: list):
-    """Words of the texts, rank and count of every token, its place, and texts' ends."""
-    words = [words_of(t) for t in texts]
-    lengths = np.array([len(w) for w in words])
-    rank, count = model.ranks(words)
+def placed(model: Model, texts: list):
+    """Rank and count of every token, its place in its text, texts' ends and lengths."""
+    tokens, lengths = tokens_of(texts)
     ends = np.cumsum(lengths)
-    start = np.arange(len(rank)) - np.repeat(ends - lengths, lengths)
-    return rank, count, start, ends, lengths
+    return *model.ranks(tokens), np.arange(len(tokens)) - np.repeat(ends - lengths, lengths), ends, lengths
 
 
 def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, flush_tokens: int = 3 << 20) -> tuple[list, int]:
@@ -383,7 +374,7 @@ def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, flush_t
     width = -(-max(contexts, 1) // shards)
 
     def count(table_batches):
-        end = int(model._lookup([END])[0][0])
+        end = int(model.ranks(np.array([END]))[0][0])
         held, n = [], 0
 
         def flush():
@@ -399,10 +390,10 @@ def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, flush_t
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["shard", "blob"])
 
         for b in batches(table_batches, 4 << 20):
-            rows = [(d, t) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not is_held_out(d)]
-            if not rows:
+            texts = [t for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not is_held_out(d)]
+            if not texts:
                 continue
-            rank, _, start, _, _ = tokens_of(model, *zip(*rows))
+            rank, _, start, _, _ = placed(model, texts)
             *_, (ctx, _, _) = model.below(rank, start, end, order - 2)
             ok = (ctx >= 0) & (rank >= 0)
             held.append((ctx[ok], rank[ok]))
@@ -466,11 +457,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(table_batches):
-        end = int(model._lookup([END])[0][0])
+        end = int(model.ranks(np.array([END]))[0][0])
         n, v = model.tokens, model.words
         for b in batches(table_batches, 3 << 20):
             ids = b.column(0).to_pylist()
-            rank, count, start, ends, lengths = tokens_of(model, ids, b.column(1).to_pylist())
+            rank, count, start, ends, lengths = placed(model, b.column(1).to_pylist())
             base = (count + 0.5) / (n + 0.5 * (v + 1))
             p = base.copy()
             for _, own, weight in model.below(rank, start, end, len(model.levels), weights=True):
