@@ -35,9 +35,9 @@ HUB_ROUNDS = 3
 #: First shared shingles of a prefix: a pair is looked at in the tile of the first that both
 #: have among these (else in every common tile), and these tiles have the wider bitmaps.
 FIRST = 8
-#: Bits a shingle, and the most bits, of a class's two bitmaps: a long text is in many tiles, so
-#: its bitmap must not grow with it too.
-ROOMS = ((2, 1 << 11), (8, 1 << 13))
+#: Bits a shingle, and the most bits, of a class's two bitmaps in tiles: a long text is in many,
+#: so its bitmap there must not grow with it too.  Pairs are tried by whole ones afterwards.
+ROOMS = ((2, 1 << 12), (8, 1 << 14))
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -144,8 +144,8 @@ def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, described: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """A row of every class: cid, text, n (set size), prefix (in the common order), and two
-    bitmaps of so many bits a shingle (sig2, sig8)."""
+    """A row of every class: cid, text, n (set size), prefix (in the common order), two
+    bitmaps of so many bits a shingle (sig2, sig8), and the whole one (sig; null where sig8 is)."""
     classes = described.filter("cid is not null").groupBy("cid").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("z"), "th")).alias("r"))
     reps = classes.select("cid", "r.*")
     own = docs.withColumns({"d": F.coalesce("doc_id", F.lit(0)), "z": F.col("doc_id").isNull()}).join(reps, ["d", "z", "th"])
@@ -157,9 +157,11 @@ def _texts(docs: DataFrame, described: DataFrame, levels, n: int, percent: int)
             parts = [prefix(s, levels.value, percent) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             sigs = [pa.array([bitmap(s, room, most).tobytes() for s in sets], pa.binary()) for room, most in ROOMS]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64))), *sigs], names=["cid", "text", "n", "prefix", "sig2", "sig8"])
+            room, most = ROOMS[1]
+            sigs.append(pa.array([bitmap(s, room, 1 << 62).tobytes() if room * len(s) > most else None for s in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64))), *sigs], names=["cid", "text", "n", "prefix", "sig2", "sig8", "sig"])
 
-    return materialize(own.mapInArrow(run, "cid long, text string, n int, prefix array<long>, sig2 binary, sig8 binary"), "texts")
+    return materialize(own.mapInArrow(run, "cid long, text string, n int, prefix array<long>, sig2 binary, sig8 binary, sig binary"), "texts")
 
 
 def _tiles(texts: DataFrame, percent: int) -> DataFrame:
@@ -170,6 +172,28 @@ def _tiles(texts: DataFrame, percent: int) -> DataFrame:
     return materialize(rows.selectExpr("*", f"coalesce({near}, false) as near").filter("near").drop("near"), "tiles")
 
 
+def _likely(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose whole bitmaps leave room for a link."""
+    t = texts.select("cid", "n", F.coalesce("sig", "sig8").alias("sig"))
+    side = lambda x: t.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    both = pairs.select("a", "b").hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(table_batches):
+        for b in table_batches:
+            keep = []
+            for x, y, p, q in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                while len(p) > len(q):
+                    p = p[: len(p) // 2] | p[len(p) // 2 :]
+                while len(q) > len(p):
+                    q = q[: len(q) // 2] | q[len(q) // 2 :]
+                most = min(x - int(np.bitwise_count(p & ~q).sum(dtype=np.int64)), y - int(np.bitwise_count(q & ~p).sum(dtype=np.int64)))
+                keep.append(most >= needed(x, y, percent))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialize(both.mapInArrow(run, "a long, b long"), "likely")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those (a, b) that link, by intersection of the sorted sets.  b's side comes in
     runs of equal b; a hub of very many pairs is split over tasks by the adaptive join."""
@@ -341,7 +365,9 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         if tested:
             pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        new = _verified(pairs, texts, n, percent)
+        likely = _likely(pairs, texts, percent)
+        new = _verified(likely, texts, n, percent)
+        drop(likely)
         tested.append(pairs)
         links.append(new)
         if not new.isEmpty():
