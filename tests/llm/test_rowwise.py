@@ -297,3 +297,16 @@ def test_dictionary_is_used(tmp_path):
 
     alone = sum(len(zstandard.ZstdCompressor(level=3).compress(warc.record("response", i, "u", p, "d"))) for i, p in enumerate(pages))
     assert w.size < 0.8 * alone
+
+
+def test_own_columns_never_clash(spark, monkeypatch):
+    from veldt.llm import compact_windows, ngram_join, run_length_index
+
+    own = ["__th", "__host", "__d", "__h", "__spans_", "__row", "__doc", "__spans", "__k"]
+    body = lambda i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(9)) for j in range(9))
+    rows = [(i, body(i), "h", *(f"{i}{c}" for c in own)) for i in range(4)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *(f"`{c}` string" for c in own)]))
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
+    bench = spark.createDataFrame([(1, "nothing of it")], "item_id long, text string")
+    for out in (quality_rules.clean(df), ngram_join.keep_one(df), compact_windows.remove_passages(df), decontamination.remove_contamination(df, bench), run_length_index.repeated_bytes(df.drop("__spans")).select(*(c for c in df.columns if c != "__spans"))):
+        assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [tuple(x for c, x in zip(df.columns, r) if c in out.columns) for r in rows]

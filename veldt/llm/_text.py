@@ -179,6 +179,17 @@ def encoder(path: str, kind: str, plain_controls: bool = False) -> Encoder:
     return _ENCODERS[key]
 
 
+def fresh(df, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, made of these."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def spread(df, *columns, piece: int = 4 << 20):
     """``df``'s columns.  If it has fewer partitions than there are cores (a few large files),
     rows are dealt over as many as there are pieces of this many bytes, at most the cores."""

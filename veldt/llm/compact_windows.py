@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import drop, materialize
-from ._text import batches, mix, shingle_hashes, spread, utf8, whole_runs, word_hashes
+from ._text import batches, fresh, mix, shingle_hashes, spread, utf8, whole_runs, word_hashes
 
 FUNCTIONS = 4
 ENOUGH = 2
@@ -509,10 +509,11 @@ def remove_passages(docs: DataFrame, n: int = 5, min_words: int = 50, percent: i
     left go; documents without such passages stay as they are."""
     from .decontamination import merge_spans
 
-    spans = near_duplicate_passages(docs, n, min_words, percent).groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"] == F.col("__d"), "left").drop("__d")
+    d, cut = fresh(docs, "d", "spans")
+    spans = near_duplicate_passages(docs, n, min_words, percent).groupBy(F.col("doc_id").alias(d)).agg(F.collect_set(F.struct("start", "end")).alias(cut))
+    joined = docs.join(spans, docs["doc_id"] == F.col(d), "left").drop(d)
     names = joined.columns
-    at, where = names.index("text"), names.index("__spans")
+    at, where = names.index("text"), names.index(cut)
 
     def run(table_batches):
         for b in batches(table_batches):
@@ -530,6 +531,6 @@ def remove_passages(docs: DataFrame, n: int = 5, min_words: int = 50, percent: i
                 keep.append(not raw or bool(text.strip(" \t\n\x0b\x0c\r")))
                 texts.append(text)
             cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names)) if i != where]
-            yield pa.RecordBatch.from_arrays(cols, names=[x for x in names if x != "__spans"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(cols, names=[x for x in names if x != cut]).filter(pa.array(keep))
 
     return joined.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, WordHashes, batches, mix, utf8
+from ._text import ALNUM, WordHashes, batches, fresh, mix, utf8
 
 #: More benchmark bytes than this are not broadcast: items are then dealt out in groups.
 BROADCAST_BYTES = 64 << 20
@@ -187,7 +187,8 @@ def _scan_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
 
     from ._store import drop, materialize
 
-    keyed = materialize(docs.withColumn("__row", F.expr("uuid()")), "decontaminate")
+    row, cut = fresh(docs, "row", "spans")
+    keyed = materialize(docs.withColumn(row, F.expr("uuid()")), "decontaminate")
 
     def grams(id_name, sizes=None, marks=None):
         """Windows of items, or with ``sizes`` the n-grams of these sizes that ``marks`` allows."""
@@ -219,14 +220,14 @@ def _scan_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     b = materialize(b, "windows")
     sizes = sorted(r.size for r in b.select("size").distinct().collect())  # n of them at most
     marks = docs.sparkSession.sparkContext.broadcast(_marks(b))
-    d = keyed.select("__row", "text").mapInArrow(grams("__row", sizes, marks), f"__row {kind}")
+    d = keyed.select(row, "text").mapInArrow(grams(row, sizes, marks), f"`{row}` {kind}")
     hits = d.join(b, ["h", "size", "gram"])
-    per = hits.groupBy("__row").agg(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end"))).alias("__spans"), F.array_sort(F.collect_set("item_id")).alias("hit_items"))
+    per = hits.groupBy(row).agg(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end"))).alias(cut), F.array_sort(F.collect_set("item_id")).alias("hit_items"))
     per = materialize(per, "hits")
     drop(b)
-    joined = keyed.join(per, "__row", "left").drop("__row")
+    joined = keyed.join(per, row, "left").drop(row)
     names = joined.schema.names
-    t, s = names.index("text"), names.index("__spans")
+    t, s = names.index("text"), names.index(cut)
 
     def finish(table_batches):
         for x in batches(table_batches):
@@ -235,9 +236,9 @@ def _scan_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
                 spans = merge_spans([(r["at"], r["end"]) for r in raw or []])
                 for c, v in zip(cols, (len(words_of(text)), sum(e - a for a, e in spans), [{"start": a, "end": e} for a, e in spans], cut_words(text, spans) if spans else text)):
                     c.append(v)
-            own = [x.column(i) for i in range(len(names)) if names[i] not in ("__spans", "hit_items")]
+            own = [x.column(i) for i in range(len(names)) if names[i] not in (cut, "hit_items")]
             items = pa.array([i or [] for i in x.column(names.index("hit_items")).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*own, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), items, pa.array(cols[3], pa.string())], names=[*[f for f in names if f not in ("__spans", "hit_items")], "n_words", "n_hit", "hit_spans", "hit_items", "clean_text"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), items, pa.array(cols[3], pa.string())], names=[*[f for f in names if f not in (cut, "hit_items")], "n_words", "n_hit", "hit_spans", "hit_items", "clean_text"])
 
     out = StructType.fromDDL("n_words long, n_hit long, hit_spans array<struct<start: long, end: long>>, hit_items array<string>, clean_text string")
     return joined.mapInArrow(finish, StructType([*docs.schema.fields, *out.fields]))

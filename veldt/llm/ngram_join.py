@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._graph import connected_components
 from ._store import drop, materialize
-from ._text import batches, mix, shingle_hashes, whole_runs, word_hashes
+from ._text import batches, fresh, mix, shingle_hashes, whole_runs, word_hashes
 
 SKETCH = 1 << 20
 #: Rows of a shingle's tile beyond which it is cut into blocks that meet pairwise.
@@ -397,16 +397,17 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each linked group stays: that of the smallest doc_id (null ids last;
     of repeated rows one).  Rows without words have no group and all stay."""
-    keyed = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    th, d, h, one, k = fresh(docs, "th", "d", "h", "one", "k")
+    keyed = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
     found = components(docs, n, percent)
     c = materialize(found, "components")
     drop(*found._veldt_tables)
     own = c.filter(F.col("label").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = own.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias("__d"), F.col("r.th").alias("__h"))
-    empty = c.filter("label is null").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct().withColumn("__one", F.lit(False))
-    stay = first.withColumn("__one", F.lit(True)).unionByName(empty)
-    out = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")))
+    first = own.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias(d), F.col("r.th").alias(h))
+    empty = c.filter("label is null").select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct().withColumn(one, F.lit(False))
+    stay = first.withColumn(one, F.lit(True)).unionByName(empty)
+    out = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(th) == F.col(h)))
     if c.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
         return out.select(*docs.columns)
-    one = Window.partitionBy("__d", "__h").orderBy("__th")
-    return out.withColumn("__k", F.row_number().over(one)).filter(~F.col("__one") | (F.col("__k") == 1)).select(*docs.columns)
+    repeated = Window.partitionBy(d, h).orderBy(th)
+    return out.withColumn(k, F.row_number().over(repeated)).filter(~F.col(one) | (F.col(k) == 1)).select(*docs.columns)

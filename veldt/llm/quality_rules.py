@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import materialize
+from ._text import fresh
 
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -160,12 +161,13 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, m
 def clean(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, max_share: float = 0.1, max_removed: float = 0.5) -> DataFrame:
     """The kept documents with all their columns; lines above the limits are gone from ``text``.
     Nulls and repeated rows as in ``assess``."""
-    cut = removed_lines(docs, min_docs, max_share, with_hashes=True).select(F.col("doc_id").alias("__d"), F.col("host").alias("__h"), F.col("th").alias("__t"), F.col("removed_words").alias("__w"), F.col("removed").alias("__r"))
-    own = docs.withColumns({"__host": F.coalesce("source", F.lit("")), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    host, th, figures, d, h, t, w, r = fresh(docs, "host", "th", "figures", "d", "h", "t", "w", "r")
+    cut = removed_lines(docs, min_docs, max_share, with_hashes=True).select(F.col("doc_id").alias(d), F.col("host").alias(h), F.col("th").alias(t), F.col("removed_words").alias(w), F.col("removed").alias(r))
+    own = docs.withColumns({host: F.coalesce("source", F.lit("")), th: F.xxhash64(F.coalesce("text", F.lit("")))})
     # a generator: filters on its columns stay above it, so the figures are computed once
-    own = own.select("*", F.inline(F.array(F.struct(text_stats(F.col("text")).alias("__s")))))
-    own = own.filter((F.col("__s.n_words") >= min_words) & (100 * F.col("__s.n_repeat_words") <= max_repeat_percent * F.col("__s.n_words")))
-    out = own.join(cut, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__host") == F.col("__h")) & (F.col("__th") == F.col("__t")), "left")
-    out = out.filter(F.coalesce("__w", F.lit(0)) <= F.col("__s.n_words") * max_removed)
-    stay = F.filter(F.split("text", "\n"), lambda x: ~(has_word(x) & F.array_contains("__r", F.xxhash64(F.col("__host"), F.btrim(normalised(x))))))
-    return out.withColumn("text", F.when(F.col("__r").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).select(*docs.columns)
+    own = own.select("*", F.inline(F.array(F.struct(text_stats(F.col("text")).alias(figures)))))
+    own = own.filter((F.col(f"{figures}.n_words") >= min_words) & (100 * F.col(f"{figures}.n_repeat_words") <= max_repeat_percent * F.col(f"{figures}.n_words")))
+    out = own.join(cut, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(host) == F.col(h)) & (F.col(th) == F.col(t)), "left")
+    out = out.filter(F.coalesce(w, F.lit(0)) <= F.col(f"{figures}.n_words") * max_removed)
+    stay = F.filter(F.split("text", "\n"), lambda x: ~(has_word(x) & F.array_contains(r, F.xxhash64(F.col(host), F.btrim(normalised(x))))))
+    return out.withColumn("text", F.when(F.col(r).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import drop, materialize
-from ._text import batches, mix, spread, utf8
+from ._text import batches, fresh, mix, spread, utf8
 from .decontamination import merge_spans
 
 _BASE, _MOD = 0x9E3779B97F4A7C15 | 1, 1 << 64
@@ -489,8 +489,9 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
     whole.  Matches never cross texts.  ``length`` is 16 or more.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumn("__doc", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    slim = spread(keyed, F.col("__doc").alias("doc"), "text")
+    doc, d = fresh(docs, "doc", "d")
+    keyed = docs.withColumn(doc, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    slim = spread(keyed, F.col(doc).alias("doc"), "text")
     found = materialize(_classified(_anchor_rows(slim, length)), "anchors")
     todo = found.filter("kind > 0")
     total = todo.filter("kind = 1").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -500,8 +501,8 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
         marks = marks.unionByName(_hot_marks(segments, length))
     marks = materialize(marks, "marks")
     drop(found, segments)
-    per = marks.groupBy(F.col("doc").alias("__d")).agg(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))).alias("__spans"))
-    return keyed.join(per, keyed["__doc"] == per["__d"], "left").drop("__d", "__doc")
+    per = marks.groupBy(F.col("doc").alias(d)).agg(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))).alias("__spans"))
+    return keyed.join(per, keyed[doc] == per[d], "left").drop(d, doc)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
