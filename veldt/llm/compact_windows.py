@@ -193,22 +193,28 @@ def passages(x: np.ndarray, y: np.ndarray, t: int, percent: int, known: tuple |
             some = np.flatnonzero(np.diff(turn) >= t // 2)
             runs += [(bp[turn[i] : turn[i + 1]], bq[turn[i] : turn[i + 1]]) for i in some]
     out, todo = set(), sorted(runs, key=lambda r: r[0][-1] - r[0][0])  # the longest first
+    upto = np.full(len(x), -1)  # the last place of what has been told from here or before
+
+    def tell(*r) -> None:
+        out.add(r)
+        upto[r[0] : r[1] + 1] = np.maximum(upto[r[0] : r[1] + 1], r[1])
+
     while todo:
         p, q = todo.pop()
-        if any(r[0] <= p[0] and p[-1] <= r[1] for r in out):
+        if upto[p[0]] >= p[-1]:
             continue
         if p[-1] - p[0] + 1 < t:
             if 2 * len(p) >= t and len(x) >= t:
                 if may is None:
                     may = 100 * (hits[t:] - hits[:-t]) >= percent * fewest(x, t)
                 if best := _stretched(x, y, p, q, t, percent, may):
-                    out.add(best)
+                    tell(*best)
             continue
         a, b, c, d = int(p[0]), int(p[-1]), int(q.min()), int(q.max())
         both, all_ = _similarity(x[a : b + 1], y[c : d + 1])
         if 100 * both >= percent * all_:
             if 100 * (d - c + 1) >= percent * t:  # else x repeats what y has once
-                out.add((a, b, c, d, both / all_))
+                tell(a, b, c, d, both / all_)
         else:
             cut = int(np.argmax(np.maximum(np.diff(p), np.abs(np.diff(q)))) + 1)
             todo += [(p[:cut], q[:cut]), (p[cut:], q[cut:])]
