@@ -31,7 +31,7 @@ from ._text import batches, fresh, mix, shingle_hashes, whole_runs, word_hashes
 SKETCH = 1 << 20
 #: Rows of a shingle's tile beyond which it is cut into blocks that meet pairwise.
 BLOCK = 4096
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: First shared shingles of a prefix: a pair is looked at in the tile of the first that both
 #: have among these (else in every common tile), and these tiles have the wider bitmaps.
 FIRST = 8
