@@ -9,8 +9,9 @@ the same band (ratio at least percent/100) meet; bitmaps of hashed shingles boun
 overlap from above, and what is left is decided by intersecting the sorted sets.
 
 Large groups of near copies would meet in many tiles at once.  So classes are first
-compared with the tile's hub (its smallest class), best-voted hub first, then components
-by their likeliest pair of a tile; once classes are in one component, tiles skip them.
+compared with the tile's hub (its smallest class), best-voted hub first, then
+with the likeliest class of another component; once classes are known to be in one
+component, tiles skip them.
 What is left is done in full.
 """
 
@@ -31,7 +32,7 @@ from ._text import batches, fresh, mix, shingle_hashes, whole_runs, word_hashes
 SKETCH = 1 << 20
 #: Rows of a shingle's tile beyond which it is cut into blocks that meet pairwise.
 BLOCK = 4096
-HUB_ROUNDS = 1
+HUB_ROUNDS = 2
 #: First shared shingles of a prefix: a pair is looked at in the tile of the first that both
 #: have among these (else in every common tile), and these tiles have the wider bitmaps.
 FIRST = 8
@@ -226,6 +227,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return materialize(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """id, label: classes of one label are in one component, but a component may have
+    several: the smallest neighbour, that one's smallest neighbour, and so on a few steps."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("label")), "near")
+    out = near
+    for _ in range(3):
+        step = near.select(F.col("id").alias("label"), F.col("label").alias("to"))
+        out = out.join(step, "label").select("id", F.col("to").alias("label"))
+    out = materialize(out, "labels")
+    drop(near)
+    return out
+
+
 def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return tiles.withColumn("label", F.col("cid"))
@@ -241,10 +256,11 @@ def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
 
 
-def tile_pairs(token, block, label, size, pos, sigs, first, percent: int):
-    """Pairs of row numbers that may link, of rows sorted by (token, size), and how much
-    overlap their bitmaps allow beyond what is needed: same token, other label, other block
-    (-1: any), sizes of one band, no earlier tile in common that their first shingles show."""
+def tile_pairs(token, block, label, size, pos, sigs, first, percent: int, best: bool = False):
+    """Pairs of row numbers that may link by their bitmaps, of rows sorted by (token, size): same
+    token, other label, other block (-1: any), sizes of one band, no earlier tile in common
+    that their first shingles show.  ``best``: of each row only the pair with most room."""
+    room, partner = np.full(len(token), -1, np.int64), np.zeros(len(token), np.int64)
     found = []
     width = np.array([len(s) for s in sigs]) // 8
     flat = {}
@@ -287,15 +303,26 @@ def tile_pairs(token, block, label, size, pos, sigs, first, percent: int):
                 most = np.minimum(size[x] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), size[y] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
                 spare = most - needed(size[x], size[y], percent)
                 ok = spare >= 0
-                if ok.any():
-                    found.append(np.stack([x[ok], y[ok], spare[ok]]))
+                if not ok.any():
+                    continue
+                x, y, spare = x[ok], y[ok], spare[ok]
+                if not best:
+                    found.append(np.stack([x, y]))
+                    continue
+                order = np.argsort(spare)  # of equal rows the last one assigned has most room
+                for own, other_ in ((x[order], y[order]), (y[order], x[order])):
+                    more = spare[order] > room[own]
+                    room[own[more]], partner[own[more]] = spare[order][more], other_[more]
         d += 1
-    return np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+    if best:
+        own = np.flatnonzero(room >= 0)
+        found = [np.stack([own, partner[own]])]
+    return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
 
 
 def _tile_pairs(tiles: DataFrame, labels: DataFrame | None, texts: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs of the tiles that still hold several components.  ``best``: of the classes' first tiles only, and for any two
-    components of a tile the likeliest pair; what these don't link is left to all pairs."""
+    """Candidate pairs of the tiles that still hold several components.  ``best``: of the classes' first tiles only, and of each
+    class in them the likeliest pair; what these don't link is left to all pairs."""
     rows = _labelled(tiles, labels)
     several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", "rows")
     left = materialize(rows.join(several, "token"), "left")
@@ -324,13 +351,7 @@ def _tile_pairs(tiles: DataFrame, labels: DataFrame | None, texts: DataFrame, pe
             first[0][~there] = 1 << 31  # after every place
             for k in range(2):
                 first[k][there] = np.asarray(lists.flatten().field(k))
-            x, y, spare = tile_pairs(tile, block, label, size, pos, t.column(6).to_pylist(), first, percent)
-            if best and len(x):
-                lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-                order = np.lexsort((-spare, hi, lo))
-                lo, hi = lo[order], hi[order]
-                one = order[np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])]
-                x, y = x[one], y[one]
+            x, y = tile_pairs(tile, block, label, size, pos, t.column(6).to_pylist(), first, percent, best)
             a, b = np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
             pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], names=["a", "b"])
@@ -359,8 +380,8 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     tiles = _tiles(texts, percent)
     links, tested, labels = [], [], None
 
-    def settle(pairs: DataFrame) -> None:
-        """Verify pairs not seen before and bring the components up to date."""
+    def settle(pairs: DataFrame, last: bool = False) -> None:
+        """Verify pairs not seen before and bring the labels up to date."""
         nonlocal labels
         if tested:
             pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
@@ -370,8 +391,8 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         drop(likely)
         tested.append(pairs)
         links.append(new)
-        if not new.isEmpty():
-            old, labels = labels, connected_components(reduce(DataFrame.unionByName, links))
+        if not last and not new.isEmpty():
+            old, labels = labels, _near_labels(reduce(DataFrame.unionByName, links))
             if old is not None:
                 drop(old)
 
@@ -379,16 +400,19 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         settle(_hub_pairs(_labelled(tiles.filter(F.pmod("token", F.lit(8)) == k), labels), percent))
     for best in (True, False):
         pairs = _tile_pairs(tiles, labels, texts, percent, best)
-        settle(pairs)
+        settle(pairs, last=not best)
         drop(pairs)
-    drop(tiles, texts, *tested, *links)
+    drop(tiles, texts, *tested)
+    drop(*([labels] if labels is not None else []))
+    labels = connected_components(reduce(DataFrame.unionByName, links))
+    drop(*links)
     rows = described.filter("n is not null").select("doc_id", "th", F.col("n").alias("n_shingles"), "cid")
     # classes first, then rows: a component of very many rows or classes is never one task's
     classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
     classes = materialize(_labelled(classes, labels), "classes")
     least = materialize(classes.groupBy("label").agg(F.min("least").alias("least")), "least")
     whole = materialize(classes.select("cid", "label").join(least, "label"), "components")
-    drop(classes, least, *([labels] if labels is not None else []))
+    drop(classes, least, labels)
     out = rows.join(whole, "cid", "left").select("doc_id", "th", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     out._veldt_tables = (described, whole)
     return out
