@@ -200,6 +200,21 @@ def test_chat_format(spark, sf):
     assert chat_format.digests(df.limit(0)).count() == 0
 
 
+def test_examples_are_written_with_their_contexts(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(chat_format, "materialize", lambda df, name, old=chat_format.materialize: written.append(old(df, name)) or written[-1])
+    rows = [(c, t, "assistant" if t % 3 else "user", f"{c} says {t} é<s>\\") for c in (1, 2, None) for t in range(25)] + [(3, 0, "user", "alone")]
+    got = {r.conv_id: r for r in chat_format.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    out = written[0].collect()
+    turns = {(r.conv_id, r.seq): r.text for r in out if r.kind == "turn"}
+    made = {(r.conv_id, r.seq): r for r in out if r.kind == "example"}
+    assert set(turns) == {(c, t) for c, t, _, _ in rows} and set(made) == {(c, t) for c, t, role, _ in rows if role == "assistant"}
+    for (c, t), r in made.items():
+        assert r.text == "".join(turns[c, k] for k in range(t + 1))
+        assert r.text[r.loss_at : r.loss_at + r.loss_len].replace("\\s>", "s>").replace("\\\\", "\\") == f"{c} says {t} é<s>\\"
+    assert all(got[c].example_chars == sum(len(r.text) for (d, _), r in made.items() if d == c) for c in got)
+
+
 def brute_quality(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

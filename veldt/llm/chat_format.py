@@ -1,10 +1,9 @@
 """Chat formatting by prefix-target expansion; DataFrame expressions only.
 
 Every turn is one formatted segment.  Every assistant turn is exploded into an example of
-its own: its context is all segments of the conversation before it, and only its own text is
-trainable.  Examples hold their target and name their context (the number of leading
-segments), so output grows with the conversations and not with the square of their
-length; ``inline_examples`` writes contexts out for trainers that want flat text.
+its own: the text of all segments of the conversation up to its own, of which only its own
+text is trainable.  So examples grow with the square of a conversation's length, in text
+and not in rows; ``examples`` only names the contexts, for trainers that keep segments.
 """
 
 from __future__ import annotations
@@ -49,36 +48,33 @@ def segments(conversations: DataFrame) -> DataFrame:
 
 def expand(segs: DataFrame, target_role: str = "assistant") -> DataFrame:
     """The formatted output: a row of kind ``turn`` per segment and one of kind ``example``
-    per assistant turn: conv_id, kind, seq, text (the segment; of an example its target), and
-    of examples context_segments (all before it), context_chars, loss_at and loss_len
-    (the trainable span of the target, in code points)."""
-    before = Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = segs.withColumn("context_chars", F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0)))
-    none = F.lit(None).cast("long")
-    fields = ("kind", "seq", "text", "context_segments", "context_chars", "loss_at", "loss_len")
-    row = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, fields)))
-    seq, text = F.col("seq").cast("long"), F.col("segment")
-    turn = row(F.lit("turn"), seq, text, none, none, none, none)
-    own = row(F.lit("example"), seq, text, seq, F.col("context_chars").cast("long"), F.col("text_at").cast("long"), F.col("text_chars").cast("long"))
+    per assistant turn: conv_id, kind, seq, text (the segment; of an example its whole context
+    and its own segment after that), and of examples loss_at and loss_len (the trainable
+    span of the text, in code points)."""
+    upto = Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = segs.withColumn("upto", F.collect_list("segment").over(upto)).withColumn("whole", F.when(F.col("role") == target_role, F.array_join("upto", "")))
+    none = F.lit(None).cast("int")
+    row = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, ("kind", "seq", "text", "loss_at", "loss_len"))))
+    turn = row(F.lit("turn"), F.col("seq"), F.col("segment"), none, none)
+    own = row(F.lit("example"), F.col("seq"), F.col("whole"), F.length("whole") - F.length("segment") + F.col("text_at"), F.col("text_chars"))
     return rows.select("conv_id", F.explode(F.when(F.col("role") == target_role, F.array(turn, own)).otherwise(F.array(turn))).alias("x")).select("conv_id", "x.*")
 
 
-def examples(conversations: DataFrame, target_role: str = "assistant") -> DataFrame:
-    """A row per assistant turn: conv_id, seq of the target, text (its segment),
-    context_segments, context_chars, loss_at and loss_len.  Nulls, ties and repeated
-    rows as in ``segments``."""
-    return expand(segments(conversations), target_role).filter("kind = 'example'").drop("kind")
+def inline_examples(conversations: DataFrame, target_role: str = "assistant") -> DataFrame:
+    """Flat examples: conv_id, seq, text (context and target), loss_start, loss_end.  Nulls,
+    ties and repeated rows as in ``segments``."""
+    rows = expand(segments(conversations), target_role).filter("kind = 'example'")
+    return rows.select("conv_id", "seq", "text", F.col("loss_at").alias("loss_start"), (F.col("loss_at") + F.col("loss_len")).alias("loss_end"))
 
 
-def inline_examples(conversations: DataFrame, target_role: str = "assistant") -> DataFrame:
-    """Flat examples: conv_id, seq, text (context and target), loss_start, loss_end.  A
-    conversation comes together in one row here.  Nulls, ties and repeated rows as in
-    ``segments``."""
-    convs = segments(conversations).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "segment", "text_at", "text_chars"))).alias("t"))
-    rows = convs.select("conv_id", "t", F.explode(F.filter("t", lambda x: x["role"] == target_role)).alias("x"))
-    context = F.array_join(F.transform(F.slice("t", F.lit(1), F.col("x.seq")), lambda s: s["segment"]), "")
-    start = F.length(context) + F.col("x.text_at")
-    return rows.select("conv_id", F.col("x.seq").alias("seq"), F.concat(context, "x.segment").alias("text"), start.alias("loss_start"), (start + F.col("x.text_chars")).alias("loss_end"))
+def examples(conversations: DataFrame, target_role: str = "assistant") -> DataFrame:
+    """The same by reference, a row per assistant turn: conv_id, seq of the target, text (its
+    segment), context_segments (all before it), context_chars, loss_at and loss_len (in the
+    segment).  Nulls, ties and repeated rows as in ``segments``."""
+    before = Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = segments(conversations).withColumn("context_chars", F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0))).filter(F.col("role") == target_role)
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    return rows.select("conv_id", long("seq", "seq"), F.col("segment").alias("text"), long("seq", "context_segments"), long("context_chars", "context_chars"), long("text_at", "loss_at"), long("text_chars", "loss_len"))
 
 
 def read_back(text: str) -> tuple[Column, Column]:
@@ -92,17 +88,17 @@ def digests(conversations: DataFrame) -> DataFrame:
     """Per conversation, all read back from the formatted output, which is written as a
     table: n_turns and turns_sha256 from the segments, loss_chars and loss_sha256 from the
     loss spans of the examples, formatted_chars (of the segments), n_examples, and
-    example_chars (of all examples with their contexts written out).
+    example_chars (of all examples with their contexts).
 
     Nulls, ties and repeated rows as in ``segments``.  The hashes need a conversation's
-    text in one row; nothing else gathers it.
+    text in one row, as its last example does.
     """
     out = materialize(expand(segments(conversations)), "formatted")
     is_turn, is_example = F.col("kind") == "turn", F.col("kind") == "example"
     role, text = read_back("text")
     parsed = out.select(
         "conv_id", F.when(is_turn, F.struct("seq", role.alias("role"), text.alias("text"))).alias("turn"), F.when(is_turn, F.length("text")).alias("chars"),
-        F.when(is_example, F.struct("seq", unescape(F.expr("substring(text, loss_at + 1, loss_len)")).alias("text"))).alias("loss"), F.when(is_example, F.col("context_chars") + F.length("text")).alias("example_chars"),
+        F.when(is_example, F.struct("seq", unescape(F.expr("substring(text, loss_at + 1, loss_len)")).alias("text"))).alias("loss"), F.when(is_example, F.length("text")).alias("example_chars"),
     )
     return (
         parsed.groupBy("conv_id")
