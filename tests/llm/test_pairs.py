@@ -103,3 +103,48 @@ def test_prefixes_of_linked_sets_meet():
         both = len(np.intersect1d(a, b))
         if both and 100 * both >= 80 * (len(a) + len(b) - both):
             assert len(np.intersect1d(ngram_join.prefix(a, levels, 80), ngram_join.prefix(b, levels, 80)))
+
+
+def test_tiles_pair_only_where_a_first_common_shingle_can_stand():
+    rng = np.random.default_rng(5)
+    levels = np.zeros(ngram_join.SKETCH, np.uint64)
+
+    def pairs(sets):
+        parts = [{int(x): k for k, x in enumerate(ngram_join.prefix(s, levels, 80))} for s in sets]
+        rows = sorted((t, len(sets[i]), i, parts[i][t]) for t in set(parts[0]) & set(parts[1]) for i in (0, 1))
+        token, size, i, pos = (np.array([r[k] for r in rows], np.uint64).astype(np.int64) for k in range(4))
+        first = np.zeros((2, len(rows), ngram_join.FIRST), np.int64)
+        first[0] = 1 << 31
+        sigs = [ngram_join.bitmap(sets[k], 2, 64).tobytes() for k in i]
+        return ngram_join.tile_pairs(token, np.full(len(rows), -1), i, size, pos, sigs, first, 80).shape[1] if rows else 0
+
+    linked = 0
+    for _ in range(300):
+        base = rng.integers(0, 2**63, rng.integers(20, 200)).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([base[rng.random(len(base)) > 0.08], rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            linked += 1
+            assert pairs((a, b))
+    assert linked > 50
+    # of 100 shingles the first 15 are each set's own: 85 of 115 in common are no link, and bitmaps of 64 bits can't tell
+    own = [rng.integers(0, 2**63, 15).astype(np.uint64) for _ in range(2)]
+    common = rng.integers(0, 2**63, 85).astype(np.uint64)
+    levels[(common >> np.uint64(44)).astype(np.int64)] = 5
+    assert pairs([np.unique(np.concatenate([x, common])) for x in own]) == 0
+
+
+def test_pages_of_one_template_are_no_candidates(spark, monkeypatch):
+    counts = []
+
+    def counted(*args, old=ngram_join._tile_pairs):
+        out = old(*args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_tile_pairs", counted)
+    template, other = ([f"{x}{i}" for i in range(200)] for x in "tz")
+    texts = [" ".join([f"p{k}x{i}" for i in range(30)] + rest) for k in range(24) for rest in (template, [f"{w}k{k}" for w in other])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()}
+    assert got == brute_components(range(len(texts)), texts, 5, 80)
+    assert sum(counts) == 0

@@ -258,8 +258,9 @@ def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def tile_pairs(token, block, label, size, pos, sigs, first, percent: int, best: bool = False):
     """Pairs of row numbers that may link by their bitmaps, of rows sorted by (token, size): same
-    token, other label, other block (-1: any), sizes of one band, no earlier tile in common
-    that their first shingles show.  ``best``: of each row only the pair with most room."""
+    token, other label, other block (-1: any), sizes of one band, places (``pos``, in the common
+    order) that a link's first common shingle can have, no earlier tile in common that their
+    first shingles show.  ``best``: of each row only the pair with most room."""
     room, partner = np.full(len(token), -1, np.int64), np.zeros(len(token), np.int64)
     found = []
     width = np.array([len(s) for s in sigs]) // 8
@@ -290,6 +291,8 @@ def tile_pairs(token, block, label, size, pos, sigs, first, percent: int, best:
         live = live[(token[other] == token[live]) & (percent * size[other] <= 100 * size[live])]
         other = live + d
         may = (label[live] != label[other]) & ((block[live] < 0) | (block[live] != block[other]))
+        # what stands before a pair's first common shingle is in one of them only: it leaves no link beyond these places
+        may &= np.minimum(size[live] - pos[live], size[other] - pos[other]) >= needed(size[live], size[other], percent)
         a, b = live[may], other[may]
         for s in range(0, len(a), 1 << 13):
             u, v = a[s : s + (1 << 13)], b[s : s + (1 << 13)]
