@@ -202,7 +202,7 @@ def test_chat_format(spark, sf):
 
 def test_examples_are_written_with_their_contexts(spark, monkeypatch):
     written = []
-    monkeypatch.setattr(chat_format, "materialize", lambda df, name, old=chat_format.materialize: written.append(old(df, name)) or written[-1])
+    monkeypatch.setattr(chat_format, "materialize", lambda *a, old=chat_format.materialize, **k: written.append(old(*a, **k)) or written[-1])
     rows = [(c, t, "assistant" if t % 3 else "user", f"{c} says {t} é<s>\\") for c in (1, 2, None) for t in range(25)] + [(3, 0, "user", "alone")]
     got = {r.conv_id: r for r in chat_format.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     out = written[0].collect()

@@ -48,11 +48,11 @@ def tidy(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+def materialize(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, with the writer's ``options``, and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").options(**options)
     with tidy(spark):
         (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

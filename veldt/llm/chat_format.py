@@ -17,6 +17,10 @@ from ._store import materialize
 START, BREAK, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = [START, BREAK, END, "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 
+#: A reader holds a row group's texts at once, so long examples get small ones: sizes are looked at every few rows, and
+#: pages stay small, as examples with one context in one page would hide their size in the compression.
+SMALL = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16"}
+
 
 def escape(text: Column) -> Column:
     """Double backslashes, and break every control string with one after its first character."""
@@ -93,7 +97,7 @@ def digests(conversations: DataFrame) -> DataFrame:
     Nulls, ties and repeated rows as in ``segments``.  The hashes need a conversation's
     text in one row, as its last example does.
     """
-    out = materialize(expand(segments(conversations)), "formatted")
+    out = materialize(expand(segments(conversations)), "formatted", **SMALL)
     is_turn, is_example = F.col("kind") == "turn", F.col("kind") == "example"
     role, text = read_back("text")
     parsed = out.select(
