@@ -2,8 +2,10 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -109,3 +111,45 @@ def test_distributions_sum_to_one(spark):
 def test_default_order_counts_trigrams(spark):
     df = spark.createDataFrame([(i, "a b c d e") for i in range(40)], "doc_id long, text string")
     assert len(nt.train(df).levels) == 2
+
+
+def test_files_are_made_piece_by_piece():
+    """A file's arrays take less memory than its blobs unpacked, with contexts that lie in several pieces."""
+    rng = np.random.default_rng(5)
+    words, here, n_pieces, n_blobs, each = 500_000, 3, 8, 30, 25_000
+    span = -(-here * words // n_pieces)
+    pieces = []
+    for p in range(n_pieces):
+        top = min((p + 1) * span, here * words)
+        found = [np.unique(rng.integers(p * span, top, each, np.uint64), return_counts=True) for _ in range(n_blobs)]
+        pieces.append([nt._blob(*x) for x in found])
+    entries = n_pieces * n_blobs * each
+    tracemalloc.start()
+    got = nt.level_arrays(map(iter, pieces), words, here)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * entries
+
+    keys, counts = nt._sum_sorted(*(np.concatenate(x) for x in zip(*(nt._unblob(b) for p in pieces for b in p))))
+    assert counts.sum() == entries
+    ctx = (keys // np.uint64(words)).astype(np.int64)
+    share = (counts - nt.DISCOUNT) / np.bincount(ctx, counts)[ctx]
+    for k, v in nt.ef_build(keys, here * words).items():
+        assert got["id." + k].dtype == v.dtype and (got["id." + k] == v).all()
+    for k, v in nt.ef_build(np.concatenate([[0], np.cumsum(np.bincount(ctx))]), len(keys) + 1).items():
+        assert (got["child." + k] == v).all()
+    assert np.abs(got["prob.book"][got["prob.code"]] - np.log10(share)).max() <= np.ptp(np.log10(share)) / 255 + 1e-6
+    assert np.allclose(got["weight.book"][got["weight.code"]], np.log10(1 - np.bincount(ctx, share)), atol=1e-2)
+
+
+def test_small_files_and_pieces_score_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs = [(i, " ".join(rng.choice(list("abcdefg"), 30, p=[0.6, 0.2, 0.08, 0.05, 0.04, 0.02, 0.01]))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want, _, _ = brute(docs, 3)
+    for small in ({"shard_tokens": 1, "flush_tokens": 50, "pieces": 3}, {"shard_tokens": 300, "flush_tokens": 50, "pieces": 50, "key_bits": 8}):
+        with monkeypatch.context() as m:
+            m.setattr(nt, "_add_level", partial(nt._add_level, **small))
+            got = {r.doc_id: tuple(r)[1:] for r in nt.score(df, nt.train(df)).collect()}
+        for d, w in want.items():
+            assert got[d][:4] == w[:4] and abs(got[d][5] - w[5]) <= 0.02 * w[1] + 1e-6

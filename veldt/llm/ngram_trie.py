@@ -18,6 +18,8 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections.abc import Iterable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ END = np.uint64(0xE9D5C3B1A7987F63)
 DISCOUNT = 0.75
 #: Of model files that a worker holds where the shared folder can't be memory-mapped.
 HELD_BYTES = 256 << 20
+#: Values that a file's arrays are made from at a time, and n-grams that are added up at once.
+PIECE = 1 << 19
 
 
 # ---- Elias-Fano -------------------------------------------------------------------
@@ -40,33 +44,55 @@ HELD_BYTES = 256 << 20
 _STEP = 64
 
 
-def _pack_low(low: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(len(low) * bits // 64 + 2, np.uint64)
-    if bits:
-        at = np.arange(len(low), dtype=np.uint64) * np.uint64(bits)
-        word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        np.bitwise_or.at(out, word, low << off)
-        over = off + np.uint64(bits) > np.uint64(64)
-        np.bitwise_or.at(out, word[over] + 1, low[over] >> (np.uint64(64) - off[over]))
-    return out
+class EliasFanoBuilder:
+    """A non-decreasing sequence of ``n`` values up to ``last``, below ``universe``, added
+    piece by piece: packed low bits, high bits in unary, where every 64th one of them
+    stands, and where each bucket of equal high bits begins.  Three low bits more than
+    usual make buckets of about eight."""
+
+    def __init__(self, n: int, universe: int, last: int):
+        self.n, self.at = n, 0
+        self.bits = max(0, min(63, (max(universe, 1) // max(n, 1)).bit_length() + 2))
+        self.top = int(last) >> self.bits if n else 0
+        self.low = np.zeros(n * self.bits // 64 + 2, np.uint64)
+        self.high = np.zeros(-(-(self.top + n + 129) // 64), np.uint64)
+        self.zero = np.zeros(self.top + 2, np.uint32 if n < 2**32 else np.uint64)
+        self.one = np.zeros(-(-n // _STEP), np.uint64)
+
+    def add(self, values: np.ndarray) -> None:
+        for a in range(0, len(values), PIECE):
+            self._add(np.asarray(values[a : a + PIECE], np.uint64))
+
+    def _add(self, values: np.ndarray) -> None:
+        i = np.arange(self.at, self.at + len(values))
+        high = (values >> np.uint64(self.bits)).astype(np.int64)
+        if self.bits:
+            low = values & np.uint64((1 << self.bits) - 1)
+            at = i.astype(np.uint64) * np.uint64(self.bits)
+            word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            np.bitwise_or.at(self.low, word, low << off)
+            over = off + np.uint64(self.bits) > np.uint64(64)
+            np.bitwise_or.at(self.low, word[over] + 1, low[over] >> (np.uint64(64) - off[over]))
+        ones = high + i
+        first, end = int(ones[0]) >> 6, (int(ones[-1]) >> 6) + 1
+        flags = np.zeros((end - first) * 64, np.uint8)
+        flags[ones - first * 64] = 1
+        self.high[first:end] |= np.packbits(flags, bitorder="little").view(np.uint64)
+        self.zero[high[0] + 1 : high[-1] + 2] += np.bincount(high - high[0]).astype(self.zero.dtype)
+        skip = -self.at % _STEP
+        self.one[(self.at + skip) // _STEP :][: len(ones[skip::_STEP])] = ones[skip::_STEP]
+        self.at += len(values)
+
+    def arrays(self, prefix: str = "") -> dict[str, np.ndarray]:
+        zero = np.cumsum(self.zero, dtype=self.zero.dtype)  # ones before the h-th bucket
+        return {prefix + "head": np.array([self.n, self.bits, self.top], np.uint64), prefix + "low": self.low, prefix + "high": self.high, prefix + "zero": zero, prefix + "one": self.one}
 
 
 def ef_build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-    """Arrays of a non-decreasing sequence below ``universe``: packed low bits, high
-    bits in unary, where every 64th one of them stands, and where each bucket of equal
-    high bits begins.  Three low bits more than usual make buckets of about eight."""
-    n = len(values)
-    bits = max(0, min(63, (max(universe, 1) // max(n, 1)).bit_length() + 2))
-    values = np.asarray(values, np.uint64)
-    high = (values >> np.uint64(bits)).astype(np.int64)
-    ones = high + np.arange(n)
-    length = int(ones[-1]) + 2 if n else 2
-    flags = np.zeros(-(-(length + 128) // 64) * 64, np.uint8)
-    flags[ones] = 1
-    words = np.packbits(flags, bitorder="little").view(np.uint64)
-    top = int(high[-1]) if n else 0
-    zeros = np.concatenate([[0], np.cumsum(np.bincount(high, minlength=top + 1))])  # ones before the h-th bucket
-    return {"head": np.array([n, bits, top], np.uint64), "low": _pack_low(values & np.uint64((1 << bits) - 1), bits), "high": words, "zero": zeros.astype(np.uint32 if n < 2**32 else np.uint64), "one": ones[::_STEP].astype(np.uint64)}
+    """The arrays of a whole sequence."""
+    out = EliasFanoBuilder(len(values), universe, int(values[-1]) if len(values) else 0)
+    out.add(values)
+    return out.arrays()
 
 
 class EliasFano:
@@ -165,18 +191,25 @@ def load_arrays(uri: str) -> dict[str, np.ndarray]:
     return {k: raw[base + at : base + at + m * np.dtype(t).itemsize].view(t) for k, (t, m, at) in json.loads(bytes(raw[16:base])).items()}
 
 
-def quantise(x: np.ndarray, prefix: str, some: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """One-byte codes into a book of the means of equally wide bins.  Where ``some`` is
-    false the value is 0 and has the last code."""
-    y = x if some is None else x[some]
-    low, high = (float(y.min()), float(y.max())) if len(y) else (0.0, 0.0)
-    code = np.clip((x - low) * (255 / max(high - low, 1e-12)), 0, 254).astype(np.uint8)
-    own = code if some is None else code[some]
-    count = np.bincount(own, minlength=256)
-    book = np.bincount(own, y, 256) / np.maximum(count, 1)
-    if some is not None:
-        code[~some] = 255
-    return {prefix + "code": code, prefix + "book": book.astype(np.float32)}
+class Codes:
+    """One-byte codes into a book of the means of equally wide bins between ``low`` and
+    ``high``, added piece by piece.  Where ``some`` is false the value is 0 and has the last code."""
+
+    def __init__(self, low: float, high: float):
+        self.low, self.scale = low, 255 / max(high - low, 1e-12)
+        self.codes, self.count, self.sum = [], np.zeros(256, np.int64), np.zeros(256)
+
+    def add(self, x: np.ndarray, some: np.ndarray | None = None) -> None:
+        code = np.clip((x - self.low) * self.scale, 0, 254).astype(np.uint8)
+        if some is not None:
+            code[~some] = 255
+            x = np.where(some, x, 0)
+        self.codes.append(code)
+        self.count += np.bincount(code, minlength=256)
+        self.sum += np.bincount(code, x, 256)
+
+    def arrays(self, prefix: str) -> dict[str, np.ndarray]:
+        return {prefix + "code": np.concatenate(self.codes), prefix + "book": (self.sum / np.maximum(self.count, 1)).astype(np.float32)}
 
 
 # ---- the model in a task -----------------------------------------------------------------
@@ -359,6 +392,65 @@ def _sum_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(counts.astype(np.int64), first) if len(keys) else counts.astype(np.int64)
 
 
+def _sum_blobs(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All blobs' keys with their summed counts.  Blobs are added up as they come, so that
+    about twice the distinct keys are held, however many blobs there are."""
+    keys, counts, held, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add():
+        return _sum_sorted(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(c.astype(np.int64) for _, c in held)]))
+
+    for raw in blobs:
+        held.append(_unblob(raw))
+        n += len(held[-1][0])
+        if n > max(PIECE, len(keys)):
+            keys, counts = add()
+            held, n = [], 0
+    return add() if held else (keys, counts)
+
+
+def level_arrays(pieces: Iterable[Iterable[bytes]], words: int, here: int) -> dict[str, np.ndarray]:
+    """A file's arrays from the blobs of its pieces, in ascending order of their keys (context
+    in the file times ``words`` plus word), for ``here`` contexts.  A context may lie in several
+    pieces.  One piece is unpacked at a time; added up, they are kept as blobs."""
+    total, some, kept, n = np.zeros(here), np.zeros(here, np.int32), [], 0
+    for blobs in pieces:
+        keys, counts = _sum_blobs(blobs)
+        ctx = (keys // np.uint64(words)).astype(np.int64)
+        own = slice(ctx[0], ctx[-1] + 1)
+        total[own] += np.bincount(ctx - ctx[0], counts)
+        some[own] += np.bincount(ctx - ctx[0]).astype(np.int32)
+        kept += [_blob(keys[a : a + PIECE], counts[a : a + PIECE]) for a in range(0, len(keys), PIECE)]
+        n, last = n + len(keys), int(keys[-1])
+    del keys, counts, ctx
+
+    def shares():
+        for raw in kept:
+            keys, counts = _unblob(raw)
+            ctx = (keys // np.uint64(words)).astype(np.int64)
+            yield keys, ctx, (counts - DISCOUNT) / total[ctx]
+
+    weight, low, high = np.ones(here), np.inf, 0.0
+    for _, ctx, share in shares():
+        weight[ctx[0] : ctx[-1] + 1] -= np.bincount(ctx - ctx[0], share)
+        low, high = min(low, share.min()), max(high, share.max())
+    np.clip(weight, 1e-9, 1, out=weight)
+    ids, prob = EliasFanoBuilder(n, here * words, last), Codes(*np.log10([low, high]))
+    for keys, _, share in shares():
+        ids.add(keys)
+        prob.add(np.log10(share))
+    kept.clear()
+    child, weights = EliasFanoBuilder(here + 1, n + 1, n), Codes(*np.log10([weight.min(initial=1, where=some > 0), weight.max(initial=1e-9, where=some > 0)]))
+    child.add(np.zeros(1, np.uint64))
+    before = 0
+    for a in range(0, here, PIECE):
+        to = before + np.cumsum(some[a : a + PIECE], dtype=np.int64)
+        child.add(to)
+        weights.add(np.log10(weight[a : a + PIECE]), some[a : a + PIECE] > 0)
+        before = to[-1]
+    return ids.arrays("id.") | child.arrays("child.") | weights.arrays("weight.") | prob.arrays("prob.")
+
+
 def placed(model: Model, texts: list):
     """Rank and count of every token, its place in its text, texts' ends and lengths."""
     tokens, lengths = tokens_of(texts)
@@ -366,28 +458,36 @@ def placed(model: Model, texts: list):
     return *model.ranks(tokens), np.arange(len(tokens)) - np.repeat(ends - lengths, lengths), ends, lengths
 
 
-def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, flush_tokens: int = 3 << 20) -> tuple[list, int]:
-    """Count the n-grams of one order below their contexts and write the level's files."""
+def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, flush_tokens: int = 3 << 20, shard_tokens: int = 6 << 20, pieces: int = 8, key_bits: int = 64) -> tuple[list, int]:
+    """Count the n-grams of one order below their contexts and write the level's files.
+    A file's n-grams come to the task that writes it in ``pieces`` ranges, one after the other."""
     spark = docs.sparkSession
     folder = new_path(spark, f"trie-{order}")
-    shards = int(min(max(1, -(-model.tokens // (6 << 20))), max(1, contexts)))
+    shards = int(min(max(1, -(-model.tokens // shard_tokens)), max(1, contexts)))
     width = -(-max(contexts, 1) // shards)
+    span = width * model.words  # keys of a shard
+    group = max(1, min(shards, (2**key_bits - 1) // span))  # shards whose keys fit into 64 bits together
+    edges = [k * span + min(p * -(-span // pieces), span) for k in range(group) for p in range(pieces)]
 
     def count(table_batches):
         end = int(model.ranks(np.array([END]))[0][0])
-        held, n = [], 0
+        edge = np.array(edges, np.uint64)
+        held, n = {}, 0  # keys by group
 
         def flush():
-            nonlocal held, n
-            ctx, word = (np.concatenate(x) for x in zip(*held))
-            shard = ctx // width
-            out = []
-            for s in np.unique(shard):
-                mine = shard == s
-                keys, counts = np.unique((ctx[mine] - s * width).astype(np.uint64) * np.uint64(model.words) + word[mine].astype(np.uint64), return_counts=True)
-                out.append((int(s), _blob(keys, counts)))
-            held, n = [], 0
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["shard", "blob"])
+            nonlocal n
+            n, out = 0, []
+            for g in sorted(held):
+                keys = np.concatenate(held.pop(g))
+                keys.sort()
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                counts, keys = np.diff(first, append=len(keys)), keys[first]
+                cuts = np.append(np.searchsorted(keys, edge), len(keys))
+                for i in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                    k, p = divmod(i, pieces)
+                    own = slice(cuts[i], cuts[i + 1])
+                    out.append((g * group + k, p, _blob(keys[own] - np.uint64(k * span), counts[own])))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["shard", "piece", "blob"])
 
         for b in batches(table_batches, 4 << 20):
             texts = [t for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not is_held_out(d)]
@@ -396,33 +496,26 @@ def _add_level(docs: DataFrame, model: Model, order: int, contexts: int, flush_t
             rank, _, start, _, _ = placed(model, texts)
             *_, (ctx, _, _) = model.below(rank, start, end, order - 2)
             ok = (ctx >= 0) & (rank >= 0)
-            held.append((ctx[ok], rank[ok]))
-            n += int(ok.sum())
+            part, at = np.divmod(ctx[ok], group * width)
+            keys = at.astype(np.uint64) * np.uint64(model.words) + rank[ok].astype(np.uint64)
+            for g in np.unique(part).tolist():
+                held.setdefault(g, []).append(keys[part == g])
+            n += len(keys)
             if n >= flush_tokens:
                 yield flush()
         if n:
             yield flush()
 
-    def build(t: pa.Table) -> pa.Table:
-        s = t.column("shard")[0].as_py()
-        parts = [_unblob(x.as_py()) for x in t.column("blob")]
-        keys, counts = _sum_sorted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        here = min(width, contexts - s * width)
-        ctx = (keys // np.uint64(model.words)).astype(np.int64)
-        total = np.bincount(ctx, counts, here)
-        share = (counts - DISCOUNT) / total[ctx]
-        weight = 1 - np.bincount(ctx, share, here)
-        some = np.bincount(ctx, minlength=here)
-        arrays = {"id." + k: v for k, v in ef_build(keys, here * model.words).items()}
-        arrays |= {"child." + k: v for k, v in ef_build(np.concatenate([[0], np.cumsum(some)]), len(keys) + 1).items()}
-        arrays |= quantise(np.log10(np.clip(weight, 1e-9, 1)), "weight.", some > 0)
-        arrays |= quantise(np.log10(share), "prob.")
-        uri = f"{folder}/level-{s:05d}-{TaskContext.get().taskAttemptId()}"
-        save_arrays(uri, arrays)
-        return pa.table({"shard": pa.array([s], pa.int64()), "n": pa.array([len(keys)], pa.int64()), "uri": [uri]})
-
-    blobs = docs.mapInArrow(count, "shard long, blob binary")
-    made = materialize(blobs.groupBy("shard").applyInArrow(build, "shard long, n long, uri string"), "trie-files")
+    def build(table_batches):
+        rows = ((*x, blob) for b in table_batches for *x, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)))
+        for s, own in groupby(rows, lambda r: r[0]):
+            arrays = level_arrays(((r[2].as_py() for r in piece) for _, piece in groupby(own, lambda r: r[1])), model.words, min(width, contexts - s * width))
+            uri = f"{folder}/level-{s:05d}-{TaskContext.get().taskAttemptId()}"
+            save_arrays(uri, arrays)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([len(arrays["prob.code"])], pa.int64()), pa.array([uri])], names=["shard", "n", "uri"])
+
+    blobs = docs.mapInArrow(count, "shard long, piece long, blob binary")
+    made = materialize(blobs.repartition("shard").sortWithinPartitions("shard", "piece").mapInArrow(build, "shard long, n long, uri string"), "trie-files")
     files, at = [], 0
     for r in made.orderBy("shard").collect():  # one row a file
         files.append((r.shard * width, at, r.uri))
